@@ -26,8 +26,10 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from . import common
-from .token_counts import CACHE_WORDS, split_words
+from .token_counts import split_words
 
+#: Words kept in a worker's cache; a full cache is emptied, results do not depend on it.
+CACHE_WORDS = 1_000_000
 #: Pieces in a shard, about. A shard is one task's work and wastes part of one bin at most.
 SHARD_ROWS = 60_000
 #: Rounds of local search; each ends early when no bin can be emptied further.
@@ -45,20 +47,50 @@ def tokenizer(path: str) -> Tokenizer:
 _cache: dict[str, dict[bytes, bytes]] = {}
 
 
+@lru_cache(maxsize=4)
+def word_ends(path: str) -> np.ndarray:
+    """Whether each id ends a word of the vocabulary."""
+    vocab = tokenizer(path).get_vocab(with_added_tokens=True)
+    out = np.zeros(max(vocab.values()) + 1, bool)
+    out[[i for t, i in vocab.items() if t.endswith("</w>")]] = True
+    return out
+
+
+def encode_words(path: str, found: list[bytes]) -> dict[bytes, bytes]:
+    """Ids of each word by the library. Words of letters alone are one pre-token each, so many are encoded as one text and
+    told apart by the ids that end words; others go one by one."""
+    tok, ends, out = tokenizer(path), word_ends(path), {}
+    plain = [w for w in found if w.decode().isalpha()]
+    lists = [plain[i : i + 500] for i in range(0, len(plain), 500)]
+    for lo in range(0, len(lists), 40):
+        part = lists[lo : lo + 40]
+        for own, e in zip(part, tok.encode_batch_fast([b" ".join(x).decode() for x in part], add_special_tokens=False), strict=True):
+            ids = np.array(e.ids, "<u4")
+            at = np.flatnonzero(ends[ids]) + 1
+            if len(at) == len(own) and at[-1] == len(ids):
+                raw, stops = ids.tobytes(), (4 * at).tolist()
+                out.update(zip(own, (raw[i:j] for i, j in zip([0, *stops], stops)), strict=True))  # noqa: B905
+    rest = [w for w in found if w not in out]
+    for lo in range(0, len(rest), 20_000):
+        part = rest[lo : lo + 20_000]
+        got = tok.encode_batch_fast([w.decode() for w in part], add_special_tokens=False)
+        out.update((w, np.array(e.ids, "<u4").tobytes()) for w, e in zip(part, got, strict=True))
+    return out
+
+
 def encode_batch(path: str, texts: list[str | None]) -> list[bytes]:
     """Ids of whole texts as little-endian unsigned 32-bit numbers. White space ends pre-tokens, so each word is encoded once."""
     cache = _cache.setdefault(path, {})
     lists = [split_words(t) for t in texts]
-    new = list(set(chain.from_iterable(lists)).difference(cache))
+    new = set(chain.from_iterable(lists)).difference(cache)
     if new:
         if len(cache) + len(new) > CACHE_WORDS:
             cache.clear()
-            new = list(set(chain.from_iterable(lists)))
-        tok = tokenizer(path)
-        for lo in range(0, len(new), 20_000):
-            part = new[lo : lo + 20_000]
-            got = tok.encode_batch([w.decode() for w in part], add_special_tokens=False)
-            cache.update((w, np.array(e.ids, "<u4").tobytes()) for w, e in zip(part, got, strict=True))
+            new = set(chain.from_iterable(lists))
+        # a full stop or comma after an ASCII letter or digit is a pre-token of its own
+        marked = {w for w in new if w[-1:] in (b".", b",") and w[-2:-1].isalnum()}
+        cache.update(encode_words(path, list(((new - marked) | {w[:-1] for w in marked} | {b".", b","}).difference(cache))))
+        cache.update([(w, cache[w[:-1]] + cache[w[-1:]]) for w in marked])
     get = cache.__getitem__
     return [b"".join(map(get, x)) for x in lists]
 

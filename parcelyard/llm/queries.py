@@ -5,7 +5,8 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import packing, token_counts
+from . import decontamination, packing, quality_classifier, quality_rules, secret_ledger, token_counts, warc
+from .common import shared_dir
 
 
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -16,16 +17,46 @@ def vocabulary() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
+def op1_risk_controlled_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = quality_rules.verdicts(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
+    base = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
+    return out.select("doc_id", *[out[f"s_{c}"].alias(c) for c in base], "base_failed", "kept")
+
+
 def op3_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(read(spark, sf_dir, "documents"), vocabulary())
 
 
+def op4_secret_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secret_ledger.digest(secret_ledger.scan(read(spark, sf_dir, "documents")))
+
+
+def op5_suffix_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text")
+    return decontamination.digest(decontamination.find(docs, read(spark, sf_dir, "benchmark")))
+
+
+def op6_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_classifier.classify(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
+
+
+def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = shared_dir(spark)
+    warc.write_archives(read(spark, sf_dir, "pages"), path)
+    return warc.read_archives(spark, path, payloads=False).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_tokens(read(spark, sf_dir, "documents"), vocabulary())
 
 
 QUERIES = {
+    "op1_risk_controlled_rules": op1_risk_controlled_rules,
     "op3_best_fit_packing": op3_best_fit_packing,
+    "op4_secret_ledger": op4_secret_ledger,
+    "op5_suffix_decontamination": op5_suffix_decontamination,
+    "op6_quality_classifier": op6_quality_classifier,
+    "op8_warc": op8_warc,
     "op9_token_counts": op9_token_counts,
 }
 
