@@ -44,6 +44,10 @@ def base_failed() -> Column:
     return (F.col("s_n_words") < 10) | (100 * F.col("s_n_repeat_words") > 20 * F.col("s_n_words"))
 
 
+def _beyond(x: Column, high: bool):
+    return lambda c: x > c if high else x < c
+
+
 def tail(k: int, n: int, p: float) -> float:
     """P(X <= k) for X binomial(n, p), summed exactly from its largest term down."""
     if k >= n:
@@ -91,8 +95,9 @@ def thresholds(stats: DataFrame, labels: DataFrame, alpha: float = 0.01, delta:
     for r in names:
         expr, high, _ = RULES[r]
         x = F.expr(expr)
-        crossed = [F.when(x > c if high else x < c, 1).otherwise(0) for c in grids[r]]
-        bins.append(F.struct(F.lit(r).alias("rule"), sum(crossed[1:], crossed[0]).alias("bin")))
+        grid = F.array(*[F.lit(c) for c in grids[r]])
+        crossed = F.size(F.filter(grid, _beyond(x, high)))
+        bins.append(F.struct(F.lit(r).alias("rule"), crossed.alias("bin")))
     rows = known.select(F.coalesce(F.col(stratum_col), F.lit("")).alias("stratum"), "_good", F.explode(F.array(*bins)).alias("b"))
     counts = rows.groupBy("stratum", F.col("b.rule").alias("rule"), F.col("b.bin").alias("bin")).agg(F.sum("_good").alias("g"), F.sum(1 - F.col("_good")).alias("b"))
     strata = counts.select("stratum").distinct().count()

@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontamination, packing, quality_classifier, quality_rules, secret_ledger, token_counts, warc
+from . import decontamination, oracles, packing, quality_classifier, quality_rules, secret_ledger, token_counts, warc
 from .common import shared_dir
 
 
@@ -60,4 +60,9 @@ QUERIES = {
     "op9_token_counts": op9_token_counts,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op1_risk_controlled_rules": oracles.op1(),
+    "op4_secret_ledger": oracles.op4(),
+    "op5_suffix_decontamination": oracles.op5(),
+    "op8_warc": oracles.op8(),
+}
