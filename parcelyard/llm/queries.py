@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontamination, oracles, packing, quality_classifier, quality_rules, secret_ledger, token_counts, warc
+from . import decontamination, oracles, packing, quality_classifier, quality_rules, secret_ledger, substring_dedup, suffix_dedup, token_counts, warc
 from .common import shared_dir
 
 
@@ -40,6 +40,10 @@ def op6_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_classifier.classify(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
 
 
+def op7_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.digest(suffix_dedup.dedup(read(spark, sf_dir, "documents"), keep_bytes=False))
+
+
 def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = shared_dir(spark)
     warc.write_archives(read(spark, sf_dir, "pages"), path)
@@ -50,13 +54,19 @@ def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_tokens(read(spark, sf_dir, "documents"), vocabulary())
 
 
+def op10_recompression_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup.digest(substring_dedup.dedup(read(spark, sf_dir, "documents"), keep_text=False))
+
+
 QUERIES = {
     "op1_risk_controlled_rules": op1_risk_controlled_rules,
     "op3_best_fit_packing": op3_best_fit_packing,
     "op4_secret_ledger": op4_secret_ledger,
     "op5_suffix_decontamination": op5_suffix_decontamination,
     "op6_quality_classifier": op6_quality_classifier,
+    "op7_suffix_array_dedup": op7_suffix_array_dedup,
     "op8_warc": op8_warc,
+    "op10_recompression_dedup": op10_recompression_dedup,
     "op9_token_counts": op9_token_counts,
 }
 
@@ -64,5 +74,7 @@ ORACLE_SQL: dict[str, str] = {
     "op1_risk_controlled_rules": oracles.op1(),
     "op4_secret_ledger": oracles.op4(),
     "op5_suffix_decontamination": oracles.op5(),
+    "op7_suffix_array_dedup": oracles.op7(),
     "op8_warc": oracles.op8(),
+    "op10_recompression_dedup": oracles.op10(),
 }
