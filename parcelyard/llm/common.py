@@ -39,7 +39,14 @@ def table(df: DataFrame) -> DataFrame:
     """Write ``df`` to a new Parquet table in the shared folder and read it back: cuts lineage, survives lost executors."""
     spark = df.sparkSession
     path = shared_dir(spark)
-    df.write.parquet(path)
+    # what the write shuffled is of no use afterwards
+    key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(key, "false")
+    spark.conf.set(key, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(key, before)
     return spark.read.schema(df.schema).parquet(path)
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontamination, oracles, packing, quality_classifier, quality_rules, secret_ledger, substring_dedup, suffix_dedup, token_counts, warc
+from . import decontamination, jaccard_join, oracles, packing, quality_classifier, quality_rules, secret_ledger, substring_dedup, suffix_dedup, token_counts, warc
 from .common import shared_dir
 
 
@@ -23,6 +23,11 @@ def op1_risk_controlled_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", *[out[f"s_{c}"].alias(c) for c in base], "base_failed", "kept")
 
 
+def op2_count_tree_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = jaccard_join.join_sets(read(spark, sf_dir, "documents"))
+    return out.select(out["id"].alias("doc_id"), "n_shingles", "component_id")
+
+
 def op3_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(read(spark, sf_dir, "documents"), vocabulary())
 
@@ -60,6 +65,7 @@ def op10_recompression_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_risk_controlled_rules": op1_risk_controlled_rules,
+    "op2_count_tree_join": op2_count_tree_join,
     "op3_best_fit_packing": op3_best_fit_packing,
     "op4_secret_ledger": op4_secret_ledger,
     "op5_suffix_decontamination": op5_suffix_decontamination,
@@ -72,6 +78,7 @@ QUERIES = {
 
 ORACLE_SQL: dict[str, str] = {
     "op1_risk_controlled_rules": oracles.op1(),
+    "op2_count_tree_join": oracles.op2(),
     "op4_secret_ledger": oracles.op4(),
     "op5_suffix_decontamination": oracles.op5(),
     "op7_suffix_array_dedup": oracles.op7(),

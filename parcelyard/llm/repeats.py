@@ -100,6 +100,35 @@ SENT = "bucket int, row long, head binary, body binary"
 MARKED = "row long, marks binary"
 
 
+def settle_keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Which announced keys two different announcers have; ready answers pass."""
+    keys, who = [], []
+    for batch in batches:
+        at, ks, ws = batch.column(1), batch.column(2), batch.column(3)
+        mine = np.asarray(at.is_null())
+        if not mine.all():
+            passed = batch.filter(pa.array(~mine))
+            yield pa.RecordBatch.from_arrays([passed.column(1), passed.column(2)], ["row", "keys"])
+        for i in np.flatnonzero(mine):
+            keys.append(np.frombuffer(ks[int(i)].as_py(), np.uint64))
+            who.append(np.frombuffer(ws[int(i)].as_py(), np.int64))
+    if keys:
+        k, w = np.concatenate(keys), np.concatenate(who)
+        order = np.lexsort((w, k))
+        k, w = k[order], w[order]
+        heads = np.flatnonzero(_first_of(k))
+        last = np.append(heads[1:], len(k)) - 1
+        several = ((w[last] != w[heads]) | (w[heads] == NOBODY))[np.cumsum(_first_of(k)) - 1] & (w != NOBODY)
+        k, w = k[several], w[several]
+        out = []
+        for a, ks in _by(w, k):
+            out.append((int(a), np.unique(ks).tobytes()))
+            if len(out) == 5000:
+                yield _batch(SHARED, out)
+                out = []
+        yield _batch(SHARED, out)
+
+
 def shared_keys(rows: DataFrame, method: Method, buckets: int) -> DataFrame:
     """(row, keys): for each row address, keys of its anchors that other documents have too; a row may come in parts."""
 
@@ -130,35 +159,7 @@ def shared_keys(rows: DataFrame, method: Method, buckets: int) -> DataFrame:
                     out.append((int(b), None, ks.tobytes(), who.tobytes()))
                 yield _batch(ANNOUNCED, out)
 
-    def settle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        keys, who = [], []
-        for batch in batches:
-            at, ks, ws = batch.column(1), batch.column(2), batch.column(3)
-            mine = np.asarray(at.is_null())
-            if not mine.all():
-                passed = batch.filter(pa.array(~mine))
-                yield pa.RecordBatch.from_arrays([passed.column(1), passed.column(2)], ["row", "keys"])
-            for i in np.flatnonzero(mine):
-                keys.append(np.frombuffer(ks[int(i)].as_py(), np.uint64))
-                who.append(np.frombuffer(ws[int(i)].as_py(), np.int64))
-        if keys:
-            k, w = np.concatenate(keys), np.concatenate(who)
-            order = np.lexsort((w, k))
-            k, w = k[order], w[order]
-            heads = np.flatnonzero(_first_of(k))
-            last = np.append(heads[1:], len(k)) - 1
-            # one document's slices may announce a key twice (repeated rows); that is no sharing, but harmless
-            several = (last > heads)[np.cumsum(_first_of(k)) - 1] & (w != NOBODY)
-            k, w = k[several], w[several]
-            out = []
-            for a, ks in _by(w, k):
-                out.append((int(a), np.unique(ks).tobytes()))
-                if len(out) == 5000:
-                    yield _batch(SHARED, out)
-                    out = []
-            yield _batch(SHARED, out)
-
-    return rows.mapInArrow(announce, ANNOUNCED).repartition(buckets, "bucket").mapInArrow(settle, SHARED)
+    return rows.mapInArrow(announce, ANNOUNCED).repartition(buckets, "bucket").mapInArrow(settle_keys, SHARED)
 
 
 def marked(rows: DataFrame, method: Method, buckets: int) -> DataFrame:
