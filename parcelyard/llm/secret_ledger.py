@@ -119,18 +119,27 @@ def update_ledger(versions: DataFrame, ledger: DataFrame | None, path: str, rule
     return ledger_at(spark, path) if ledger is None else ledger.unionByName(ledger_at(spark, path))
 
 
-def scan(docs: DataFrame, ledger: DataFrame | None = None, path: str | None = None, rules: tuple[Rule, ...] = RULES, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Findings of every row: (id, blob, spans), spans in order of start, then rule. ``path`` is where new ledger rows go."""
+def scan_rows(docs: DataFrame, ledger: DataFrame | None = None, path: str | None = None, rules: tuple[Rule, ...] = RULES, text_col: str = "text", keep: list[str] | None = None) -> DataFrame:
+    """``docs`` (or the columns in ``keep``) with _blob and _spans, spans in order of start, then rule. ``path`` is where new ledger rows go."""
     spark = docs.sparkSession
-    rows = docs.select(F.col(f"`{id_col}`").alias("id"), F.coalesce(F.col(f"`{text_col}`"), F.lit("")).alias("text")).withColumn("blob", F.sha2("text", 256))
-    book = update_ledger(rows.select("blob", "text"), ledger, path or common.shared_dir(spark), rules)
+    keep = docs.columns if keep is None else keep
+    address = F.sha2(F.coalesce(F.col(f"`{text_col}`"), F.lit("")), 256).alias("_blob")
+    versions = docs.select(address.alias("blob"), F.coalesce(F.col(f"`{text_col}`"), F.lit("")).alias("text"))
+    book = update_ledger(versions, ledger, path or common.shared_dir(spark), rules)
     wanted = [r.kind for r in rules]
     hits = book.filter(F.size("spans") > 0)
     if ledger is not None:  # a blob may have a row for each run that scanned it
         hits = hits.groupBy("blob").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("spans")))).alias("spans"))
-    hits = hits.select("blob", F.filter("spans", lambda s: s["kind"].isin(wanted)).alias("spans"))
-    out = rows.select("id", "blob").join(hits, "blob", "left")
-    return out.select(F.col("id").alias(id_col), "blob", F.coalesce("spans", F.array().cast(f"array<{_SPAN}>")).alias("spans"))
+    hits = hits.select(F.col("blob").alias("_hit"), F.filter("spans", lambda s: s["kind"].isin(wanted)).alias("_found"))
+    rows = docs.select(*[F.col(f"`{c}`") for c in keep], address)
+    out = rows.join(hits, rows["_blob"] == hits["_hit"], "left")
+    return out.select(*[rows[f"`{c}`"] for c in keep], "_blob", F.coalesce("_found", F.array().cast(f"array<{_SPAN}>")).alias("_spans"))
+
+
+def scan(docs: DataFrame, ledger: DataFrame | None = None, path: str | None = None, rules: tuple[Rule, ...] = RULES, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Findings of every row: (id, blob, spans)."""
+    found = scan_rows(docs, ledger, path, rules, text_col, [id_col])
+    return found.select(id_col, F.col("_blob").alias("blob"), F.col("_spans").alias("spans"))
 
 
 def _line(spans: Column) -> Column:
@@ -143,17 +152,15 @@ def digest(found: DataFrame, id_col: str = "doc_id") -> DataFrame:
     return found.select(id_col, *[count(k) for k in BASE_KINDS], F.sha2(_line(base), 256).alias("base_sha256"), _line(F.col("spans")).alias("spans"))
 
 
-def redact(docs: DataFrame, found: DataFrame, mark: str = "[secret]", id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``docs`` with every span replaced by ``mark``; overlapping spans count as one. ``found`` has a row per id; all other columns stay."""
-    hits = found.filter(F.size("spans") > 0).select(F.col(id_col).alias("_id"), "spans").dropDuplicates(["_id"])
-    rows = docs.join(hits, docs[id_col].eqNullSafe(hits["_id"]), "left")
+def redact(docs: DataFrame, mark: str = "[secret]", rules: tuple[Rule, ...] = RULES, text_col: str = "text") -> DataFrame:
+    """``docs`` with every found span of the text replaced by ``mark``; overlapping spans count as one. All rows and columns stay."""
+    found = scan_rows(docs, None, None, rules, text_col)
     start = F.struct(F.lit(0).alias("pos"), F.lit("").alias("out"))
     text = F.col(f"`{text_col}`")
 
     def step(acc: Column, s: Column) -> Column:
-        fresh = s["start"] >= acc["pos"]
         between = text.substr(acc["pos"] + 1, s["start"] - acc["pos"])
-        return F.struct(F.greatest(acc["pos"], s["end"]).alias("pos"), F.when(fresh, F.concat(acc["out"], between, F.lit(mark))).otherwise(acc["out"]).alias("out"))
+        return F.struct(F.greatest(acc["pos"], s["end"]).alias("pos"), F.when(s["start"] >= acc["pos"], F.concat(acc["out"], between, F.lit(mark))).otherwise(acc["out"]).alias("out"))
 
-    clean = F.aggregate("spans", start, step, lambda acc: F.concat(acc["out"], text.substr(acc["pos"] + 1, F.length(text))))
-    return rows.select(*[F.when(F.col("spans").isNotNull(), clean).otherwise(text).alias(text_col) if c == text_col else docs[c] for c in docs.columns])
+    clean = F.aggregate("_spans", start, step, lambda acc: F.concat(acc["out"], text.substr(acc["pos"] + 1, F.length(text))))
+    return found.select(*[F.when(F.size("_spans") > 0, clean).otherwise(text).alias(c) if c == text_col else F.col(f"`{c}`") for c in docs.columns])
