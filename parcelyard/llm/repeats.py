@@ -4,19 +4,19 @@ A window is ``size`` consecutive items (bytes or words) of one document. Each
 window belongs to one anchor, which its own content determines, so equal windows
 have equal anchors. Windows of one anchor form a run of neighbouring starts.
 
-1. Tasks announce the keys of their anchors, once per key and slice; keys that
-   two documents announce are shared. What a slice can tell by itself (a key that
-   several of its documents have) needs no announcement per document, so a
-   passage in a third of all rows sends a row per slice.
-2. Documents with shared keys send the runs of those anchors, equal runs of a
-   slice once; a run equal to one in a smaller document of its slice is settled.
-3. Each run's windows are compared (by the operator's own method), and a window
-   that also starts in a document with a smaller id is marked.
+1. Tasks announce anchor and content fingerprints of their runs, once per slice:
+   what a slice can tell by itself (a run that a smaller document of it has) is
+   settled there, so a passage in a third of all rows sends a row per slice.
+2. Where announcements meet, a run that a smaller document has is settled; the
+   first holder of a run whose anchor has other runs must compare them.
+3. Those holders send their runs; the windows are compared by the operator's own
+   method, and one that also starts in a smaller document is marked. Anchors
+   with very many different runs send single windows instead, dealt by content.
 4. Marks return to their document by its row address.
 
-Announcements, runs and marks travel as packed arrays, a row per slice and
-bucket. Rows with a null id are neither sources nor changed. Rows are addressed
-by a hash of id and text, so repeated rows share marks, as they should.
+Announcements, runs and marks travel as packed arrays. Rows with a null id are
+neither sources nor changed. Rows are addressed by a hash of id and text, so
+repeated rows share marks, as they should.
 """
 
 from __future__ import annotations
@@ -31,6 +31,10 @@ from pyspark.sql import functions as F
 
 from . import common
 
+#: Different runs of one anchor that are compared as runs; beyond, each of their windows finds its equals by itself.
+HOT = 4096
+#: Parts of a bucket, compared one after the other.
+SUB = 24
 NOBODY = np.int64(-(1 << 63))
 
 
@@ -45,6 +49,8 @@ class Runs:
     content: np.ndarray
     #: Packs the runs at some positions into one string of bytes.
     pack: Callable[[np.ndarray], bytes]
+    #: For the runs at some positions: a hash of each of their windows, and what packs some of those windows.
+    single: Callable[[np.ndarray], tuple[np.ndarray, Callable[[np.ndarray], bytes]]]
 
 
 class Method:
@@ -55,7 +61,7 @@ class Method:
     def runs(self, col: pa.Array) -> Runs:
         raise NotImplementedError
 
-    def compare(self, body: bytes, owner: np.ndarray, count: np.ndarray) -> np.ndarray:
+    def compare(self, body: bytes, owner: np.ndarray, count: np.ndarray, key: np.ndarray) -> np.ndarray:
         """For all windows of all runs, back to back: whether an equal one has a smaller owner."""
         raise NotImplementedError
 
@@ -96,7 +102,9 @@ def addressed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 ANNOUNCED = "bucket int, row long, keys binary, rows binary"
 SHARED = "row long, keys binary"
-SENT = "bucket int, row long, head binary, body binary"
+TOLD = "bucket int, row long, settled binary, tags binary, who binary"
+JUDGED = "row long, settled binary, open binary, hot binary"
+SENT = "bucket int, part int, row long, head binary, body binary"
 MARKED = "row long, marks binary"
 
 
@@ -129,120 +137,210 @@ def settle_keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield _batch(SHARED, out)
 
 
-def shared_keys(rows: DataFrame, method: Method, buckets: int) -> DataFrame:
-    """(row, keys): for each row address, keys of its anchors that other documents have too; a row may come in parts."""
+def _partition_of(x: np.ndarray, parts: int) -> np.ndarray:
+    """The partition that Spark's hash partitioning gives a 32-bit integer (Murmur3 with seed 42)."""
+
+    def turn(v: np.ndarray, n: int) -> np.ndarray:
+        return (v << np.uint32(n)) | (v >> np.uint32(32 - n))
+
+    k = turn(x.astype(np.uint32) * np.uint32(0xCC9E2D51), 15) * np.uint32(0x1B873593)
+    h = turn(np.uint32(42) ^ k, 13) * np.uint32(5) + np.uint32(0xE6546B64)
+    h ^= np.uint32(4)
+    h = (h ^ (h >> np.uint32(16))) * np.uint32(0x85EBCA6B)
+    h = (h ^ (h >> np.uint32(13))) * np.uint32(0xC2B2AE35)
+    return (h ^ (h >> np.uint32(16))).view(np.int32).astype(np.int64) % parts
+
+
+def even_ids(parts: int) -> np.ndarray:
+    """For each of ``parts`` partitions, a bucket number that lands there, so that buckets are dealt evenly."""
+    x = np.arange(40 * parts + 1000, dtype=np.int64)
+    where = _partition_of(x, parts)
+    first = np.unique(where, return_index=True)
+    out = np.arange(parts)
+    out[first[0]] = x[first[1]]
+    return out.astype(np.int64)
+
+
+_FINGER = np.uint64(0xFFFFFF)
+
+
+def tags(r: Runs) -> np.ndarray:
+    """Upper 40 bits of the key and 24 bits of the content: equal for equal runs, and alike above for equal anchors. The key's lower bits choose the bucket."""
+    return (r.key & ~_FINGER) | (common.mix(r.content) & _FINGER)
+
+
+def _packed_marks(starts: np.ndarray, ends: np.ndarray) -> bytes:
+    """Ranges as pairs of 64-bit numbers, touching ones joined."""
+    return ranges([np.stack([starts, ends], 1).astype(np.int64).tobytes()]).tobytes()
+
+
+def judged(rows: DataFrame, method: Method, parts: int) -> DataFrame:
+    """(row, settled, open, hot): tags of each row's runs that a smaller document has as well, that must be compared with other
+    runs of their anchor, or compared window by window; a row may come in parts."""
+    ids = even_ids(parts)
 
     def announce(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in common.slices(batch):
                 addr = part.column(0).to_numpy()
-                ids, known = _ids(part)
+                docs, known = _ids(part)
                 r = method.runs(part.column(2))
                 ok = known[r.row]
-                key, doc, row = r.key[ok], ids[r.row[ok]], addr[r.row[ok]]
-                if not len(key):
+                tag, key, row = tags(r)[ok], r.key[ok], r.row[ok]
+                if not len(tag):
                     continue
-                order = np.lexsort((doc, key))
-                key, doc, row = key[order], doc[order], row[order]
-                new = _first_of(key)
-                group = np.cumsum(new) - 1
-                heads = np.flatnonzero(new)
-                many = np.maximum.reduceat(doc, heads) != doc[heads]
+                doc = docs[row]
+                order = np.lexsort((row, doc, tag))
+                tag, key, row, doc = tag[order], key[order], row[order], doc[order]
+                start = _first_of(tag)
+                least = doc[np.flatnonzero(start)][np.cumsum(start) - 1]
+                out = []
+                late = doc > least  # settled within the slice
+                for i, t in _by(row[late], tag[late]):
+                    a = int(addr[i])
+                    out.append((int(ids[a % parts]), a, np.unique(t).tobytes(), None, None))
+                new = start | _first_of(row)
+                say = ~late & new
+                tag, key, row = tag[say], key[say], row[say]
+                for p, t, i in _by(((key & _FINGER) % np.uint64(parts)).astype(np.int64), tag, row):
+                    order = np.argsort(i, kind="stable")
+                    t, i = t[order], i[order]
+                    heads = np.flatnonzero(_first_of(i))
+                    n = np.diff(np.append(heads, len(i)))
+                    who = np.stack([addr[i[heads]], docs[i[heads]], n]).astype(np.int64)
+                    out.append((int(ids[p]), None, None, t.tobytes(), who.tobytes()))
+                yield _batch(TOLD, out)
+
+    def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        got: list[list] = [[], [], []]
+        for batch in batches:
+            mine = np.asarray(batch.column(1).is_null())
+            if not mine.all():
+                passed = batch.filter(pa.array(~mine))
+                none = pa.nulls(passed.num_rows, pa.binary())
+                yield pa.RecordBatch.from_arrays([passed.column(1), passed.column(2), none, none], ["row", "settled", "open", "hot"])
+            for i in np.flatnonzero(mine).tolist():
+                who = np.frombuffer(batch.column(4)[i].as_py(), np.int64).reshape(3, -1)
+                got[0].append(np.frombuffer(batch.column(3)[i].as_py(), np.uint64))
+                got[1].append(np.repeat(who[0], who[2]))
+                got[2].append(np.repeat(who[1], who[2]))
+        if not got[0]:
+            return
+        tag, row, doc = (np.concatenate(x) for x in got)
+        got.clear()
+        order = np.lexsort((doc, tag))
+        tag, row, doc = tag[order], row[order], doc[order]
+        start = _first_of(tag)
+        heads = np.flatnonzero(start)
+        least = doc[heads][np.cumsum(start) - 1]
+        anchor = tag >> np.uint64(24)
+        own = anchor[heads]
+        first = np.flatnonzero(_first_of(own))
+        kinds = np.repeat(np.diff(np.append(first, len(own))), np.diff(np.append(heads[first], len(tag))))
+        status = np.where(doc > least, 1, np.where(kinds == 1, 0, np.where(kinds <= HOT, 2, 3)))
+        on = status > 0
+        tag, row, status = tag[on], row[on], status[on]
+        out = []
+        for a, t, s in _by(row, tag, status):
+            out.append((int(a), *(t[s == k].tobytes() for k in (1, 2, 3))))
+            if len(out) == 5000:
+                yield _batch(JUDGED, out)
                 out = []
-                # several documents of this slice: they know; others only need to hear of the key
-                told = many[group]
-                for a, ks in _by(row[told], key[told]):
-                    out.append((int(a % buckets), int(a), np.unique(ks).tobytes(), None))
-                one = np.where(many, NOBODY, row[heads])
-                keys = key[heads]
-                for b, ks, who in _by((keys % np.uint64(buckets)).astype(np.int64), keys, one):
-                    out.append((int(b), None, ks.tobytes(), who.tobytes()))
-                yield _batch(ANNOUNCED, out)
+        yield _batch(JUDGED, out)
 
-    return rows.mapInArrow(announce, ANNOUNCED).repartition(buckets, "bucket").mapInArrow(settle_keys, SHARED)
+    return rows.mapInArrow(announce, TOLD).repartition(parts, "bucket").mapInArrow(judge, JUDGED)
 
 
-def marked(rows: DataFrame, method: Method, buckets: int) -> DataFrame:
+def marked(rows: DataFrame, method: Method, parts: int) -> DataFrame:
     """(row, marks): starts and ends, as pairs of 64-bit numbers, of items covered by repeated windows; a row may come in parts."""
-    size = method.size
-    keys = shared_keys(rows, method, buckets).groupBy("row").agg(F.collect_list("keys").alias("keys")).withColumnRenamed("row", "_row")
-    mine = rows.join(keys, rows["row"] == keys["_row"]).select("row", "id", "text", "keys")
+    size, ids = method.size, even_ids(parts)
+    fine = SUB * parts
+    told = judged(rows, method, parts).groupBy("row").agg(*[F.collect_list(c).alias(c) for c in ("settled", "open", "hot")]).withColumnRenamed("row", "_row")
+    mine = rows.join(told, rows["row"] == told["_row"]).select("row", "id", "text", "settled", "open", "hot")
+
+    def place(bucket: np.ndarray) -> np.ndarray:
+        return bucket // SUB
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in common.slices(batch):
                 addr = part.column(0).to_numpy()
-                ids, _ = _ids(part)
+                docs, _ = _ids(part)
                 r = method.runs(part.column(2))
-                keep = np.zeros(len(r.key), bool)
+                tag = tags(r)
+                status = np.zeros(len(tag), np.int8)
                 edges = np.searchsorted(r.row, np.arange(part.num_rows + 1))
-                for i, lists in enumerate(part.column(3).to_pylist()):
-                    a, b = edges[i], edges[i + 1]
-                    keep[a:b] = np.isin(r.key[a:b], np.frombuffer(b"".join(lists), np.uint64))
-                at = np.flatnonzero(keep)
-                if not len(at):
-                    continue
-                doc = ids[r.row[at]]
-                order = np.lexsort((doc, r.count[at], r.content[at]))
-                at, doc = at[order], doc[order]
-                new = _first_of(r.content[at]) | _first_of(r.count[at])
-                least = doc[np.flatnonzero(new)][np.cumsum(new) - 1]
-                settled = doc > least
+                for k, column in enumerate((3, 4, 5), 1):
+                    for i, lists in enumerate(part.column(column).to_pylist()):
+                        if lists:
+                            a, b = edges[i], edges[i + 1]
+                            status[a:b][np.isin(tag[a:b], np.frombuffer(b"".join(lists), np.uint64))] = k
                 out = []
-                s = at[settled]
-                for a, first, n in _by(addr[r.row[s]], r.start[s], r.count[s]):
-                    out.append((int(a % buckets), int(a), np.stack([first, first + n - 1 + size], 1).astype(np.int64).tobytes(), None))
-                s = at[~settled]
-                head = np.stack([addr[r.row[s]], ids[r.row[s]], r.start[s], r.count[s]], 1).astype(np.int64)
-                where = (r.key[s] % np.uint64(buckets)).astype(np.int64)
-                for b, idx in _by(where, np.arange(len(s))):
-                    out.append((int(b), None, head[idx].tobytes(), r.pack(s[idx])))
+                s = np.flatnonzero(status == 1)
+                gone = [(r.row[s], r.start[s], r.start[s] + r.count[s] - 1 + size)]
+                s = np.flatnonzero(status == 2)
+                head = np.stack([addr[r.row[s]], docs[r.row[s]], r.start[s], r.count[s], r.key[s].view(np.int64)]).astype(np.int64)
+                for b, idx in _by((r.key[s] % np.uint64(fine)).astype(np.int64), np.arange(len(s))):
+                    out.append((int(ids[place(b)]), int(b), None, head[:, idx].tobytes(), r.pack(s[idx])))
+                s = np.flatnonzero(status == 3)
+                if len(s):  # anchors with very many runs: each window goes where equal windows go, once per slice
+                    name, body = r.single(s)
+                    run = np.repeat(s, r.count[s])
+                    at = np.arange(len(run)) - np.repeat(np.cumsum(r.count[s]) - r.count[s], r.count[s]) + r.start[run]
+                    doc = docs[r.row[run]]
+                    order = np.lexsort((doc, name))
+                    start = _first_of(name[order])
+                    least = np.empty(len(name), np.int64)
+                    least[order] = doc[order][np.flatnonzero(start)][np.cumsum(start) - 1]
+                    late = doc > least
+                    gone.append((r.row[run[late]], at[late], at[late] + size))
+                    k = np.flatnonzero(~late)
+                    head = np.stack([addr[r.row[run[k]]], doc[k], at[k], np.ones(len(k), np.int64), name[k].view(np.int64)]).astype(np.int64)
+                    for b, idx in _by((name[k] % np.uint64(fine)).astype(np.int64), np.arange(len(k))):
+                        out.append((int(ids[place(b)]), int(b), None, head[:, idx].tobytes(), body(k[idx])))
+                row, first, last = (np.concatenate(x) for x in zip(*gone, strict=True))
+                for i, x, y in _by(row, first, last):
+                    a = int(addr[i])
+                    out.append((int(ids[a % parts]), None, a, _packed_marks(x, y), None))
                 yield _batch(SENT, out)
 
     def settle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        heads, bodies = [], []
+        held: dict[int, tuple[list, list]] = {}
         for batch in batches:
-            at = batch.column(1)
-            own = np.asarray(at.is_null())
+            own = np.asarray(batch.column(2).is_null())
             if not own.all():
                 passed = batch.filter(pa.array(~own))
-                yield pa.RecordBatch.from_arrays([passed.column(1), passed.column(2)], ["row", "marks"])
-            for i in np.flatnonzero(own):
-                heads.append(np.frombuffer(batch.column(2)[int(i)].as_py(), np.int64).reshape(-1, 4))
-                bodies.append(batch.column(3)[int(i)].as_py())
-        if not heads:
-            return
-        head = np.concatenate(heads)
-        hit = method.compare(b"".join(bodies), head[:, 1], head[:, 3])
-        # runs of marked windows within each run
-        first = np.concatenate(([0], np.cumsum(head[:, 3])))
-        run = common.row_of(first)
-        on = np.flatnonzero(hit)
-        if not len(on):
-            return
-        begin = np.ones(len(on), bool)
-        begin[1:] = (on[1:] != on[:-1] + 1) | (run[on[1:]] != run[on[:-1]])
-        b = np.flatnonzero(begin)
-        e = np.append(b[1:], len(on)) - 1
-        r = run[on[b]]
-        start = head[r, 2] + on[b] - first[r]
-        end = head[r, 2] + on[e] - first[r] + size
-        out = []
-        for a, s, t in _by(head[r, 0], start, end):
-            out.append((int(a), np.stack([s, t], 1).astype(np.int64).tobytes()))
-            if len(out) == 5000:
+                yield pa.RecordBatch.from_arrays([passed.column(2), passed.column(3)], ["row", "marks"])
+            for i in np.flatnonzero(own).tolist():
+                heads, bodies = held.setdefault(batch.column(1)[i].as_py(), ([], []))
+                heads.append(np.frombuffer(batch.column(3)[i].as_py(), np.int64).reshape(5, -1))
+                bodies.append(batch.column(4)[i].as_py())
+        while held:  # a part of the bucket at a time: equal windows share it
+            _, (heads, bodies) = held.popitem()
+            out = _settle_bucket(np.concatenate(heads, axis=1).T, b"".join(bodies), method)
+            if out:
                 yield _batch(MARKED, out)
-                out = []
-        yield _batch(MARKED, out)
 
-    return mine.mapInArrow(send, SENT).repartition(buckets, "bucket").mapInArrow(settle, MARKED)
+    return mine.mapInArrow(send, SENT).repartition(parts, "bucket").mapInArrow(settle, MARKED)
+
+
+def _settle_bucket(head: np.ndarray, body: bytes, method: Method) -> list[tuple]:
+    """Rows of MARKED for the runs of a bucket."""
+    hit = method.compare(body, head[:, 1], head[:, 3], head[:, 4])
+    first = np.concatenate(([0], np.cumsum(head[:, 3])))
+    run = common.row_of(first)
+    on = np.flatnonzero(hit)
+    if not len(on):
+        return []
+    start = head[run[on], 2] + on - first[run[on]]
+    return [(int(a), _packed_marks(s, s + method.size)) for a, s in _by(head[run[on], 0], start)]
 
 
-def with_marks(docs: DataFrame, method: Method, id_col: str = "doc_id", text_col: str = "text", buckets: int | None = None) -> DataFrame:
+def with_marks(docs: DataFrame, method: Method, id_col: str = "doc_id", text_col: str = "text", parts: int | None = None) -> DataFrame:
     """(row, id, text, marks): every row of ``docs`` with the item ranges to remove, as a list of packed parts or null."""
-    buckets = buckets or common.partitions(docs.sparkSession)
+    parts = parts or common.partitions(docs.sparkSession)
     rows = addressed(docs, id_col, text_col)
-    marks = marked(rows, method, buckets).groupBy("row").agg(F.collect_list("marks").alias("marks")).withColumnRenamed("row", "_row")
+    marks = marked(rows, method, parts).groupBy("row").agg(F.collect_list("marks").alias("marks")).withColumnRenamed("row", "_row")
     return rows.join(marks, rows["row"] == marks["_row"], "left").select("id", "text", "marks")
 
 

@@ -103,7 +103,7 @@ class WordWindows(repeats.Method):
         w = common.whole_windows(first, self.size)
         if not len(w):
             none = np.zeros(0, np.int64)
-            return repeats.Runs(none.astype(np.uint64), none, none, none, none.astype(np.uint64), lambda idx: b"")
+            return repeats.Runs(none.astype(np.uint64), none, none, none, none.astype(np.uint64), lambda idx: b"", lambda idx: (none.astype(np.uint64), lambda k: b""))
         around, _ = reach()
         name, at = recompress(code, row)
         stop = np.append(at[1:], len(code))
@@ -129,10 +129,14 @@ class WordWindows(repeats.Method):
             s, n = w[h[idx]], count[idx]
             return full[np.repeat(s - np.concatenate(([0], np.cumsum(n)[:-1])), n) + np.arange(n.sum())].tobytes()
 
+        def single(idx: np.ndarray):
+            name = np.frombuffer(pack(idx), np.uint64)
+            return name, lambda k: name[k].tobytes()
+
         r = row[w[h]]
-        return repeats.Runs(key[sym], r, w[h] - first[r], count, content, pack)
+        return repeats.Runs(key[sym], r, w[h] - first[r], count, content, pack, single)
 
-    def compare(self, body: bytes, owner: np.ndarray, count: np.ndarray) -> np.ndarray:
+    def compare(self, body: bytes, owner: np.ndarray, count: np.ndarray, key: np.ndarray) -> np.ndarray:
         name = np.frombuffer(body, np.uint64)
         doc = np.repeat(owner, count)
         order = np.lexsort((doc, name))

@@ -27,16 +27,22 @@ from . import common, repeats
 #: Bytes of an anchor.
 GRAM = 20
 #: Bytes to which multikey quicksort goes before blind tries take over.
-SHALLOW = 24
+SHALLOW = 40
+#: Windows whose anchors are found at once.
+BLOCK = 1 << 16
 
 
 class BlindTrie:
     """Strings of one length by their branching positions. A node is (position, {byte: child}); a leaf is a list of members, all equal."""
 
-    __slots__ = ("get", "root")
+    __slots__ = ("at", "depth", "raw", "root", "size")
 
-    def __init__(self, get):
-        self.get, self.root = get, None
+    def __init__(self, raw: bytes, at: np.ndarray, depth: int, size: int):
+        self.raw, self.at, self.depth, self.size, self.root = raw, at, depth, size, None
+
+    def get(self, member: int) -> bytes:
+        a = int(self.at[member])
+        return self.raw[a + self.depth : a + self.size]
 
     def add(self, member: int) -> None:
         if self.root is None:
@@ -78,55 +84,67 @@ class BlindTrie:
                 yield node
 
 
-def _word(data: np.ndarray, at: np.ndarray, depth: int) -> np.ndarray:
-    """Eight bytes at ``depth`` as one big-endian number each."""
-    out = np.zeros(len(at), np.uint64)
-    for i in range(8):
-        out = (out << np.uint64(8)) | data[at + depth + i]
-    return out
+def _words_at(data: np.ndarray) -> np.ndarray:
+    """The eight bytes from each place on as one big-endian number, without copying."""
+    return np.ndarray((len(data) - 7,), ">u8", data, 0, (1,))
+
 
+def sort_groups(data: np.ndarray, at: np.ndarray, size: int, shallow: int = SHALLOW) -> tuple[np.ndarray, np.ndarray]:
+    """(members, starts): places in ``at`` of suffixes that agree in ``size`` bytes with another, group after group, and where each group starts.
 
-def equal_groups(data: np.ndarray, at: np.ndarray, size: int, shallow: int = SHALLOW) -> Iterator[np.ndarray]:
-    """Indices into ``at`` of suffixes that agree in ``size`` bytes, in suffix order. ``data`` holds ``size`` bytes from each place on, and eight more."""
+    ``data`` holds ``size`` bytes from each place on. Multikey quicksort takes eight bytes as a key; all segments of a depth are
+    partitioned together, and segments of one suffix are done. Groups come in suffix order at the shallow depth; blind tries keep
+    that order within.
+    """
+    view = _words_at(data)
+    idx, seg, depth = np.arange(len(at)), np.zeros(len(at), np.int64), 0
+    while depth < shallow and len(idx):
+        w = view[at[idx] + depth].astype(np.uint64)
+        order = np.argsort(w, kind="stable") if depth == 0 else np.lexsort((w, seg))
+        idx, seg, w = idx[order], seg[order], w[order]
+        new = np.ones(len(idx), bool)
+        new[1:] = (seg[1:] != seg[:-1]) | (w[1:] != w[:-1])
+        seg = np.cumsum(new) - 1
+        many = np.bincount(seg)[seg] > 1
+        idx, seg = idx[many], seg[many]
+        depth += 8
+    if not len(idx):
+        return idx, idx
+    starts = np.flatnonzero(repeats._first_of(seg))
+    # most groups are copies to the end, which their first suffix tells
+    group = np.repeat(np.arange(len(starts)), np.diff(np.append(starts, len(idx))))
+    head = at[idx[starts]]
+    same = np.ones(len(idx), bool)
+    for d in sorted({*range(depth, size - 7, 8), size - 8}):
+        same &= view[at[idx] + d] == view[head[group] + d]
+    mixed = np.zeros(len(starts), bool)
+    mixed[group[~same]] = True
+    if not mixed.any():
+        return idx, starts
+    out, sizes = [idx[~mixed[group]]], [np.diff(np.append(starts, len(idx)))[~mixed]]
     raw = data.tobytes()
-    stack = [(np.arange(len(at)), 0)]
-    while stack:
-        idx, depth = stack.pop()
-        if not len(idx):
-            continue
-        if depth >= shallow and len(idx) > 1:
-            # deep: most groups are copies, which a look at the rest tells at once
-            tail = np.lib.stride_tricks.sliding_window_view(data, size - depth)[at[idx] + depth] if len(idx) <= 4096 else None
-            if tail is not None and (tail == tail[0]).all():
-                yield idx
-                continue
-            trie = BlindTrie(lambda i: raw[at[i] + depth : at[i] + size])  # noqa: B023
-            for i in idx.tolist():
-                trie.add(i)
-            for leaf in trie.leaves():
-                yield np.array(leaf)
-            continue
-        if len(idx) == 1:
-            yield idx
-            continue
-        w = _word(data, at[idx], depth)
-        if len(idx) <= 20_000:  # a small segment is cut into all its parts at once
-            order = np.argsort(w, kind="stable")
-            w, idx = w[order], idx[order]
-            edges = np.append(np.flatnonzero(repeats._first_of(w)), len(w))
-            lone = np.diff(edges) == 1
-            if lone.all():
-                for i in idx:
-                    yield np.array([i])
-                continue
-            for a, b in zip(edges[-2::-1].tolist(), edges[:0:-1].tolist(), strict=True):
-                stack.append((idx[a:b], depth + 8))
-            continue
-        probe = w[np.linspace(0, len(w) - 1, 9).astype(int)]
-        pivot = np.sort(probe)[4]
-        stack.append((idx[w > pivot], depth))
-        stack.append((idx[w == pivot], depth + 8))
-        stack.append((idx[w < pivot], depth))
+    ends = np.append(starts[1:], len(idx))
+    for g in np.flatnonzero(mixed).tolist():
+        trie = BlindTrie(raw, at, depth, size)
+        for i in idx[starts[g] : ends[g]].tolist():
+            trie.add(i)
+        leaves = [x for x in trie.leaves() if len(x) > 1]
+        out += [np.array(x) for x in leaves]
+        sizes.append(np.array([len(x) for x in leaves], np.int64))
+    n = np.concatenate(sizes)
+    return np.concatenate(out), np.concatenate(([0], np.cumsum(n)[:-1])).astype(np.int64)
+
+
+def least(value: np.ndarray, width: int) -> np.ndarray:
+    """Place of the smallest (the first, on ties) of each ``width`` neighbours, by doubling the width."""
+    best, place, have = value, np.arange(len(value), dtype=np.int32), 1
+    while have < width:
+        step = min(have, width - have)
+        a, b = best[:-step], best[step:]
+        place = np.where(b < a, place[step:], place[:-step])
+        best = np.minimum(a, b)
+        have += step
+    return place
 
 
 class ByteWindows(repeats.Method):
@@ -137,49 +155,60 @@ class ByteWindows(repeats.Method):
 
     def runs(self, col: pa.Array) -> repeats.Runs:
         data, off = common.text_bytes(col)
-        n_rows, size = len(off) - 1, self.size
-        none = np.zeros(0, np.int64)
-        n = len(data) - size + 1
-        if n <= 0:
-            return repeats.Runs(none.astype(np.uint64), none, none, none, none.astype(np.uint64), lambda idx: b"")
-        pre = common.Prefix(data)
-        m = len(data) - GRAM + 1
+        size = self.size
+        found = [self._block(data, off, lo, min(lo + BLOCK, len(data) - size + 1)) for lo in range(0, len(data) - size + 1, BLOCK)]
+        key, row, h, count, content, place = (np.concatenate([f[i] for f in found]) if found else np.zeros(0, np.uint64 if i in (0, 4) else np.int64) for i in range(6))
+        # a run that a block's edge cuts is put together again: what a run is must not depend on its neighbours in the batch
+        cut = 1 + np.flatnonzero((h[1:] % BLOCK == 0) & (place[1:] == place[:-1]) & (row[1:] == row[:-1]) & (h[1:] == h[:-1] + count[:-1]))
+        for i in cut.tolist():
+            count[i - 1] += count[i]
+            whole = data[h[i - 1] : h[i - 1] + count[i - 1] + size - 1]
+            content[i - 1] = common.Prefix(whole).hash(np.array([0]), np.array([len(whole)]))[0]
+        if len(cut):
+            keep = np.ones(len(h), bool)
+            keep[cut] = False
+            key, row, h, count, content = key[keep], row[keep], h[keep], count[keep], content[keep]
+
+        def pack(idx: np.ndarray) -> bytes:
+            return b"".join([data[a:b].tobytes() for a, b in zip(h[idx].tolist(), (h[idx] + count[idx] + size - 1).tolist(), strict=True)])
+
+        def single(idx: np.ndarray):
+            n = count[idx]
+            at = np.repeat(h[idx] - np.concatenate(([0], np.cumsum(n)[:-1])), n) + np.arange(n.sum())
+            return common.Prefix(data).hash(at, at + size), lambda k: b"".join([data[a : a + size].tobytes() for a in at[k].tolist()])
+
+        return repeats.Runs(key, row, h - off[row], count, content, pack, single)
+
+    def _block(self, data: np.ndarray, off: np.ndarray, lo: int, hi: int) -> tuple[np.ndarray, ...]:
+        """Runs of the windows that start in [lo, hi), with the places of their anchors; a block's arrays stay in the processor's cache."""
+        size, n = self.size, hi - lo
+        seg = data[lo : hi + size - 1]
+        pre = common.Prefix(seg)
+        m = len(seg) - GRAM + 1
         gram = common.mix((pre.sums[GRAM:] - pre.sums[:m]) * pre.q[:m])
-        pick = self._minima(gram, size - GRAM + 1)
-        row = np.repeat(np.arange(n_rows), np.diff(off))[:n]
-        whole = off[row + 1] - np.arange(n) >= size
+        pick = least(gram, size - GRAM + 1)
         new = np.ones(n, bool)
-        new[1:] = (pick[1:] != pick[:-1]) | (row[1:] != row[:-1])
-        h = np.flatnonzero(new & whole)
-        # windows that reach past their row end the last run of the row
-        edges = np.flatnonzero(new | ~whole)
-        nxt = np.append(edges, n)[np.searchsorted(edges, h, "right")]
-        count = nxt - h
-        end = h + count + size - 1
-        content = pre.hash(h, end)
-        r = row[h]
+        np.not_equal(pick[1:], pick[:-1], out=new[1:])
+        edges = off - lo
+        first, last = np.searchsorted(edges, (0, n), "left")
+        new[edges[first:last]] = True
+        # windows that reach past the end of their row
+        past = np.zeros(n, bool)
+        for e in edges[(edges > 0) & (edges < n + size)].tolist():
+            past[max(0, e - size + 1) : min(e, n)] = True
+            if 0 < e - size + 1 < n:
+                new[e - size + 1] = True
+        if off[-1] - lo < n + size - 1:
+            raise AssertionError("blocks end with the buffer")
+        heads = np.flatnonzero(new)
+        count = np.diff(np.append(heads, n))
+        ok = ~past[heads]
+        h, count = heads[ok], count[ok]
+        content = pre.hash(h, h + count + size - 1)
+        row = np.searchsorted(off, h + lo, "right") - 1
+        return gram[pick[h]], row, h + lo, count, content, pick[h].astype(np.int64) + lo
 
-        def pack(idx: np.ndarray) -> bytes:
-            return b"".join(data[a:b].tobytes() for a, b in zip(h[idx].tolist(), end[idx].tolist(), strict=True))
-
-        return repeats.Runs(gram[pick[h]], r, h - off[r], count, content, pack)
-
-    @staticmethod
-    def _minima(value: np.ndarray, width: int) -> np.ndarray:
-        """Place of the smallest (first) of each ``width`` neighbours: minima up to and from block edges, joined."""
-        n = len(value)
-        pad = -n % width
-        v = np.append(value, np.full(pad, np.uint64(0xFFFFFFFFFFFFFFFF))).reshape(-1, width)
-        place = np.arange(v.size).reshape(v.shape)
-        fwd = np.minimum.accumulate(v, axis=1)
-        back = np.minimum.accumulate(v[:, ::-1], axis=1)[:, ::-1]
-        f_at = np.maximum.accumulate(np.where((v == fwd) & np.concatenate([np.ones((len(v), 1), bool), fwd[:, 1:] < fwd[:, :-1]], axis=1), place, -1), axis=1)
-        b_at = np.minimum.accumulate(np.where(v == back, place, v.size)[:, ::-1], axis=1)[:, ::-1]
-        k = n - width + 1
-        left, right = back.ravel()[:k], fwd.ravel()[width - 1 : width - 1 + k]
-        return np.where(right < left, f_at.ravel()[width - 1 : width - 1 + k], b_at.ravel()[:k])
-
-    def compare(self, body: bytes, owner: np.ndarray, count: np.ndarray) -> np.ndarray:
+    def compare(self, body: bytes, owner: np.ndarray, count: np.ndarray, key: np.ndarray) -> np.ndarray:
         size = self.size
         length = count + size - 1
         first = np.concatenate(([0], np.cumsum(length)))
@@ -193,18 +222,26 @@ class ByteWindows(repeats.Method):
         group = np.empty(len(h), np.int64)
         group[order] = np.cumsum(new) - 1
         lead = order[new]
-        least = owner[lead]
-        # suffixes of the distinct runs
+        least_owner = owner[lead]
+        # suffixes of the distinct runs whose anchor another distinct run has
+        _, same_key = np.unique(key[lead], return_inverse=True)
+        rival = np.bincount(same_key)[same_key] > 1
         n = count[lead]
         base = np.concatenate(([0], np.cumsum(n)))
-        at = np.repeat(first[lead] - base[:-1], n) + np.arange(base[-1])
-        doc = np.repeat(least, n)
-        beaten = np.zeros(len(at), bool)
-        for g in equal_groups(data, at, size):
-            if len(g) > 1:
-                beaten[g] = doc[g] > doc[g].min()
+        beaten = np.zeros(base[-1], bool)
+        m = np.where(rival, n, 0)
+        stop = np.cumsum(m)
+        inside = np.arange(stop[-1]) - np.repeat(stop - m, m)
+        at = np.repeat(first[lead], m) + inside
+        place = np.repeat(base[:-1], m) + inside
+        doc = np.repeat(least_owner, m)
+        members, starts = sort_groups(data, at, size)
+        if len(members):
+            low = np.minimum.reduceat(doc[members], starts)
+            span = np.diff(np.append(starts, len(members)))
+            beaten[place[members]] = doc[members] > np.repeat(low, span)
         src = np.repeat(base[group] - window0[:-1], count) + np.arange(len(out))
-        out[:] = beaten[src] | np.repeat(owner > least[group], count)
+        out[:] = beaten[src] | np.repeat(owner > least_owner[group], count)
         return out
 
 
