@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 import zipfile
 from collections.abc import Callable
 
@@ -37,3 +38,16 @@ def shipped(query: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkS
 
     run.__name__, run.__doc__ = query.__name__, query.__doc__
     return run
+
+
+def shared_dir(spark: SparkSession) -> str:
+    """A new folder name under ``spark.checkpoint.dir``; where that is unset (one machine), under /tmp/checkpoints."""
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir") or "file:///tmp/checkpoints"
+    return f"{base.rstrip('/')}/parcelyard-{uuid.uuid4().hex}"
+
+
+def shared_table(df: DataFrame) -> DataFrame:
+    """``df`` written as Parquet to the shared folder and read back: cuts lineage and survives lost executors."""
+    path = shared_dir(df.sparkSession)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
