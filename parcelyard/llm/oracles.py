@@ -10,11 +10,11 @@ ASCII_LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrst
 
 def op1() -> str:
     """Base statistics, then cutoffs by exact binomial tails, as in quality_rules."""
-    strata_tests = sum(len(c) for _, _, c in quality_rules.RULES.values())
+    strata_tests = len(quality_rules.RULES)
     grid = " union all ".join(f"select '{r}' as rule, {str(high).lower()} as high, unnest([{', '.join(map(repr, cs))}]::double[]) as c" for r, (_, high, cs) in quality_rules.RULES.items())
 
     def value(expr: str) -> str:
-        return expr.replace("cast(s_n_words as double)", "n_words::double").replace("s_n_", "n_").replace("s_word_chars", "word_chars")
+        return expr.replace("s_n_", "n_").replace("s_word_chars", "word_chars")
 
     values = " union all ".join(f"select doc_id, stratum, base_failed, '{r}' as rule, ({value(e)})::double as x from s" for r, (e, _, _) in quality_rules.RULES.items())
     chars = lambda c: f"strlen(regexp_replace(t, '[^{c}]', '', 'g'))"
@@ -36,9 +36,9 @@ grid as ({grid}),
 lab as (select v.stratum, v.rule, v.x, l.quality as q from v join labels l using (doc_id) where not v.base_failed and l.quality in (0, 1)),
 cnt as (select lab.stratum, grid.rule, high, c, sum(case when (high and x > c) or (not high and x < c) then q else 0 end) as good,
   sum(case when (high and x > c) or (not high and x < c) then 1 - q else 0 end) as bad, sum(q) as n from lab join grid using (rule) group by all),
-par as (select 0.05 / (count(distinct stratum) * {strata_tests}) as delta, 0.01 / {len(quality_rules.RULES)} as a from lab),
+par as (select {quality_rules.DELTA} / (count(distinct stratum) * {strata_tests}) as delta, {quality_rules.ALPHA} / {len(quality_rules.RULES)} as a from lab),
 tails as (select good, n, case when good >= n then 1.0 else list_sum(list_transform(range(0, good::bigint + 1), lambda i: exp(lgamma(n + 1) - (case when i = 0 then 0 else lgamma(i + 1) end) - lgamma(n - i + 1) + i * ln(a) + (n - i) * ln(1 - a)))) end as tail
-  from (select distinct good, n from cnt where good <= n * 0.01), par),
+  from (select distinct good, n from cnt where good <= n * {quality_rules.ALPHA}), par),
 best as (select stratum, rule, high, c from cnt join tails using (good, n), par where tail <= delta and bad > 4.0 * good
   qualify row_number() over (partition by stratum, rule order by bad - 4.0 * good desc, case when high then -c else c end desc) = 1),
 hit as (select distinct v.doc_id from v join best using (stratum, rule) where (best.high and x > best.c) or (not best.high and x < best.c))

@@ -4,9 +4,11 @@ Each rule rejects a document whose statistic lies beyond a cutoff. Cutoffs are
 chosen per stratum (language) from labelled holdouts: for every candidate the
 exact upper binomial (Clopper-Pearson) bound on the share of good documents that
 it rejects must not exceed the rule's part of ``alpha``, at confidence
-1 - ``delta`` shared by Bonferroni among all strata, rules and candidates. Among
-certified cutoffs, the one that rejects most bad documents for its good ones
-wins; without one, the stratum has no such rule.
+1 - ``delta``. Two corrections keep that for all of them together: ``delta`` is
+shared by Bonferroni among strata and rules, and a rule's candidates are tested
+in a fixed sequence from the most lenient on, ending at the first that fails.
+Among certified cutoffs, the one that rejects most bad documents for its good
+ones wins; without one, the stratum has no such rule.
 
 Counts are pre-aggregated to stratum, rule and candidate before they are
 gathered, so what a task holds is fixed by the grids. Null languages form a
@@ -26,6 +28,8 @@ from pyspark.sql import functions as F
 
 from . import common, text_stats
 
+#: Share of a stratum's good documents that all rules together may reject, and the chance of breaking that anywhere.
+ALPHA, DELTA = 0.02, 0.05
 #: Statistic (an expression over s_ columns) and whether large values are rejected, with its candidate cutoffs.
 RULES: dict[str, tuple[str, bool, tuple[float, ...]]] = {
     "symbols": ("s_n_symbols / greatest(s_word_chars, 1)", True, tuple(round(0.005 * i, 4) for i in range(1, 61))),
@@ -34,9 +38,6 @@ RULES: dict[str, tuple[str, bool, tuple[float, ...]]] = {
     "dup_lines": ("s_n_dup_lines / greatest(s_n_lines, 1)", True, tuple(round(0.02 * i, 4) for i in range(1, 51))),
     "repeats": ("s_n_repeat_words / greatest(s_n_words, 1)", True, tuple(round(0.02 * i, 4) for i in range(1, 51))),
     "digits": ("s_n_digits / greatest(s_word_chars, 1)", True, tuple(round(0.01 * i, 4) for i in range(1, 51))),
-    "few_words": ("cast(s_n_words as double)", False, tuple(float(x) for x in (10, 12, 15, 20, 25, 30, 40, 50))),
-    "short_words": ("s_word_chars / greatest(s_n_words, 1)", False, tuple(round(1 + 0.1 * i, 2) for i in range(40))),
-    "long_words": ("s_word_chars / greatest(s_n_words, 1)", True, tuple(round(5 + 0.25 * i, 2) for i in range(60))),
 }
 
 
@@ -77,6 +78,7 @@ def choose(counts: pd.DataFrame, alpha: float, delta: float, price: float) -> pd
     out = []
     for (stratum, rule), g in counts.groupby(["stratum", "rule"], sort=True, dropna=False):
         k = allowed(int(g["n_good"].iloc[0]), alpha, delta)
+        # rejections of good documents only grow along the sequence, so what passes is its beginning
         ok = g[(g["good"] <= k) & (g["bad"] > price * g["good"])]
         if len(ok):
             best = ok.assign(gain=ok["bad"] - price * ok["good"], strict=ok["candidate"] * (-1 if RULES[rule][1] else 1)).sort_values(["gain", "strict"]).iloc[-1]
@@ -84,7 +86,7 @@ def choose(counts: pd.DataFrame, alpha: float, delta: float, price: float) -> pd
     return pd.DataFrame(out, columns=["stratum", "rule", "cutoff"])
 
 
-def thresholds(stats: DataFrame, labels: DataFrame, alpha: float = 0.01, delta: float = 0.05, price: float = 4.0, id_col: str = "doc_id", stratum_col: str = "lang") -> DataFrame:
+def thresholds(stats: DataFrame, labels: DataFrame, alpha: float = ALPHA, delta: float = DELTA, price: float = 4.0, id_col: str = "doc_id", stratum_col: str = "lang") -> DataFrame:
     """(stratum, rule, cutoff) fitted on the labelled rows of ``stats`` that pass the base rules."""
     marks = labels.filter(F.col(id_col).isNotNull() & F.col("quality").isin(0, 1)).select(F.col(id_col).alias("_id"), F.col("quality").alias("_good"))
     known = stats.filter(~base_failed()).join(marks, F.col(id_col) == F.col("_id"))
@@ -101,7 +103,7 @@ def thresholds(stats: DataFrame, labels: DataFrame, alpha: float = 0.01, delta:
     rows = known.select(F.coalesce(F.col(stratum_col), F.lit("")).alias("stratum"), "_good", F.explode(F.array(*bins)).alias("b"))
     counts = rows.groupBy("stratum", F.col("b.rule").alias("rule"), F.col("b.bin").alias("bin")).agg(F.sum("_good").alias("g"), F.sum(1 - F.col("_good")).alias("b"))
     strata = counts.select("stratum").distinct().count()
-    tests = max(1, strata * sum(len(g) for g in grids.values()))
+    tests = max(1, strata * len(names))
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         cols = []
@@ -116,7 +118,7 @@ def thresholds(stats: DataFrame, labels: DataFrame, alpha: float = 0.01, delta:
     return counts.groupBy("stratum").applyInPandas(run, "stratum string, rule string, cutoff double")
 
 
-def verdicts(docs: DataFrame, labels: DataFrame, alpha: float = 0.01, delta: float = 0.05, id_col: str = "doc_id", stratum_col: str = "lang", text_col: str = "text") -> DataFrame:
+def verdicts(docs: DataFrame, labels: DataFrame, alpha: float = ALPHA, delta: float = DELTA, id_col: str = "doc_id", stratum_col: str = "lang", text_col: str = "text") -> DataFrame:
     """Statistics (s_ columns), base_failed, kept and the failed rules of every document."""
     rows = docs.select(id_col, stratum_col, text_col)
     stats = common.table(text_stats.with_stats(rows, text_col))
