@@ -13,9 +13,10 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: Bytes of text handled at once by the vectorised operators.
-SLICE_BYTES = 2 << 20
+SLICE_BYTES = 1 << 20
 _P1 = np.uint64(0x9E3779B97F4A7C15)
 _P2 = np.uint64(0xBF58476D1CE4E5B9)
 _P3 = np.uint64(0x94D049BB133111EB)
@@ -50,6 +51,16 @@ def table(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def fold(docs: DataFrame, text_col: str) -> DataFrame:
+    """(doc, text): all other columns as one, so that their names cannot clash with an operator's own."""
+    return docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns if c != text_col]).alias("doc"), F.col(f"`{text_col}`").alias("text"))
+
+
+def unfold(folded: DataFrame, docs: DataFrame, text_col: str) -> DataFrame:
+    """The columns of ``docs`` from (doc, text)."""
+    return folded.select(*[F.col("text").alias(c) if c == text_col else F.col("doc").getField(c).alias(c) for c in docs.columns])
+
+
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

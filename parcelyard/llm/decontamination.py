@@ -25,6 +25,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from . import common
 
@@ -177,8 +178,8 @@ def find(docs: DataFrame, benchmark: DataFrame, window: int = 8, id_col: str = "
     kind = benchmark.schema[item_col].dataType.simpleString()
     sent = [spark.sparkContext.broadcast(b) for b in blocks(benchmark, item_col, item_text_col, block_bytes)]
     names = docs.columns
-    added = f"_n_words long, _n_hit long, _items array<{kind}>, _matches array<struct<item:{kind},doc_word:long,item_word:long,words:long>>"
-    schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema] + [added])
+    added = T.StructType.fromDDL(f"_n_words long, _n_hit long, _items array<{kind}>, _matches array<struct<item:{kind},doc_word:long,item_word:long,words:long>>")
+    schema = T.StructType([*docs.schema.fields, *added.fields])
     at_text = names.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -216,10 +217,10 @@ def digest(found: DataFrame, least_items: int = 2, id_col: str = "doc_id") -> Da
     return found.select(id_col, F.col("_n_words").alias("n_words"), F.col("_n_hit").alias("n_hit"), n.alias("n_items"), F.sha2(F.array_join(F.filter(named, lambda x: x.isNotNull()), ","), 256).alias("items_sha256"), (n >= least_items).alias("contaminated"))
 
 
-def remove(docs: DataFrame, benchmark: DataFrame, least_items: int = 1, window: int = 8, **cols: str) -> DataFrame:
+def remove(docs: DataFrame, benchmark: DataFrame, least_items: int = 1, window: int = 8, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
     """``docs`` without those that hold windows of at least ``least_items`` items."""
-    found = find(docs, benchmark, window, **cols)
-    return found.filter(F.size("_items") < least_items).select(*[F.col(f"`{c}`") for c in docs.columns])
+    found = find(common.fold(docs, text_col), benchmark, window, "doc", "text", item_col, item_text_col)
+    return common.unfold(found.filter(F.size("_items") < least_items), docs, text_col)
 
 
 def items_digest(ids: list) -> str:

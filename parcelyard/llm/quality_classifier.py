@@ -23,6 +23,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from . import common, text_stats
 
@@ -162,7 +163,7 @@ def fit(stats: DataFrame, labels: DataFrame, id_col: str = "doc_id", label_col:
 def score(stats: DataFrame, model: Model) -> DataFrame:
     """``stats`` with a column score."""
     names = stats.columns
-    schema = ", ".join([*[f"`{f.name}` {f.dataType.simpleString()}" for f in stats.schema], "score double"])
+    schema = T.StructType([*stats.schema.fields, T.StructField("score", T.DoubleType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -182,5 +183,5 @@ def keep(docs: DataFrame, labels: DataFrame, least: float = 0.5, id_col: str = "
     """``docs`` without those scored under ``least``; all columns stay. The text is read twice rather than shuffled."""
     stats = common.table(text_stats.with_stats(docs.select(id_col, text_col), text_col))
     model = fit(stats, labels, id_col)
-    scored = score(text_stats.with_stats(docs, text_col, keep_text=True), model)
-    return scored.filter(F.col("score") >= least).select(*[F.col(f"`{c}`") for c in docs.columns])
+    scored = score(text_stats.with_stats(common.fold(docs, text_col), "text", keep_text=True), model)
+    return common.unfold(scored.filter(F.col("score") >= least), docs, text_col)

@@ -154,13 +154,13 @@ def digest(found: DataFrame, id_col: str = "doc_id") -> DataFrame:
 
 def redact(docs: DataFrame, mark: str = "[secret]", rules: tuple[Rule, ...] = RULES, text_col: str = "text") -> DataFrame:
     """``docs`` with every found span of the text replaced by ``mark``; overlapping spans count as one. All rows and columns stay."""
-    found = scan_rows(docs, None, None, rules, text_col)
+    found = scan_rows(common.fold(docs, text_col), None, None, rules)
     start = F.struct(F.lit(0).alias("pos"), F.lit("").alias("out"))
-    text = F.col(f"`{text_col}`")
+    text = F.col("text")
 
     def step(acc: Column, s: Column) -> Column:
         between = text.substr(acc["pos"] + 1, s["start"] - acc["pos"])
         return F.struct(F.greatest(acc["pos"], s["end"]).alias("pos"), F.when(s["start"] >= acc["pos"], F.concat(acc["out"], between, F.lit(mark))).otherwise(acc["out"]).alias("out"))
 
     clean = F.aggregate("_spans", start, step, lambda acc: F.concat(acc["out"], text.substr(acc["pos"] + 1, F.length(text))))
-    return found.select(*[F.when(F.size("_spans") > 0, clean).otherwise(text).alias(c) if c == text_col else F.col(f"`{c}`") for c in docs.columns])
+    return common.unfold(found.withColumn("text", F.when(F.size("_spans") > 0, clean).otherwise(text)), docs, text_col)

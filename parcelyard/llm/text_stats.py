@@ -11,6 +11,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import types as T
 
 from . import common
 
@@ -102,7 +103,7 @@ def with_stats(docs: DataFrame, text_col: str = "text", keep_text: bool = False)
     """``docs`` with the columns s_<name> of COLUMNS; the text itself only where asked for. No shuffle."""
     names = docs.columns
     kept = [c for c in names if keep_text or c != text_col]
-    schema = ", ".join([*[f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in kept], *[f"s_{c} long" for c in COLUMNS]])
+    schema = T.StructType([*[docs.schema[c] for c in kept], *[T.StructField(f"s_{c}", T.LongType()) for c in COLUMNS]])
     at = names.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
