@@ -13,13 +13,15 @@ hash. A shard holds the documents that share such a shingle.
 
 1. Equal sets collapse to one representative each.
 2. Representatives learn which of their leading shingles others have as well.
-3. Linking rounds: each representative visits a shard or two with its set; trees
-   find its links, and components form. Hot shards are salted; a second round
-   with a representative per component joins what salting split.
+3. Two linking rounds: points visit one shard each, the trees name each point's
+   likeliest partners, their texts are compared, and components form. Hot shards
+   are salted; the second round has one representative per component.
 4. Exact rest: for shingles that still meet several components, points go to the
-   shingle's shard and the trees list pairs between components, which are
+   shingle's shard and the trees list all pairs between components, which are
    verified. Hot shards are dealt in pairs of blocks. So no link is lost.
 
+Texts move only where a pair has to be verified, once per shard.
+
 Null and empty texts have no shingles, link with nothing and are their own
 component. Shorter texts than an n-gram count as one shingle. Repeated rows have
 equal sets. Ids must be integers. An empty table gives no rows.
@@ -37,8 +39,12 @@ from pyspark.sql import functions as F
 from . import common, repeats
 from .components import components
 
+#: Groups of the points of sets of up to FEW shingles; every doubling of the size doubles them.
 GROUPS = 128
+FEW = 512
 LEAF = 32
+#: Of a member's open shards, in an order that is the same for all, so many travel with its point.
+SEEN = 16
 #: Members of a shard that are looked at together in the linking rounds.
 BLOCK = 4096
 #: A shingle is frequent if this part of all rows has it (and at least HOT_LEAST rows); so there are at most HOT_PART times the mean set size of them.
@@ -71,12 +77,18 @@ def shingles(col: pa.Array, size: int) -> tuple[np.ndarray, np.ndarray]:
         if len(rows):
             own = common.windows(code, k)[first[rows]] ^ common.mix(np.full(len(rows), k, np.uint64))
             h, row = np.concatenate([h, own]), np.concatenate([row, rows])
-    order = np.lexsort((h, row))
-    h, row = h[order], row[order]
+    count = np.bincount(row, minlength=len(col))
+    edges = np.concatenate(([0], np.cumsum(count)))
+    if np.any(row[1:] < row[:-1]):
+        h = h[np.argsort(row, kind="stable")]
+    else:
+        h = h.copy()
+    for i in np.flatnonzero(count > 1).tolist():  # a sort per row is faster than one by row and hash
+        h[edges[i] : edges[i + 1]].sort()
+    row = np.repeat(np.arange(len(col)), count)
     new = np.ones(len(h), bool)
     new[1:] = (h[1:] != h[:-1]) | (row[1:] != row[:-1])
-    h, row = h[new], row[new]
-    return h, np.searchsorted(row, np.arange(len(col) + 1))
+    return h[new], np.concatenate(([0], np.cumsum(np.bincount(row[new], minlength=len(col)))))
 
 
 def signatures(h: np.ndarray, first: np.ndarray) -> np.ndarray:
@@ -87,11 +99,15 @@ def signatures(h: np.ndarray, first: np.ndarray) -> np.ndarray:
     return common.mix(sums[first[1:]] - sums[first[:-1]] + n * common._P1).view(np.int64)
 
 
-def points(h: np.ndarray, first: np.ndarray) -> np.ndarray:
-    """Counts per group, up to 255 each; what is beyond is the row's size less the sum."""
-    n = len(first) - 1
-    cell = common.row_of(first) * GROUPS + (h >> np.uint64(57)).astype(np.int64)
-    return np.minimum(np.bincount(cell, minlength=n * GROUPS), 255).astype(np.uint8).reshape(n, GROUPS)
+def scale(n: np.ndarray) -> np.ndarray:
+    """How often the groups are doubled for sets of n."""
+    return np.frexp(np.maximum(np.asarray(n) - 1, 1) / FEW)[1].clip(0, 20)
+
+
+def point(h: np.ndarray) -> bytes:
+    """A set's counts per group, up to 255 each; what is beyond is the set's size less the sum."""
+    k = int(scale(len(h))) + 7
+    return np.minimum(np.bincount((h >> np.uint64(64 - k)).astype(np.int64), minlength=1 << k), 255).astype(np.uint8).tobytes()
 
 
 class CountTree:
@@ -125,8 +141,8 @@ class CountTree:
             slack, low, high = np.maximum.reduceat(slack, cut), np.minimum.reduceat(low, cut), np.maximum.reduceat(high, cut)
             self.levels.append((corner, slack, low, high))
 
-    def search(self, q: np.ndarray, size: int, slack: int, percent: int) -> np.ndarray:
-        """Members whose bound with the query reaches what their sizes need."""
+    def search(self, q: np.ndarray, size: int, slack: int, percent: int) -> tuple[np.ndarray, np.ndarray]:
+        """Members whose bound with the query reaches what their sizes need, and the bounds."""
         nodes = np.arange(len(self.levels[-1][0]))
         for depth in range(len(self.levels) - 1, -1, -1):
             corner, sl, low, high = (x[nodes] for x in self.levels[depth])
@@ -137,11 +153,42 @@ class CountTree:
                 nodes = (nodes[:, None] * 8 + np.arange(8)).ravel()
                 nodes = nodes[nodes < len(self.levels[depth - 1][0])]
         if not len(nodes):
-            return np.zeros(0, np.int64)
+            return np.zeros(0, np.int64), np.zeros(0, np.int64)
         idx = np.concatenate([self.leaves[k] for k in nodes])
         n = self.sizes[idx]
         bound = np.minimum(self.pts[idx], q).sum(1, dtype=np.int64) + np.minimum(self.slack[idx], slack)
-        return idx[(bound >= need(n, size, percent)) & (n * 100 >= size * percent) & (n * percent <= size * 100)]
+        ok = (bound >= need(n, size, percent)) & (n * 100 >= size * percent) & (n * percent <= size * 100)
+        return idx[ok], bound[ok]
+
+
+class Forest:
+    """The members of a shard in a tree per scale. Linked sets differ by a quarter in size at most, so by one scale at most;
+    between scales the finer point is folded."""
+
+    def __init__(self, sizes: np.ndarray, pts: list[bytes], percent: int):
+        self.percent, self.sizes, self.scales = percent, sizes, scale(sizes)
+        self.trees: dict[int, tuple[np.ndarray, CountTree]] = {}
+        for c in np.unique(self.scales).tolist():
+            idx = np.flatnonzero(self.scales == c)
+            self.trees[c] = idx, CountTree(np.frombuffer(b"".join([pts[i] for i in idx]), np.uint8).reshape(-1, GROUPS << c), sizes[idx])
+        self.place = np.zeros(len(sizes), np.int64)
+        for idx, _ in self.trees.values():
+            self.place[idx] = np.arange(len(idx))
+
+    def before(self, i: int) -> tuple[np.ndarray, np.ndarray]:
+        """Members that could be linked to i and come before it: of its scale those with smaller numbers, of the scale below all."""
+        c = int(self.scales[i])
+        idx, tree = self.trees[c]
+        q, slack, size = tree.pts[self.place[i]], int(tree.slack[self.place[i]]), int(self.sizes[i])
+        found, bound = tree.search(q, size, slack, self.percent)
+        found = idx[found]
+        ok = found < i
+        found, bound = found[ok], bound[ok]
+        if c - 1 in self.trees and size * self.percent <= 100 * (FEW << (c - 1)):
+            idx, tree = self.trees[c - 1]
+            more, high = tree.search(q.reshape(-1, 2).sum(1, dtype=np.uint16), size, slack, self.percent)
+            found, bound = np.concatenate([found, idx[more]]), np.concatenate([bound, high])
+        return found, bound
 
 
 def linked(x: np.ndarray, y: np.ndarray, percent: int) -> bool:
@@ -154,26 +201,6 @@ def linked(x: np.ndarray, y: np.ndarray, percent: int) -> bool:
     return 100 * both >= percent * (len(x) + len(y) - both)
 
 
-def link_block(sigs: np.ndarray, sets: list[np.ndarray], percent: int) -> list[tuple[int, int]]:
-    """Links that span the components of a block: pairs already connected are not looked at again."""
-    sizes = np.array([len(s) for s in sets])
-    first = np.concatenate(([0], np.cumsum(sizes)))
-    pts = points(np.concatenate(sets), first)
-    tree = CountTree(pts, sizes)
-    label = np.arange(len(sets))
-    out, left = [], len(sets)
-    for i in range(len(sets)):
-        if left == 1:
-            break
-        found = tree.search(pts[i], int(sizes[i]), int(tree.slack[i]), percent)
-        for j in found[label[found] != label[i]].tolist():
-            if label[i] != label[j] and linked(sets[i], sets[j], percent):
-                out.append((int(sigs[i]), int(sigs[j])))
-                label[label == label[j]] = label[i]
-                left -= 1
-    return out
-
-
 class Hot:
     """Frequent shingles with their counts, as sorted arrays; bounded in number whatever the size of the table."""
 
@@ -188,22 +215,18 @@ class Hot:
         return np.where(self.keys[at] == h, self.counts[at], 0)
 
 
-def frequent(rows: DataFrame, size: int, n_rows: int) -> Hot:
-    """Shingles that many distinct texts have. Each slice hands on those that eight of its texts have, so rarer ones never leave it."""
+def frequent(found: DataFrame, n_rows: int) -> Hot:
+    """Shingles that many distinct texts have, from the slices' lists in the table of sets."""
+    least = max(HOT_LEAST, n_rows // HOT_PART)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in common.slices(batch):
-                h, first = shingles(part.column(2), size)
-                sig = signatures(h, first)
-                _, once = np.unique(sig, return_index=True)
-                keep = np.isin(np.arange(part.num_rows), once)[common.row_of(first)]
-                key, n = np.unique(h[keep], return_counts=True)
-                many = n >= max(8, len(once) // 256)
-                yield pa.RecordBatch.from_arrays([pa.array(key[many].view(np.int64)), pa.array(n[many].astype(np.int64))], ["key", "n"])
+            lists = [np.frombuffer(x.as_py(), np.int64).reshape(2, -1) for x in batch.column(0)]
+            if lists:
+                both = np.concatenate(lists, axis=1)
+                yield pa.RecordBatch.from_arrays([pa.array(both[0]), pa.array(both[1])], ["key", "n"])
 
-    least = max(HOT_LEAST, n_rows // HOT_PART)
-    got = rows.mapInArrow(run, "key long, n long").groupBy("key").agg(F.sum("n").alias("n")).filter(F.col("n") >= least).toArrow()
+    got = found.filter("often is not null").select("often").mapInArrow(run, "key long, n long").groupBy("key").agg(F.sum("n").alias("n")).filter(F.col("n") >= least).toArrow()
     return Hot(got["key"].to_numpy().view(np.uint64), got["n"].to_numpy())
 
 
@@ -221,15 +244,25 @@ def prefix(h: np.ndarray, first: np.ndarray, hot: Hot, percent: int) -> tuple[np
 
 
 def tables(rows: DataFrame, size: int) -> DataFrame:
-    """(row, id, sig, n) of every row."""
+    """(row, id, sig, n, often) of every row. ``often``, on a slice's first row: shingles that eight or more of its distinct texts
+    have, with how many; rarer ones never leave the slice."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in common.slices(batch):
                 h, first = shingles(part.column(2), size)
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(signatures(h, first)), pa.array(np.diff(first).astype(np.int64))], ["row", "id", "sig", "n"])
+                sig = signatures(h, first)
+                _, once = np.unique(sig, return_index=True)
+                keep = np.zeros(part.num_rows, bool)
+                keep[once] = True
+                key = np.sort(h[keep[common.row_of(first)]])
+                heads = np.flatnonzero(repeats._first_of(key))
+                n = np.diff(np.append(heads, len(key)))
+                many = n >= max(8, len(once) // 256)
+                often = [np.stack([key[heads[many]].view(np.int64), n[many]]).astype(np.int64).tobytes() if many.any() else None, *[None] * (part.num_rows - 1)]
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(sig), pa.array(np.diff(first).astype(np.int64)), pa.array(often, pa.binary())], ["row", "id", "sig", "n", "often"])
 
-    return rows.mapInArrow(run, "row long, id long, sig long, n long")
+    return rows.mapInArrow(run, "row long, id long, sig long, n long, often binary")
 
 
 def _announce_pairs(key: np.ndarray, who: np.ndarray, addr: np.ndarray, ids: int) -> list[tuple]:
@@ -266,135 +299,240 @@ def shared_prefixes(rows: DataFrame, size: int, percent: int, hot, ids: int, par
     return rows.mapInArrow(run, repeats.ANNOUNCED).repartition(parts, "bucket").mapInArrow(repeats.settle_keys, repeats.SHARED)
 
 
-def link_round(sets: DataFrame, hot, percent: int, parts: int, salted: bool, orders: int = 2) -> DataFrame:
-    """Links (a, b) found by sending each set to the shards of its smallest shared shingles under a few orders. Misses some; the exact rest follows."""
+def near_pairs(sizes: list[int], pts: list[bytes], percent: int) -> Iterator[tuple[int, int]]:
+    """Pairs whose bound is high enough: by the forest, or one by one in a small shard."""
+    if len(sizes) > 12:
+        forest = Forest(np.array(sizes, np.int64), pts, percent)
+        for i in range(len(sizes)):
+            for j in forest.before(i)[0].tolist():
+                yield i, j
+        return
+    arrays = [np.frombuffer(p, np.uint8) for p in pts]
+    slack = [n - int(a.sum(dtype=np.int64)) for n, a in zip(sizes, arrays, strict=True)]
+    for i in range(len(sizes)):
+        for j in range(i):
+            n, m = sizes[i], sizes[j]
+            if m * 100 < n * percent or n * 100 < m * percent:
+                continue
+            x, y = arrays[i], arrays[j]
+            if len(x) != len(y):
+                x, y = (x, y) if len(x) > len(y) else (y, x)
+                x = x.reshape(len(y), -1).sum(1, dtype=np.uint16)
+            bound = int(np.minimum(x, y).sum(dtype=np.int64)) + min(slack[i], slack[j])
+            if bound * (100 + percent) >= (n + m) * percent:
+                yield i, j
+
+
+#: A set to be verified against others of its shard. ``comp``: what it is known to be linked to.
+CALLED = "shard long, cell long, sig long, comp long"
+
+
+def likely_members(members: DataFrame, hot, percent: int, parts: int, salted: bool, order: int) -> DataFrame:
+    """Members (CALLED) to verify first: each visits the shard of its smallest shared shingle under an order, and is called if the
+    bound with another one is high enough. Misses links; the exact rest follows."""
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            shard, pick = [], []
-            sigs = batch.column(0).to_numpy()
-            for i, keys in enumerate(batch.column(2)):
+            shard = []
+            for sig, keys in zip(batch.column(0).to_pylist(), batch.column(3), strict=True):
                 k = np.frombuffer(keys.as_py(), np.uint64)
-                own = {int(k[np.argmin(common.mix(k ^ np.uint64(o * 7919)))]) for o in range(orders)} if len(k) else set()
-                for s in own:
-                    n = int(hot.value.count(np.array([s], np.uint64))[0])
-                    salt = int(np.uint64(sigs[i].view(np.uint64)) % np.uint64(n // 1024 + 1)) if salted else 0
-                    shard.append(int(common.mix(np.array([(s + salt * 0x9E3779B97F4A7C15) % (1 << 64)], np.uint64)).view(np.int64)[0]))
-                    pick.append(i)
-            at = pa.array(pick, pa.int64())
-            yield pa.RecordBatch.from_arrays([pa.array(shard, pa.int64()), batch.column(0).take(at), batch.column(1).take(at)], ["shard", "sig", "set"])
+                s = int(k[np.argmin(common.mix(k ^ np.uint64(order * 7919)))])
+                n = int(hot.value.count(np.array([s], np.uint64))[0])
+                salt = sig % (n // 1024 + 1) if salted else 0
+                shard.append(int(common.mix(np.array([(s + salt * 0x9E3779B97F4A7C15) % (1 << 64)], np.uint64)).view(np.int64)[0]))
+            yield pa.RecordBatch.from_arrays([pa.array(shard, pa.int64()), batch.column(0), batch.column(2), batch.column(4)], ["shard", "sig", "n", "point"])
 
-    def link(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        current, sigs, sets, held = None, [], [], 0
+    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        current, group, block = None, [], 0
 
-        def close() -> list[tuple[int, int]]:
-            return link_block(np.array(sigs), sets, percent) if len(sigs) > 1 else []
+        def close() -> list[tuple]:
+            if len(group) < 2:
+                return []
+            called: set[int] = set()
+            for pair in near_pairs([g[1] for g in group], [g[2] for g in group], percent):
+                called.update(pair)
+            return [(current, block, group[i][0], group[i][0]) for i in sorted(called)]
 
         for batch in batches:
             out = []
-            for shard, sig, raw in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), strict=True):
-                if shard != current or len(sigs) >= BLOCK or held > 64 << 20:
+            for shard, *rest in zip(*[x.to_pylist() for x in batch.columns], strict=True):
+                if shard != current or len(group) >= BLOCK:
                     out += close()
                     # a full block leaves its first members behind, so that the next one can join them
-                    keep = 8 if shard == current else 0
-                    current, sigs, sets = shard, sigs[:keep], sets[:keep]
-                    held = sum(s.nbytes for s in sets)
-                sigs.append(sig)
-                sets.append(np.frombuffer(raw.as_py(), np.uint64))
-                held += sets[-1].nbytes
-            yield _links(out)
-        yield _links(close())
+                    block = block + 1 if shard == current else 0
+                    current, group = shard, group[:8] if shard == current else []
+                group.append(rest)
+            yield repeats._batch(CALLED, out)
+        yield repeats._batch(CALLED, close())
 
-    moved = sets.mapInArrow(send, "shard long, sig long, set binary").repartition(parts, "shard").sortWithinPartitions("shard")
-    return moved.mapInArrow(link, "a long, b long")
+    moved = members.mapInArrow(send, "shard long, sig long, n long, point binary").repartition(parts, "shard").sortWithinPartitions("shard", "sig")
+    return moved.mapInArrow(search, CALLED)
 
 
 def _links(pairs: list[tuple[int, int]]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array([p[0] for p in pairs], pa.int64()), pa.array([p[1] for p in pairs], pa.int64())], ["a", "b"])
 
 
-def open_keys(members: DataFrame, ids: int, parts: int) -> DataFrame:
-    """(row: component, keys: shingles that it shares with other components), from (sig, comp, keys)."""
+GROUPED = "bucket int, keys binary, comps binary"
+OPEN = "row long, keys binary, shards binary"
+
+
+def open_keys(members: DataFrame, hot, parts: int) -> DataFrame:
+    """(row: component, keys, shards): shingles that it shares with other components, from (sig, comp, keys).
+
+    Shingles shared by the same components form one shard, however many they are: near copies share most of their leading
+    shingles. Frequent shingles are told by their smallest and largest component alone and are shards of their own.
+    """
+    ids = repeats.even_ids(parts)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             lists = [np.frombuffer(k.as_py(), np.uint64) for k in batch.column(2)]
             n = np.array([len(x) for x in lists], np.int64)
-            if n.sum():
-                comp = np.repeat(batch.column(1).to_numpy(), n)
-                yield repeats._batch(repeats.ANNOUNCED, _announce_pairs(np.concatenate(lists), comp, comp, ids))
-
-    return members.mapInArrow(run, repeats.ANNOUNCED).repartition(parts, "bucket").mapInArrow(repeats.settle_keys, repeats.SHARED)
-
-
-def rest_pairs(open_sets: DataFrame, hot, percent: int, parts: int) -> DataFrame:
-    """Candidate pairs (a, b) between components, from (sig, comp, set, keys): every pair that shares an open key and whose bound is high enough."""
-
-    def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            if not n.sum():
+                continue
+            key, comp = np.concatenate(lists), np.repeat(batch.column(1).to_numpy(), n)
+            order = np.lexsort((comp, key))
+            key, comp = key[order], comp[order]
+            start = repeats._first_of(key)
+            new = start.copy()
+            new[1:] |= comp[1:] != comp[:-1]
+            end = np.append(start[1:], True)
+            new &= (hot.value.count(key) == 0) | start | end
+            key, comp = key[new], comp[new]
+            yield repeats._batch(GROUPED, [(int(ids[p]), k.tobytes(), c.tobytes()) for p, k, c in repeats._by((key % np.uint64(parts)).astype(np.int64), key, comp)])
+
+    def settle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        got: list[list] = [[], []]
+        for batch in batches:
+            for x, y in zip(batch.column(1), batch.column(2), strict=True):
+                got[0].append(np.frombuffer(x.as_py(), np.uint64))
+                got[1].append(np.frombuffer(y.as_py(), np.int64))
+        if not got[0]:
+            return
+        key, comp = (np.concatenate(x) for x in got)
+        order = np.lexsort((comp, key))
+        key, comp = key[order], comp[order]
+        new = np.ones(len(key), bool)
+        new[1:] = (key[1:] != key[:-1]) | (comp[1:] != comp[:-1])
+        key, comp = key[new], comp[new]
+        heads = np.flatnonzero(repeats._first_of(key))
+        n = np.diff(np.append(heads, len(key)))
+        shard = common.mix(np.add.reduceat(common.mix(comp.view(np.uint64)), heads) + n.astype(np.uint64))
+        own = hot.value.count(key[heads]) > 0
+        shard[own] = key[heads][own]
+        many = np.repeat(n > 1, n)
+        shard = np.repeat(shard, n)
+        out = []
+        for c, k, s in repeats._by(comp[many], key[many], shard[many]):
+            out.append((int(c), k.tobytes(), s.tobytes()))
+            if len(out) == 5000:
+                yield repeats._batch(OPEN, out)
+                out = []
+        yield repeats._batch(OPEN, out)
+
+    return members.mapInArrow(run, GROUPED).repartition(parts, "bucket").mapInArrow(settle, OPEN)
+
+
+def rest_members(open_points: DataFrame, percent: int, parts: int) -> DataFrame:
+    """Members (CALLED) of the open shards, from (sig, comp, n, point, shards): all that have a partner in another component with a
+    high enough bound. A pair that meets in several shards counts in one of them if the first few of both lists of shards tell which."""
+
+    def unpack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for lo in range(0, whole.num_rows, 256):
                 batch = whole.slice(lo, 256)
-                cols: list[list] = [[], [], [], [], [], []]
-                for sig, comp, raw, keys in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), batch.column(3), strict=True):
-                    s, k = np.frombuffer(raw.as_py(), np.uint64), np.frombuffer(keys.as_py(), np.uint64)
-                    point = points(s, np.array([0, len(s)]))[0].tobytes()
-                    blocks = hot.value.count(k) // (2 * BLOCK) + 1
-                    for key, b in zip(k.view(np.int64).tolist(), blocks.tolist(), strict=True):
-                        mine = int(np.uint64(np.int64(sig).view(np.uint64)) % np.uint64(b))
-                        for other in range(b):  # the block meets every block, itself included
-                            for c, v in zip(cols, (key, min(mine, other) * b + max(mine, other), sig, comp, len(s), point), strict=True):
-                                c.append(v)
-                yield pa.RecordBatch.from_arrays([*[pa.array(c, pa.int64()) for c in cols[:5]], pa.array(cols[5], pa.binary())], ["key", "cell", "sig", "comp", "n", "point"])
+                lists = [np.frombuffer(x.as_py(), np.int64) for x in batch.column(4)]
+                at = pa.array(np.repeat(np.arange(batch.num_rows), [len(x) for x in lists]), pa.int64())
+                seen = pa.array([x[np.argsort(common.mix(x.view(np.uint64)), kind="stable")[:SEEN]].tobytes() for x in lists], pa.binary())
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(lists), pa.int64()), *[batch.column(i).take(at) for i in range(4)], seen.take(at)], ["shard", "sig", "comp", "n", "point", "seen"])
+
+    entries = open_points.mapInArrow(unpack, "shard long, sig long, comp long, n long, point binary, seen binary")
+    # a shard of many members is dealt in blocks, each of which meets every other
+    sizes = open_points.select("shards").mapInArrow(_shards_of, "shard long").groupBy("shard").count().filter(F.col("count") > 2 * BLOCK)
+    sizes = sizes.select(F.col("shard").alias("_s"), F.ceil(F.col("count") / BLOCK).cast("long").alias("b"))
+    dealt = entries.join(sizes, entries["shard"] == sizes["_s"], "left").withColumn("b", F.coalesce("b", F.lit(1).cast("long")))
+    mine = F.pmod(F.col("sig"), F.col("b"))
+    dealt = dealt.withColumn("o", F.explode(F.sequence(F.lit(0).cast("long"), F.col("b") - 1)))
+    dealt = dealt.withColumn("cell", F.least(mine, F.col("o")) * F.col("b") + F.greatest(mine, F.col("o")))
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: set[tuple[int, int]] = set()
         current, group = None, []
 
-        def close() -> list[tuple[int, int]]:
-            if len(group) < 2:
+        def close() -> list[tuple]:
+            if len(group) < 2 or all(g[1] == group[0][1] for g in group):
                 return []
-            sig, comp, n = (np.array([g[i] for g in group], np.int64) for i in (0, 1, 2))
-            if (comp == comp[0]).all():
-                return []
-            pts = np.frombuffer(b"".join(g[3] for g in group), np.uint8).reshape(-1, GROUPS)
-            tree, out = CountTree(pts, n), []
-            for i in range(len(group)):
-                found = tree.search(pts[i], int(n[i]), int(tree.slack[i]), percent)
-                for j in found[(sig[found] > sig[i]) & (comp[found] != comp[i])].tolist():
-                    pair = (int(sig[i]), int(sig[j]))
-                    if pair not in seen:
-                        if len(seen) > 500_000:
-                            seen.clear()
-                        seen.add(pair)
-                        out.append(pair)
-            return out
+            shard = current[0]
+            comp = [g[1] for g in group]
+            lists = [frozenset(np.frombuffer(g[4], np.int64).tolist()) for g in group]
+            called: set[int] = set()
+            for i, j in near_pairs([g[2] for g in group], [g[3] for g in group], percent):
+                if comp[i] == comp[j] or (i in called and j in called):
+                    continue
+                both = lists[i] & lists[j]
+                if both and min(both) != shard:  # they meet there as well
+                    continue
+                called |= {i, j}
+            return [(*current, group[i][0], group[i][1]) for i in sorted(called)]
 
         for batch in batches:
             out = []
-            c = batch.columns
-            for key, cell, sig, comp, n, point in zip(*[x.to_pylist() for x in c], strict=True):
-                if (key, cell) != current:
+            for shard, cell, *rest in zip(*[x.to_pylist() for x in batch.columns], strict=True):
+                if (shard, cell) != current:
                     out += close()
-                    current, group = (key, cell), []
-                group.append((sig, comp, n, point))
-            yield _links(out)
-        yield _links(close())
+                    current, group = (shard, cell), []
+                group.append(rest)
+            yield repeats._batch(CALLED, out)
+        yield repeats._batch(CALLED, close())
 
-    moved = open_sets.mapInArrow(send, "key long, cell long, sig long, comp long, n long, point binary").repartition(parts, "key", "cell").sortWithinPartitions("key", "cell")
-    return moved.mapInArrow(search, "a long, b long").distinct()
+    moved = dealt.select("shard", "cell", "sig", "comp", "n", "point", "seen").repartition(parts, "shard", "cell").sortWithinPartitions("shard", "cell")
+    return moved.mapInArrow(search, CALLED)
 
 
-def verify(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) whose sets reach the similarity."""
+def _shards_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for x in batch.column(0):
+            yield pa.RecordBatch.from_arrays([pa.array(np.frombuffer(x.as_py(), np.int64))], ["shard"])
+
+
+def link_members(sigs: list[int], comps: list[int], sets: list[np.ndarray], percent: int) -> list[tuple[int, int]]:
+    """Links that connect the components among a shard's members; pairs already connected are not looked at again."""
+    forest = Forest(np.array([len(s) for s in sets], np.int64), [point(s) for s in sets], percent)
+    _, label = np.unique(np.array(comps, np.int64), return_inverse=True)
+    left, out = len(np.unique(label)), []
+    for i in range(len(sets)):
+        if left == 1:
+            break
+        found, bound = forest.before(i)
+        other = label[found] != label[i]
+        found = found[other][np.argsort(-bound[other], kind="stable")]
+        for j in found.tolist():
+            if label[i] != label[j] and linked(sets[i], sets[j], percent):
+                out.append((sigs[i], sigs[j]))
+                label[label == label[j]] = label[i]
+                left -= 1
+    return out
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            ok = [linked(np.frombuffer(x.as_py(), np.uint64), np.frombuffer(y.as_py(), np.uint64), percent) for x, y in zip(batch.column(2), batch.column(3), strict=True)]
-            yield batch.select(["a", "b"]).filter(pa.array(ok, pa.bool_()))
 
-    left = sets.select(F.col("sig").alias("a"), F.col("set").alias("x"))
-    right = sets.select(F.col("sig").alias("b"), F.col("set").alias("y"))
-    return pairs.join(left, "a").join(right, "b").select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
+def verify(called: DataFrame, members: DataFrame, rows: DataFrame, size: int, percent: int) -> DataFrame:
+    """Links (a, b) among the members called in each cell of a shard. A text goes once to each cell; cells are bounded by BLOCK."""
+    wanted = called.distinct().join(members.select("sig", "row"), "sig")
+    moved = rows.select("row", "text").join(wanted, "row").select("shard", "cell", "sig", "comp", "text")
+
+    def run(group: pa.Table) -> pa.Table:
+        sigs, comps, sets, seen = [], [], [], set()
+        for batch in group.combine_chunks().to_batches():
+            for part in common.slices(batch, "text"):
+                h, first = shingles(part.column(4), size)
+                for s, c, a, b in zip(part.column(2).to_pylist(), part.column(3).to_pylist(), first[:-1].tolist(), first[1:].tolist(), strict=True):
+                    if s not in seen:
+                        seen.add(s)
+                        sigs.append(s)
+                        comps.append(c)
+                        sets.append(h[a:b].copy())
+        return pa.Table.from_batches([_links(link_members(sigs, comps, sets, percent) if len(sigs) > 1 else [])])
+
+    return moved.groupBy("shard", "cell").applyInArrow(run, "a long, b long")
 
 
 def join_sets(docs: DataFrame, size: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -407,48 +545,45 @@ def join_sets(docs: DataFrame, size: int = 5, percent: int = 80, id_col: str = "
     ids = 4 * parts
     rows = repeats.addressed(docs, id_col, text_col)
     all_rows = common.table(tables(rows, size))
-    hot = spark.sparkContext.broadcast(frequent(rows, size, all_rows.count()))
+    hot = spark.sparkContext.broadcast(frequent(all_rows, all_rows.count()))
     keys = common.table(shared_prefixes(rows, size, percent, hot, ids, parts).groupBy("row").agg(F.collect_list("keys").alias("parts")).select(F.col("row").alias("sig"), "parts"))
     # one row per set that shares a leading shingle brings its text
     chosen = all_rows.join(keys, "sig").groupBy("sig").agg(F.min("row").alias("row"), F.first("parts").alias("parts"))
-    text = rows.select("row", "text").join(chosen, "row").select("sig", "text", "parts")
+    text = rows.select("row", "text")
 
-    def to_set(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def to_member(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in common.slices(batch):
-                h, first = shingles(part.column(1), size)
-                found = [np.unique(np.frombuffer(b"".join(p), np.uint64)).tobytes() for p in part.column(2).to_pylist()]
-                raw = [h[a:b].tobytes() for a, b in zip(first[:-1].tolist(), first[1:].tolist(), strict=True)]
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(raw, pa.binary()), pa.array(found, pa.binary())], ["sig", "set", "keys"])
-
-    # repeated rows give the same set twice
-    sets = common.table(text.mapInArrow(to_set, "sig long, set binary, keys binary"))
-    links = common.table(link_round(sets, hot, percent, parts, salted=True))
+            for part in common.slices(batch, "text"):
+                h, first = shingles(part.column(2), size)
+                found = [np.unique(np.frombuffer(b"".join(p), np.uint64)).tobytes() for p in part.column(3).to_pylist()]
+                pts = [point(h[a:b]) for a, b in zip(first[:-1].tolist(), first[1:].tolist(), strict=True)]
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(np.diff(first).astype(np.int64)), pa.array(found, pa.binary()), pa.array(pts, pa.binary())], ["sig", "row", "n", "keys", "point"])
+
+    made = text.join(chosen, "row").select("sig", "row", "text", "parts").mapInArrow(to_member, "sig long, row long, n long, keys binary, point binary")
+    members = common.table(made.dropDuplicates(["sig"]))  # repeated rows bring a set twice
+    links = common.table(verify(common.table(likely_members(members, hot, percent, parts, True, 0)), members, rows, size, percent))
     comps = common.table(components(links))
-    # what the salt split: one set per component visits its shards unsalted
-    heads = sets.join(comps.filter("node = component"), sets["sig"] == comps["node"], "left_semi")
-    more = common.table(link_round(heads, hot, percent, parts, salted=False, orders=3))
+    # what the salt or the order split: a point per component visits another shard, unsalted
+    heads = members.join(comps.filter("node <> component"), members["sig"] == comps["node"], "left_anti")
+    more = common.table(verify(common.table(likely_members(heads, hot, percent, parts, False, 1)), members, rows, size, percent))
     links = common.table(links.unionByName(more))
     comps = common.table(components(links))
-    labelled = sets.join(comps, sets["sig"] == comps["node"], "left").select("sig", F.coalesce("component", "sig").alias("comp"), "keys", "set")
-    wanted = open_keys(labelled.select("sig", "comp", "keys"), ids, parts).groupBy("row").agg(F.collect_list("keys").alias("open")).withColumnRenamed("row", "_comp")
+    labelled = members.join(comps, members["sig"] == comps["node"], "left").select("sig", F.coalesce("component", "sig").alias("comp"), "keys", "n", "point")
+    wanted = open_keys(labelled.select("sig", "comp", "keys"), hot, parts).groupBy("row").agg(F.collect_list("keys").alias("open"), F.collect_list("shards").alias("shards")).withColumnRenamed("row", "_comp")
 
     def keep_open(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            left = []
-            for keys, lists in zip(batch.column(3), batch.column(4).to_pylist(), strict=True):
-                k = np.frombuffer(keys.as_py(), np.uint64)
-                left.append(k[np.isin(k, np.frombuffer(b"".join(lists), np.uint64))].tobytes())
-            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(left, pa.binary())], ["sig", "comp", "set", "keys"])
-
-    still = labelled.join(wanted, labelled["comp"] == wanted["_comp"]).select("sig", "comp", "set", "keys", "open")
-    still = still.mapInArrow(keep_open, "sig long, comp long, set binary, keys binary")
-    pairs = common.table(rest_pairs(still, hot, percent, parts))
-    last = common.table(verify(pairs, sets, percent))
-    if last.isEmpty():
-        final = comps
-    else:
-        final = components(links.unionByName(last))
+            out = []
+            for keys, lists, shards in zip(batch.column(4), batch.column(5).to_pylist(), batch.column(6).to_pylist(), strict=True):
+                k, s = np.frombuffer(b"".join(lists), np.uint64), np.frombuffer(b"".join(shards), np.uint64)
+                out.append(np.unique(s[np.isin(k, np.frombuffer(keys.as_py(), np.uint64))]).tobytes())
+            yield pa.RecordBatch.from_arrays([*batch.columns[:4], pa.array(out, pa.binary())], ["sig", "comp", "n", "point", "shards"])
+
+    still = labelled.join(wanted, labelled["comp"] == wanted["_comp"]).select("sig", "comp", "n", "point", "keys", "open", "shards")
+    still = still.mapInArrow(keep_open, "sig long, comp long, n long, point binary, shards binary").filter(F.octet_length("shards") > 0)
+    called = common.table(rest_members(common.table(still), percent, parts))
+    last = common.table(verify(called, members, rows, size, percent))
+    final = comps if last.isEmpty() else components(links.unionByName(last))
     named = all_rows.join(final, all_rows["sig"] == final["node"], "left").select("row", "id", "n", F.coalesce("component", "sig").alias("comp"))
     least = named.filter("n > 0").groupBy("comp").agg(F.min("id").alias("least")).withColumnRenamed("comp", "_comp")
     out = named.join(least, (named["comp"] == least["_comp"]) & (named["n"] > 0), "left")
@@ -459,5 +594,6 @@ def keep_one(docs: DataFrame, size: int = 5, percent: int = 80, id_col: str = "d
     """``docs`` with one document of each component, that with the smallest id (of equal rows, one); texts without words stay."""
     found = join_sets(docs, size, percent, id_col, text_col).filter((F.col("n_shingles") > 0) & (~F.col("id").eqNullSafe(F.col("component_id"))))
     gone = found.select(F.col("row").alias("_row")).distinct()
-    address = F.xxhash64(F.col(f"`{id_col}`").cast("long"), F.coalesce(F.col(f"`{text_col}`"), F.lit("")))
-    return docs.withColumn("_address", address).join(gone, F.col("_address") == F.col("_row"), "left_anti").drop("_address")
+    folded = common.fold(docs, text_col)
+    address = F.xxhash64(F.col("doc").getField(id_col).cast("long"), F.coalesce(F.col("text"), F.lit("")))
+    return common.unfold(folded.withColumn("_address", address).join(gone, F.col("_address") == F.col("_row"), "left_anti"), docs, text_col)
