@@ -70,8 +70,7 @@ def shared_offsets(spark, sf_dir):
 def toc_pointer(spark, sf_dir):
     a = assets(spark, sf_dir)
     head = a.agg((F.lit(S.HEADER_BYTES) + F.count("*") * S.ROW_BYTES + F.sum(18 + F.octet_length("path"))).cast("long").alias("base"))
-    rows = a.crossJoin(F.broadcast(head))  # one row
-    return layout.table_pointers(rows, F.col("base"), 8 * chunks.count(F.col("size"), CHUNK)).select("path", "chunk_table_offset")
+    return layout.table_pointers(a.withColumn("base", head.scalar()), F.col("base"), 8 * chunks.count(F.col("size"), CHUNK)).select("path", "chunk_table_offset")
 
 
 def chunk_sizes(spark, sf_dir):
@@ -135,7 +134,7 @@ def method_label(spark, sf_dir):
 def block_map(spark, sf_dir):
     t = toc(spark, sf_dir)
     total = t.agg(F.sum("compressed_size").alias("total"))
-    return t.crossJoin(F.broadcast(total)).select("path", meta.block_width(F.col("compressed_size"), F.col("total")).alias("width"), meta.block_colour(meta.method_name(F.col("flags"))).alias("colour"))
+    return t.withColumn("total", total.scalar()).select("path", meta.block_width(F.col("compressed_size"), F.col("total")).alias("width"), meta.block_colour(meta.method_name(F.col("flags"))).alias("colour"))
 
 
 def list_label(spark, sf_dir):
@@ -165,19 +164,24 @@ def misaligned_count(spark, sf_dir):
     return misaligned(spark, sf_dir).agg(F.count("*").alias("n"))
 
 
+def labelled(spark, sf_dir) -> DataFrame:
+    """Ids that other tables name, as wanted keys: (wanted, quality, toxic)."""
+    return spark.read.parquet(f"{sf_dir}/labels.parquet").select(F.col("doc_id").alias("wanted"), "quality", "toxic")
+
+
 def exists(spark, sf_dir):
-    wanted = spark.range(0, 3000, 3).select(F.col("id").alias("wanted"))
+    wanted = spark.read.parquet(f"{sf_dir}/orders.parquet").select(F.col("o_orderkey").alias("wanted"))
     return catalog.exists(wanted, assets(spark, sf_dir), F.col("wanted"), F.col("doc_id"))
 
 
 def lookup(spark, sf_dir):
-    wanted = assets(spark, sf_dir).filter("doc_id % 11 = 0").select(F.col("doc_id").alias("asset_id"))
+    wanted = labelled(spark, sf_dir).select(F.col("wanted").alias("asset_id"))
     return catalog.lookup(toc(spark, sf_dir).withColumn("asset_id", F.col("doc_id")), wanted).select("path", "original_size")
 
 
 def _entries(spark, sf_dir):
     t = toc(spark, sf_dir).withColumn("asset_id", F.col("doc_id").cast("string")).withColumn("data_offset", F.col("doc_id") * 4096).withColumn("chunk_count", F.lit(1))
-    return t, t.filter("doc_id % 4 <> 0").select("asset_id", "path")
+    return t, t.join(labelled(spark, sf_dir), t["doc_id"] == F.col("wanted"), "left_semi").select("asset_id", "path")
 
 
 def id_to_name(spark, sf_dir):
@@ -189,21 +193,24 @@ def package_summary(spark, sf_dir):
 
 
 def matched_paths(spark, sf_dir):
-    wanted = assets(spark, sf_dir).filter("doc_id % 2 = 0").select("path")
-    have = toc(spark, sf_dir).filter("doc_id % 3 = 0").select("path", "original_size")
-    return catalog.matched(wanted, have)
+    a = assets(spark, sf_dir)
+    wanted = a.join(labelled(spark, sf_dir), a["doc_id"] == F.col("wanted"), "left_semi").select("path")
+    return catalog.matched(wanted, toc(spark, sf_dir).select("path", "original_size"))
 
 
 def _layers(spark, sf_dir):
+    """All assets; over them those with a good label, in upper case; over them the toxic ones, changed in size."""
     a = assets(spark, sf_dir).select("doc_id", "path", "size")
-    return [a.filter("doc_id % 2 = 0"), a.filter("doc_id % 3 = 0").withColumn("path", F.upper("path")), a.filter("doc_id % 5 = 0").withColumn("size", F.col("size") + 1)]
+    known = labelled(spark, sf_dir)
+    some = lambda which: a.join(known.filter(which), a["doc_id"] == F.col("wanted"), "left_semi")
+    return [a, some("quality = 1").withColumn("path", F.upper("path")), some("toxic = 1").withColumn("size", F.col("size") + 1)]
 
 
 def overlay(spark, sf_dir):
     return catalog.overlay(catalog.mounted(_layers(spark, sf_dir))).select("path", F.col("layer").cast("long").alias("layer"), "size")
 
 
-DUCK_LAYERS = f"""a as ({DUCK_A}), l as (select 0 as layer, doc_id, path, size from a where doc_id % 2 = 0 union all select 1, doc_id, upper(path), size from a where doc_id % 3 = 0 union all select 2, doc_id, path, size + 1 from a where doc_id % 5 = 0),
+DUCK_LAYERS = f"""a as ({DUCK_A}), l as (select 0 as layer, doc_id, path, size from a union all select 1, doc_id, upper(path), size from a where doc_id in (select doc_id from labels where quality = 1) union all select 2, doc_id, path, size + 1 from a where doc_id in (select doc_id from labels where toxic = 1)),
 view as (select * from l qualify row_number() over (partition by lower(path) order by layer desc, path desc) = 1)"""
 
 
@@ -219,9 +226,10 @@ def source_of(spark, sf_dir):
 
 def patch(spark, sf_dir):
     h = hashed(spark, sf_dir)
-    base = h.filter("doc_id % 7 <> 0")
-    new = h.filter("doc_id % 11 <> 0").withColumn("content_hash", F.when(F.col("doc_id") % 13 == 0, F.lit("x")).otherwise(F.col("content_hash")))
-    return catalog.difference(base, new)
+    known = labelled(spark, sf_dir)
+    base = h.join(known.filter("toxic = 1 and quality = 1"), h["doc_id"] == F.col("wanted"), "left_anti")
+    new = h.join(known, h["doc_id"] == F.col("wanted"), "left").filter("quality is null or quality = 1")
+    return catalog.difference(base, new.withColumn("content_hash", F.when(F.col("quality") == 1, F.sha2("content_hash", 256)).otherwise(F.col("content_hash"))))
 
 
 def method_totals(spark, sf_dir):
@@ -261,8 +269,8 @@ def preview(spark, sf_dir):
 
 
 def listing(spark, sf_dir):
-    a = assets(spark, sf_dir)
-    return catalog.listing(a.filter("doc_id % 2 = 0").select("path", "size"), a.filter("doc_id % 3 = 0").select("path", "size"))
+    pages = spark.read.parquet(f"{sf_dir}/pages.parquet").select(F.col("url").alias("path"), F.octet_length("html").cast("long").alias("size"))
+    return catalog.listing(assets(spark, sf_dir).select("path", "size"), pages)
 
 
 def pending_files(spark, sf_dir):
@@ -325,7 +333,7 @@ def _textures(spark, sf_dir):
     four = F.when(i % 3 == 0, F.lit(dds.FOURCC_DXT1)).when(i % 3 == 1, F.lit(dds.FOURCC_DX10)).otherwise(F.lit(0x35545844)).cast("long")
     head = F.concat(le(F.lit(dds.MAGIC).cast("long")), le(F.lit(dds.HEADER_SIZE).cast("long")), pad(4), le(h), le(w), pad(8), le(mips), pad(52), le(four), pad(40))
     body = F.unhex(F.repeat(F.hex(F.substring(F.sha2(i.cast("string"), 256), 1, 8)), ((i % 50) * 400 + 100).cast("int")))
-    return assets(spark, sf_dir).filter("doc_id < 500").select("path", "doc_id", w.alias("w"), h.alias("h"), F.concat(head, body).alias("content"))
+    return assets(spark, sf_dir).select("path", "doc_id", w.alias("w"), h.alias("h"), F.concat(head, body).alias("content"))
 
 
 def dds_header(spark, sf_dir):
@@ -375,15 +383,15 @@ ORACLE_SQL = {
     "gdeflate_only": f"select path, flags from ({DUCK_TOC}) where (flags & 28) = 4",
     "misaligned": f"select path, doc_id * 512 as data_offset from ({DUCK_TOC}) where (flags & 28) = 4 and (doc_id * 512) % 4096 <> 0",
     "misaligned_count": f"select count(*) as n from ({DUCK_TOC}) where (flags & 28) = 4 and (doc_id * 512) % 4096 <> 0",
-    "exists": f"select w as wanted from (select unnest(range(0, 3000, 3)) as w) where w in (select doc_id from ({DUCK_A}))",
-    "lookup": f"select path, original_size from ({DUCK_TOC}) where doc_id % 11 = 0",
-    "id_to_name": f"select case when doc_id % 4 <> 0 then path else doc_id::varchar end as path, doc_id::varchar as asset_id, doc_id * 4096 as offset, original_size, compressed_size, align::bigint as alignment, {_NAMES} as method, case when (flags & 224) = 32 then {_INFO} end as metadata_info from ({DUCK_TOC})",
-    "package_summary": f"with t as ({DUCK_TOC}) select count(*) as file_count, cast(max(doc_id * 4096 + compressed_size) as bigint) as data_bytes, cast(sum(case when doc_id % 4 <> 0 then 18 + strlen(path) else 0 end) as bigint) as name_bytes, cast(64 + count(*) * 56 + sum(case when doc_id % 4 <> 0 then 18 + strlen(path) else 0 end) + 8 * count(*) as bigint) as toc_bytes from t",
-    "matched_paths": f"select path, original_size from ({DUCK_TOC}) where doc_id % 6 = 0",
+    "exists": f"select o_orderkey as wanted from orders where o_orderkey in (select doc_id from ({DUCK_A}))",
+    "lookup": f"select path, original_size from ({DUCK_TOC}) where doc_id in (select doc_id from labels)",
+    "id_to_name": f"select case when doc_id in (select doc_id from labels) then path else doc_id::varchar end as path, doc_id::varchar as asset_id, doc_id * 4096 as offset, original_size, compressed_size, align::bigint as alignment, {_NAMES} as method, case when (flags & 224) = 32 then {_INFO} end as metadata_info from ({DUCK_TOC})",
+    "package_summary": f"with t as ({DUCK_TOC}) select count(*) as file_count, cast(max(doc_id * 4096 + compressed_size) as bigint) as data_bytes, cast(sum(case when doc_id in (select doc_id from labels) then 18 + strlen(path) else 0 end) as bigint) as name_bytes, cast(64 + count(*) * 56 + sum(case when doc_id in (select doc_id from labels) then 18 + strlen(path) else 0 end) + 8 * count(*) as bigint) as toc_bytes from t",
+    "matched_paths": f"select path, original_size from ({DUCK_TOC}) where doc_id in (select doc_id from labels)",
     "overlay": f"with {DUCK_LAYERS} select path, layer::bigint as layer, size from view",
     "loose_override": f"with {DUCK_LAYERS} select path, size from l where layer = 2 union all select path, size from (select * from l where layer < 2 qualify row_number() over (partition by lower(path) order by layer desc, path desc) = 1) where lower(path) not in (select lower(path) from l where layer = 2)",
     "source_of": f"with {DUCK_LAYERS} select a.path, case when view.layer is null then 'None' else concat('pack_', view.layer::varchar, '.gtoc') end as source_archive from a left join view on lower(a.path) = lower(view.path)",
-    "patch": f"with h as (select doc_id, path, sha256(text) as s from ({DUCK_A})), b as (select * from h where doc_id % 7 <> 0), n as (select doc_id, path, case when doc_id % 13 = 0 then 'x' else s end as s from h where doc_id % 11 <> 0) select coalesce(n.path, b.path) as path, case when b.path is null then 'added' when n.path is null then 'removed' else 'modified' end as change from b full join n on b.path = n.path where b.path is null or n.path is null or b.s <> n.s",
+    "patch": f"with h as (select doc_id, path, sha256(text) as s from ({DUCK_A})), b as (select * from h where doc_id not in (select doc_id from labels where toxic = 1 and quality = 1)), n as (select doc_id, path, case when quality = 1 then sha256(s) else s end as s from h left join labels using (doc_id) where quality is null or quality = 1) select coalesce(n.path, b.path) as path, case when b.path is null then 'added' when n.path is null then 'removed' else 'modified' end as change from b full join n on b.path = n.path where b.path is null or n.path is null or b.s <> n.s",
     "method_totals": f"select {_NAMES} as method, count(*) as n, sum(compressed_size)::bigint as compressed, sum(original_size)::bigint as original from ({DUCK_TOC}) group by 1",
     "name_bytes": f"select cast(sum(18 + strlen(path)) as bigint) as name_bytes from ({DUCK_A})",
     "dedup_groups": f"select sha256(text) as content_hash, count(*) as n, cast(sum(size) - max(size) as bigint) as saved from ({DUCK_A}) group by 1 having count(*) > 1",
@@ -393,8 +401,8 @@ ORACLE_SQL = {
     "slack": f"with {DUCK_PLACED}, q as (select size, data_offset - lag(data_offset + size) over (order by data_offset, path) as gap from placed) select cast(coalesce(sum(case when gap > 0 and gap < 131072 then gap end), 0) as bigint) as slack_bytes, cast(sum(size) as bigint) as data_bytes, coalesce(sum(case when gap > 0 and gap < 131072 then gap end), 0) * 100.0::double / sum(size) as slack_percent from q",
     "take_while": f"with a as ({DUCK_A}), r as (select *, sum(size) over (order by doc_id rows between unbounded preceding and current row) as s from a) select doc_id, size from r where s <= 1000000",
     "preview": f"select path, substr(text, 1, 100) as preview from ({DUCK_A})",
-    "listing": f"with a as ({DUCK_A}) select path, size, false as pending from a where doc_id % 2 = 0 union all select path, size, true from a where doc_id % 3 = 0",
-    "pending_files": f"select path, size from ({DUCK_A}) where doc_id % 3 = 0",
+    "listing": f"select path, size, false as pending from ({DUCK_A}) union all select url, cast(strlen(html) as bigint), true from pages",
+    "pending_files": "select url as path, cast(strlen(html) as bigint) as size from pages",
     "bytes_read": f"select cast(sum(size) as bigint) as bytes from ({DUCK_A})",
     "path_helpers": f"select path, split_part(path, '/', 3) as name, case when doc_id % 5 = 0 then '.DDS' else '.json' end as ext, concat(split_part(path, '.', 1), '.gdat') as changed from ({DUCK_A})",
     "derive_key": f"select path, upper(sha256(path)) as key from ({DUCK_A})",
@@ -402,5 +410,6 @@ ORACLE_SQL = {
     "roundtrip_lz4": _ROUND,
     "roundtrip_store": _ROUND,
     "encrypted_table": "select path, concat(" + ", ".join(f"printf('%02X', ({c} >> {8 * b}) & 255)" for c in ("size", "doc_id") for b in range(4)) + f") as chunk_table from ({DUCK_A})",
+    "dds_header": f"select path, cast(2 * power(2, doc_id % 10) as int) as width, cast(4 * power(2, doc_id % 9) as int) as height, cast(greatest(1, doc_id % 12) as int) as mip_count, cast(case doc_id % 3 when 0 then {dds.FOURCC_DXT1} when 1 then {dds.FOURCC_DX10} else {0x35545844} end as bigint) as four_cc from ({DUCK_A})",
     "verify_chunks": f"select path, true as ok, greatest(1, cast(ceil(size / {CHUNK}.0) as bigint)) as chunks from ({DUCK_A})",
 }

@@ -22,7 +22,7 @@ def package_summary(toc: DataFrame, names: DataFrame, chunk_bytes: Column | None
     """One row: entries, bytes of the table of contents and of the data section, kept apart."""
     n = toc.agg(F.count("*").alias("file_count"), F.coalesce(F.max(F.col("data_offset") + F.col("compressed_size")), F.lit(0)).cast("long").alias("data_bytes"), F.coalesce(F.sum("chunk_count"), F.lit(0)).cast("long").alias("_chunks"))
     b = names.agg(F.coalesce(F.sum(18 + F.octet_length("path")), F.lit(0)).cast("long").alias("name_bytes"))
-    return n.crossJoin(b).select("file_count", "data_bytes", "name_bytes", (S.HEADER_BYTES + F.col("file_count") * S.ROW_BYTES + F.col("name_bytes") + 8 * F.col("_chunks")).alias("toc_bytes"))
+    return n.withColumn("name_bytes", b.scalar()).select("file_count", "data_bytes", "name_bytes", (S.HEADER_BYTES + F.col("file_count") * S.ROW_BYTES + F.col("name_bytes") + 8 * F.col("_chunks")).alias("toc_bytes"))
 
 
 def name_bytes(paths: DataFrame, path: str = "path") -> DataFrame:

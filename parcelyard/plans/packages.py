@@ -65,7 +65,7 @@ def pack(files: DataFrame, path: str, method: str = "Auto", level: int = 9, dedu
     entries = slim.withColumn("blob_id", F.col(key)).join(placed, "blob_id")
     table_bytes = 8 * F.col("chunk_count").cast("long") + (28 if passphrase is not None else 0)
     head = slim.agg((F.lit(S.HEADER_BYTES) + F.count("*") * S.ROW_BYTES + F.sum(18 + F.octet_length("path"))).cast("long").alias("_base"))
-    entries = layout.table_pointers(entries.crossJoin(F.broadcast(head)), F.col("_base"), table_bytes).drop("_base")
+    entries = layout.table_pointers(entries.withColumn("_first", head.scalar()), F.col("_first"), table_bytes).drop("_first")
     if passphrase is not None:
         raw = F.unhex(F.array_join(F.transform("chunks", lambda c: F.concat(F.hex(dds.to_le_u32(c["compressed_size"])), F.hex(dds.to_le_u32(c["original_size"])))), ""))
         entries = entries.withColumn("flags", F.col("flags").bitwiseOR(F.lit(S.FLAG_ENCRYPTED).cast("long"))).withColumn("sealed", crypto.encrypt_table(raw, crypto.derive_key(F.lit(passphrase))))

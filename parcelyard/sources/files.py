@@ -55,4 +55,4 @@ def synthetic(spark: SparkSession, n_json: int = 3000, n_blobs: int = 30, blob_b
     parts = spark.range(max(1, blob_bytes // unit)).withColumnRenamed("id", "part").select("part", F.array_join(bytes_of, "").alias("h"))
     one = parts.groupBy().agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("part", "h"))), lambda x: x["h"]), "").alias("h"))
     names = spark.range(n_blobs).select(F.concat(F.lit("textures/tex_4k_aligned_"), F.format_string("%02d", F.col("id")), F.lit(".dds")).alias("path"))
-    return json.unionByName(names.crossJoin(one).select("path", F.unhex("h").alias("content")))
+    return json.unionByName(names.select("path", F.unhex(one.scalar()).alias("content")))
