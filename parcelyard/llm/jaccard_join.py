@@ -39,9 +39,12 @@ from pyspark.sql import functions as F
 from . import common, repeats
 from .components import components
 
-#: Groups of the points of sets of up to FEW shingles; every doubling of the size doubles them.
+#: Groups of the points of sets of up to FEW shingles; every doubling of the size doubles them, DOUBLINGS times at most.
 GROUPS = 128
 FEW = 512
+DOUBLINGS = 3
+#: Bytes of points that are handed on at once.
+HANDED = 4 << 20
 LEAF = 32
 #: Of a member's open shards, in an order that is the same for all, so many travel with its point.
 SEEN = 16
@@ -101,7 +104,7 @@ def signatures(h: np.ndarray, first: np.ndarray) -> np.ndarray:
 
 def scale(n: np.ndarray) -> np.ndarray:
     """How often the groups are doubled for sets of n."""
-    return np.frexp(np.maximum(np.asarray(n) - 1, 1) / FEW)[1].clip(0, 20)
+    return np.frexp(np.maximum(np.asarray(n) - 1, 1) / FEW)[1].clip(0, DOUBLINGS)
 
 
 def point(h: np.ndarray) -> bytes:
@@ -226,7 +229,7 @@ def frequent(found: DataFrame, n_rows: int) -> Hot:
                 both = np.concatenate(lists, axis=1)
                 yield pa.RecordBatch.from_arrays([pa.array(both[0]), pa.array(both[1])], ["key", "n"])
 
-    got = found.filter("often is not null").select("often").mapInArrow(run, "key long, n long").groupBy("key").agg(F.sum("n").alias("n")).filter(F.col("n") >= least).toArrow()
+    got = found.filter("often is not null").select("often").mapInArrow(common.tidy(run), "key long, n long").groupBy("key").agg(F.sum("n").alias("n")).filter(F.col("n") >= least).toArrow()
     return Hot(got["key"].to_numpy().view(np.uint64), got["n"].to_numpy())
 
 
@@ -262,7 +265,7 @@ def tables(rows: DataFrame, size: int) -> DataFrame:
                 often = [np.stack([key[heads[many]].view(np.int64), n[many]]).astype(np.int64).tobytes() if many.any() else None, *[None] * (part.num_rows - 1)]
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(sig), pa.array(np.diff(first).astype(np.int64)), pa.array(often, pa.binary())], ["row", "id", "sig", "n", "often"])
 
-    return rows.mapInArrow(run, "row long, id long, sig long, n long, often binary")
+    return rows.mapInArrow(common.tidy(run), "row long, id long, sig long, n long, often binary")
 
 
 def _announce_pairs(key: np.ndarray, who: np.ndarray, addr: np.ndarray, ids: int) -> list[tuple]:
@@ -296,7 +299,7 @@ def shared_prefixes(rows: DataFrame, size: int, percent: int, hot, ids: int, par
                 key, row = prefix(h, first, hot.value, percent)
                 yield repeats._batch(repeats.ANNOUNCED, _announce_pairs(key, sig[row], sig[row], ids))
 
-    return rows.mapInArrow(run, repeats.ANNOUNCED).repartition(parts, "bucket").mapInArrow(repeats.settle_keys, repeats.SHARED)
+    return rows.mapInArrow(common.tidy(run), repeats.ANNOUNCED).repartition(parts, "bucket").mapInArrow(common.tidy(repeats.settle_keys), repeats.SHARED)
 
 
 def near_pairs(sizes: list[int], pts: list[bytes], percent: int) -> Iterator[tuple[int, int]]:
@@ -365,8 +368,8 @@ def likely_members(members: DataFrame, hot, percent: int, parts: int, salted: bo
             yield repeats._batch(CALLED, out)
         yield repeats._batch(CALLED, close())
 
-    moved = members.mapInArrow(send, "shard long, sig long, n long, point binary").repartition(parts, "shard").sortWithinPartitions("shard", "sig")
-    return moved.mapInArrow(search, CALLED)
+    moved = members.mapInArrow(common.tidy(send), "shard long, sig long, n long, point binary").repartition(parts, "shard").sortWithinPartitions("shard", "sig")
+    return moved.mapInArrow(common.tidy(search), CALLED)
 
 
 def _links(pairs: list[tuple[int, int]]) -> pa.RecordBatch:
@@ -431,7 +434,7 @@ def open_keys(members: DataFrame, hot, parts: int) -> DataFrame:
                 out = []
         yield repeats._batch(OPEN, out)
 
-    return members.mapInArrow(run, GROUPED).repartition(parts, "bucket").mapInArrow(settle, OPEN)
+    return members.mapInArrow(common.tidy(run), GROUPED).repartition(parts, "bucket").mapInArrow(common.tidy(settle), OPEN)
 
 
 def rest_members(open_points: DataFrame, percent: int, parts: int) -> DataFrame:
@@ -439,17 +442,36 @@ def rest_members(open_points: DataFrame, percent: int, parts: int) -> DataFrame:
     high enough bound. A pair that meets in several shards counts in one of them if the first few of both lists of shards tell which."""
 
     def unpack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for whole in batches:
-            for lo in range(0, whole.num_rows, 256):
-                batch = whole.slice(lo, 256)
-                lists = [np.frombuffer(x.as_py(), np.int64) for x in batch.column(4)]
-                at = pa.array(np.repeat(np.arange(batch.num_rows), [len(x) for x in lists]), pa.int64())
-                seen = pa.array([x[np.argsort(common.mix(x.view(np.uint64)), kind="stable")[:SEEN]].tobytes() for x in lists], pa.binary())
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(lists), pa.int64()), *[batch.column(i).take(at) for i in range(4)], seen.take(at)], ["shard", "sig", "comp", "n", "point", "seen"])
-
-    entries = open_points.mapInArrow(unpack, "shard long, sig long, comp long, n long, point binary, seen binary")
+        for batch in batches:
+            at: list[np.ndarray] = []
+            own: list[np.ndarray] = []
+            seen, held = [], 0
+
+            def flush() -> pa.RecordBatch:
+                idx = pa.array(np.concatenate(at), pa.int64())  # noqa: B023
+                first = pa.array(seen, pa.binary()).take(pa.array(np.repeat(np.arange(len(seen)), [len(x) for x in at]), pa.int64()))  # noqa: B023
+                return pa.RecordBatch.from_arrays([pa.array(np.concatenate(own), pa.int64()), *[batch.column(i).take(idx) for i in range(4)], first], ["shard", "sig", "comp", "n", "point", "seen"])  # noqa: B023
+
+            for i in range(batch.num_rows):
+                shards = np.frombuffer(batch.column(4)[i].as_py(), np.int64)
+                few = shards[np.argsort(common.mix(shards.view(np.uint64)), kind="stable")[:SEEN]].tobytes()
+                each = len(batch.column(3)[i].as_py()) + 200
+                step = max(1, HANDED // each)
+                for lo in range(0, len(shards), step):
+                    part = shards[lo : lo + step]
+                    at.append(np.full(len(part), i))
+                    own.append(part)
+                    seen.append(few)
+                    held += each * len(part)
+                    if held >= HANDED:
+                        yield flush()
+                        at, own, seen, held = [], [], [], 0
+            if at:
+                yield flush()
+
+    entries = open_points.mapInArrow(common.tidy(unpack), "shard long, sig long, comp long, n long, point binary, seen binary")
     # a shard of many members is dealt in blocks, each of which meets every other
-    sizes = open_points.select("shards").mapInArrow(_shards_of, "shard long").groupBy("shard").count().filter(F.col("count") > 2 * BLOCK)
+    sizes = open_points.select("shards").mapInArrow(common.tidy(_shards_of), "shard long").groupBy("shard").count().filter(F.col("count") > 2 * BLOCK)
     sizes = sizes.select(F.col("shard").alias("_s"), F.ceil(F.col("count") / BLOCK).cast("long").alias("b"))
     dealt = entries.join(sizes, entries["shard"] == sizes["_s"], "left").withColumn("b", F.coalesce("b", F.lit(1).cast("long")))
     mine = F.pmod(F.col("sig"), F.col("b"))
@@ -486,7 +508,7 @@ def rest_members(open_points: DataFrame, percent: int, parts: int) -> DataFrame:
         yield repeats._batch(CALLED, close())
 
     moved = dealt.select("shard", "cell", "sig", "comp", "n", "point", "seen").repartition(parts, "shard", "cell").sortWithinPartitions("shard", "cell")
-    return moved.mapInArrow(search, CALLED)
+    return moved.mapInArrow(common.tidy(search), CALLED)
 
 
 def _shards_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -559,7 +581,7 @@ def join_sets(docs: DataFrame, size: int = 5, percent: int = 80, id_col: str = "
                 pts = [point(h[a:b]) for a, b in zip(first[:-1].tolist(), first[1:].tolist(), strict=True)]
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(np.diff(first).astype(np.int64)), pa.array(found, pa.binary()), pa.array(pts, pa.binary())], ["sig", "row", "n", "keys", "point"])
 
-    made = text.join(chosen, "row").select("sig", "row", "text", "parts").mapInArrow(to_member, "sig long, row long, n long, keys binary, point binary")
+    made = text.join(chosen, "row").select("sig", "row", "text", "parts").mapInArrow(common.tidy(to_member), "sig long, row long, n long, keys binary, point binary")
     members = common.table(made.dropDuplicates(["sig"]))  # repeated rows bring a set twice
     links = common.table(verify(common.table(likely_members(members, hot, percent, parts, True, 0)), members, rows, size, percent))
     comps = common.table(components(links))
@@ -580,12 +602,13 @@ def join_sets(docs: DataFrame, size: int = 5, percent: int = 80, id_col: str = "
             yield pa.RecordBatch.from_arrays([*batch.columns[:4], pa.array(out, pa.binary())], ["sig", "comp", "n", "point", "shards"])
 
     still = labelled.join(wanted, labelled["comp"] == wanted["_comp"]).select("sig", "comp", "n", "point", "keys", "open", "shards")
-    still = still.mapInArrow(keep_open, "sig long, comp long, n long, point binary, shards binary").filter(F.octet_length("shards") > 0)
+    still = still.mapInArrow(common.tidy(keep_open), "sig long, comp long, n long, point binary, shards binary").filter(F.octet_length("shards") > 0)
     called = common.table(rest_members(common.table(still), percent, parts))
     last = common.table(verify(called, members, rows, size, percent))
-    final = comps if last.isEmpty() else components(links.unionByName(last))
+    final = comps if last.isEmpty() else common.table(components(links.unionByName(last)))
     named = all_rows.join(final, all_rows["sig"] == final["node"], "left").select("row", "id", "n", F.coalesce("component", "sig").alias("comp"))
-    least = named.filter("n > 0").groupBy("comp").agg(F.min("id").alias("least")).withColumnRenamed("comp", "_comp")
+    # as a table, so that Spark may split the join where a component holds very many rows
+    least = common.table(named.filter("n > 0").groupBy("comp").agg(F.min("id").alias("least")).withColumnRenamed("comp", "_comp"))
     out = named.join(least, (named["comp"] == least["_comp"]) & (named["n"] > 0), "left")
     return out.select("row", "id", F.col("n").alias("n_shingles"), F.coalesce("least", "id").alias("component_id"))
 

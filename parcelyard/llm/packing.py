@@ -16,7 +16,7 @@ from __future__ import annotations
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
-from itertools import chain
+from itertools import chain, islice
 
 import numpy as np
 import pandas as pd
@@ -30,6 +30,8 @@ from .token_counts import split_words
 
 #: Words kept in a worker's cache; a full cache is emptied, results do not depend on it.
 CACHE_WORDS = 1_000_000
+#: Words that an idle worker keeps: the first ones met, which are the frequent ones.
+IDLE_WORDS = 100_000
 #: Pieces in a shard, about. A shard is one task's work and wastes part of one bin at most.
 SHARD_ROWS = 60_000
 #: Rounds of local search; each ends early when no bin can be emptied further.
@@ -95,6 +97,13 @@ def encode_batch(path: str, texts: list[str | None]) -> list[bytes]:
     return [b"".join(map(get, x)) for x in lists]
 
 
+def trim(path: str) -> None:
+    """Let go of most of the cache at the end of a task: other operators' tasks may be next in this worker."""
+    cache = _cache.get(path, {})
+    if len(cache) > IDLE_WORDS:
+        _cache[path] = dict(islice(cache.items(), IDLE_WORDS))
+
+
 def pieces(docs: DataFrame, path: str, limit: int = 2048, end_id: int = 0, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Rows (id, piece, start, length, ids_crc32): every document's ids and the end marker, cut into pieces of ``limit``."""
 
@@ -116,10 +125,11 @@ def pieces(docs: DataFrame, path: str, limit: int = 2048, end_id: int = 0, id_co
                     [part.column(0).take(pa.array(who, pa.int64())), pa.array(piece, pa.int32()), pa.array(start, pa.int64()), pa.array(length, pa.int64()), pa.array(crc, pa.int64())],
                     ["id", "piece", "start", "length", "ids_crc32"],
                 )
+        trim(path)
 
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     kind = rows.schema["id"].dataType.simpleString()
-    return rows.mapInArrow(run, f"id {kind}, piece int, start long, length long, ids_crc32 long").withColumnRenamed("id", id_col)
+    return rows.mapInArrow(common.tidy(run), f"id {kind}, piece int, start long, length long, ids_crc32 long").withColumnRenamed("id", id_col)
 
 
 class Bins:
