@@ -208,7 +208,7 @@ def find(docs: DataFrame, benchmark: DataFrame, window: int = 8, id_col: str = "
                 yield pa.RecordBatch.from_arrays([*part.columns, *cols], [*names, "_n_words", "_n_hit", "_items", "_matches"])
 
     benchmark_type = pa.int64() if kind == "bigint" else pa.int32() if kind == "int" else pa.string()
-    return docs.mapInArrow(run, schema)
+    return docs.mapInArrow(common.tidy(run), schema)
 
 
 def digest(found: DataFrame, least_items: int = 2, id_col: str = "doc_id") -> DataFrame:

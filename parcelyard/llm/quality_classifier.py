@@ -92,7 +92,7 @@ def _per_partition(df: DataFrame, schema: str, add, finish) -> DataFrame:
         if state is not None:
             yield finish(state)
 
-    return df.mapInArrow(run, schema)
+    return df.mapInArrow(common.tidy(run), schema)
 
 
 def fit(stats: DataFrame, labels: DataFrame, id_col: str = "doc_id", label_col: str = "quality") -> Model:
@@ -169,7 +169,7 @@ def score(stats: DataFrame, model: Model) -> DataFrame:
         for b in batches:
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(model.score(_matrix(b)), pa.float64())], [*names, "score"])
 
-    return stats.mapInArrow(run, schema)
+    return stats.mapInArrow(common.tidy(run), schema)
 
 
 def classify(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -112,7 +112,7 @@ def with_stats(docs: DataFrame, text_col: str = "text", keep_text: bool = False)
                 s = batch_stats(part.column(at))
                 yield pa.RecordBatch.from_arrays([*[part.column(names.index(c)) for c in kept], *[pa.array(s[c], pa.int64()) for c in COLUMNS]], [*kept, *[f"s_{c}" for c in COLUMNS]])
 
-    return docs.mapInArrow(run, schema)
+    return docs.mapInArrow(common.tidy(run), schema)
 
 
 def ratios(s: dict[str, np.ndarray]) -> dict[str, np.ndarray]:

@@ -172,5 +172,5 @@ def count_tokens(docs: DataFrame, path: str, limit: int = 2048, id_col: str = "d
 
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     kind = rows.schema["id"].dataType.simpleString()
-    out = rows.mapInArrow(run, f"id {kind}, n_bytes long, n_tokens long")
+    out = rows.mapInArrow(common.tidy(run), f"id {kind}, n_bytes long, n_tokens long")
     return out.select(F.col("id").alias(id_col), "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"))

@@ -26,6 +26,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import common
+
 MAGIC = b"\x1f\x8b\x08"
 VERSION = b"WARC/1.1\r\n"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
@@ -66,7 +68,7 @@ def write_archives(pages: DataFrame, path: str, least: int = 100) -> None:
         if rest:
             yield pa.RecordBatch.from_arrays([pa.array([rest], pa.binary())], ["line"])
 
-    rows.mapInArrow(run, "line binary").select(F.col("line").cast("string").alias("value")).write.text(path)
+    rows.mapInArrow(common.tidy(run), "line binary").select(F.col("line").cast("string").alias("value")).write.text(path)
 
 
 class Window:
@@ -155,7 +157,7 @@ def read_archives(spark: SparkSession, path: str, split_bytes: int = SPLIT_BYTES
     files = files.filter("length > 0")
     if mounted:
         work = files.select("path", F.explode(ranges).alias("start"))
-        work = work.repartition(max(1, common_partitions(spark)), "path", "start")
+        work = work.repartition(max(1, common.partitions(spark)), "path", "start")
     else:
         work = files.select("path", "content")
 
@@ -189,8 +191,4 @@ def read_archives(spark: SparkSession, path: str, split_bytes: int = SPLIT_BYTES
                     if rows:
                         yield emit(rows)
 
-    return work.mapInArrow(run, schema)
-
-
-def common_partitions(spark: SparkSession) -> int:
-    return int(spark.conf.get("spark.sql.shuffle.partitions"))
+    return work.mapInArrow(common.tidy(run), schema)
