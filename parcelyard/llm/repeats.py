@@ -104,7 +104,7 @@ ANNOUNCED = "bucket int, row long, keys binary, rows binary"
 SHARED = "row long, keys binary"
 TOLD = "bucket int, row long, settled binary, tags binary, who binary"
 JUDGED = "row long, settled binary, open binary, hot binary"
-SENT = "bucket int, part int, row long, head binary, body binary"
+SENT = "bucket int, row long, parts binary, head binary, body binary"
 MARKED = "row long, marks binary"
 
 
@@ -248,7 +248,7 @@ def judged(rows: DataFrame, method: Method, parts: int) -> DataFrame:
                 out = []
         yield _batch(JUDGED, out)
 
-    return rows.mapInArrow(announce, TOLD).repartition(parts, "bucket").mapInArrow(judge, JUDGED)
+    return rows.mapInArrow(common.tidy(announce), TOLD).repartition(parts, "bucket").mapInArrow(common.tidy(judge), JUDGED)
 
 
 def marked(rows: DataFrame, method: Method, parts: int) -> DataFrame:
@@ -258,8 +258,18 @@ def marked(rows: DataFrame, method: Method, parts: int) -> DataFrame:
     told = judged(rows, method, parts).groupBy("row").agg(*[F.collect_list(c).alias(c) for c in ("settled", "open", "hot")]).withColumnRenamed("row", "_row")
     mine = rows.join(told, rows["row"] == told["_row"]).select("row", "id", "text", "settled", "open", "hot")
 
-    def place(bucket: np.ndarray) -> np.ndarray:
-        return bucket // SUB
+    def dealt(key: np.ndarray, head: np.ndarray, body: Callable[[np.ndarray], bytes]) -> list[tuple]:
+        """A row per bucket, with its parts (number, runs, bytes) one after the other."""
+        fine_no = (key % np.uint64(fine)).astype(np.int64)
+        out = []
+        for b, idx, no in _by(fine_no // SUB, np.arange(len(key)), fine_no):
+            order = np.argsort(no, kind="stable")
+            idx, no = idx[order], no[order]
+            cuts = np.append(np.flatnonzero(_first_of(no)), len(no)).tolist()
+            bodies = [body(idx[x:y]) for x, y in zip(cuts[:-1], cuts[1:], strict=True)]
+            parts = np.array([(no[x], y - x, len(c)) for x, y, c in zip(cuts[:-1], cuts[1:], bodies, strict=True)], np.int64)
+            out.append((int(ids[b]), None, parts.tobytes(), head[:, idx].tobytes(), b"".join(bodies)))
+        return out
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -280,8 +290,7 @@ def marked(rows: DataFrame, method: Method, parts: int) -> DataFrame:
                 gone = [(r.row[s], r.start[s], r.start[s] + r.count[s] - 1 + size)]
                 s = np.flatnonzero(status == 2)
                 head = np.stack([addr[r.row[s]], docs[r.row[s]], r.start[s], r.count[s], r.key[s].view(np.int64)]).astype(np.int64)
-                for b, idx in _by((r.key[s] % np.uint64(fine)).astype(np.int64), np.arange(len(s))):
-                    out.append((int(ids[place(b)]), int(b), None, head[:, idx].tobytes(), r.pack(s[idx])))
+                out += dealt(r.key[s], head, lambda idx: r.pack(s[idx]))  # noqa: B023
                 s = np.flatnonzero(status == 3)
                 if len(s):  # anchors with very many runs: each window goes where equal windows go, once per slice
                     name, body = r.single(s)
@@ -296,32 +305,35 @@ def marked(rows: DataFrame, method: Method, parts: int) -> DataFrame:
                     gone.append((r.row[run[late]], at[late], at[late] + size))
                     k = np.flatnonzero(~late)
                     head = np.stack([addr[r.row[run[k]]], doc[k], at[k], np.ones(len(k), np.int64), name[k].view(np.int64)]).astype(np.int64)
-                    for b, idx in _by((name[k] % np.uint64(fine)).astype(np.int64), np.arange(len(k))):
-                        out.append((int(ids[place(b)]), int(b), None, head[:, idx].tobytes(), body(k[idx])))
+                    out += dealt(name[k], head, lambda idx: body(k[idx]))  # noqa: B023
                 row, first, last = (np.concatenate(x) for x in zip(*gone, strict=True))
                 for i, x, y in _by(row, first, last):
                     a = int(addr[i])
-                    out.append((int(ids[a % parts]), None, a, _packed_marks(x, y), None))
+                    out.append((int(ids[a % parts]), a, None, _packed_marks(x, y), None))
                 yield _batch(SENT, out)
 
     def settle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[int, tuple[list, list]] = {}
         for batch in batches:
-            own = np.asarray(batch.column(2).is_null())
+            own = np.asarray(batch.column(1).is_null())
             if not own.all():
                 passed = batch.filter(pa.array(~own))
-                yield pa.RecordBatch.from_arrays([passed.column(2), passed.column(3)], ["row", "marks"])
+                yield pa.RecordBatch.from_arrays([passed.column(1), passed.column(3)], ["row", "marks"])
             for i in np.flatnonzero(own).tolist():
-                heads, bodies = held.setdefault(batch.column(1)[i].as_py(), ([], []))
-                heads.append(np.frombuffer(batch.column(3)[i].as_py(), np.int64).reshape(5, -1))
-                bodies.append(batch.column(4)[i].as_py())
+                head = np.frombuffer(batch.column(3)[i].as_py(), np.int64).reshape(5, -1)
+                body, x, y = batch.column(4)[i].as_py(), 0, 0
+                for no, n, size_ in np.frombuffer(batch.column(2)[i].as_py(), np.int64).reshape(-1, 3).tolist():
+                    heads, bodies = held.setdefault(no, ([], []))
+                    heads.append(head[:, x : x + n])
+                    bodies.append(body[y : y + size_])
+                    x, y = x + n, y + size_
         while held:  # a part of the bucket at a time: equal windows share it
             _, (heads, bodies) = held.popitem()
             out = _settle_bucket(np.concatenate(heads, axis=1).T, b"".join(bodies), method)
             if out:
                 yield _batch(MARKED, out)
 
-    return mine.mapInArrow(send, SENT).repartition(parts, "bucket").mapInArrow(settle, MARKED)
+    return mine.mapInArrow(common.tidy(send), SENT).repartition(parts, "bucket").mapInArrow(common.tidy(settle), MARKED)
 
 
 def _settle_bucket(head: np.ndarray, body: bytes, method: Method) -> list[tuple]:

@@ -173,7 +173,7 @@ def dedup(docs: DataFrame, size: int = 50, id_col: str = "doc_id", text_col: str
                     ["id", "text", "n_words", "n_removed", "kept_sha256", "spans"],
                 )
 
-    return found.mapInArrow(run, schema).withColumnRenamed("id", id_col)
+    return found.mapInArrow(common.tidy(run), schema).withColumnRenamed("id", id_col)
 
 
 def digest(found: DataFrame, id_col: str = "doc_id") -> DataFrame:
