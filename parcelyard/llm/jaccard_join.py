@@ -384,7 +384,8 @@ def open_keys(members: DataFrame, hot, parts: int) -> DataFrame:
     """(row: component, keys, shards): shingles that it shares with other components, from (sig, comp, keys).
 
     Shingles shared by the same components form one shard, however many they are: near copies share most of their leading
-    shingles. Frequent shingles are told by their smallest and largest component alone and are shards of their own.
+    shingles. Frequent shingles are told by their smallest and largest component alone, which is enough to know whether several
+    components have them; those that several have come in rows without component and are shards of their own for all their holders.
     """
     ids = repeats.even_ids(parts)
 
@@ -397,12 +398,12 @@ def open_keys(members: DataFrame, hot, parts: int) -> DataFrame:
             key, comp = np.concatenate(lists), np.repeat(batch.column(1).to_numpy(), n)
             order = np.lexsort((comp, key))
             key, comp = key[order], comp[order]
-            start = repeats._first_of(key)
-            new = start.copy()
+            new = repeats._first_of(key)
             new[1:] |= comp[1:] != comp[:-1]
-            end = np.append(start[1:], True)
-            new &= (hot.value.count(key) == 0) | start | end
             key, comp = key[new], comp[new]
+            start = repeats._first_of(key)
+            told = (hot.value.count(key) == 0) | start | np.append(start[1:], True)
+            key, comp = key[told], comp[told]
             yield repeats._batch(GROUPED, [(int(ids[p]), k.tobytes(), c.tobytes()) for p, k, c in repeats._by((key % np.uint64(parts)).astype(np.int64), key, comp)])
 
     def settle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -422,11 +423,11 @@ def open_keys(members: DataFrame, hot, parts: int) -> DataFrame:
         heads = np.flatnonzero(repeats._first_of(key))
         n = np.diff(np.append(heads, len(key)))
         shard = common.mix(np.add.reduceat(common.mix(comp.view(np.uint64)), heads) + n.astype(np.uint64))
-        own = hot.value.count(key[heads]) > 0
-        shard[own] = key[heads][own]
-        many = np.repeat(n > 1, n)
+        often = hot.value.count(key[heads]) > 0
+        many = np.repeat((n > 1) & ~often, n)
         shard = np.repeat(shard, n)
-        out = []
+        held = key[heads[often & (n > 1)]].tobytes()
+        out: list[tuple] = [(None, held, held)] if held else []
         for c, k, s in repeats._by(comp[many], key[many], shard[many]):
             out.append((int(c), k.tobytes(), s.tobytes()))
             if len(out) == 5000:
@@ -591,17 +592,22 @@ def join_sets(docs: DataFrame, size: int = 5, percent: int = 80, id_col: str = "
     links = common.table(links.unionByName(more))
     comps = common.table(components(links))
     labelled = members.join(comps, members["sig"] == comps["node"], "left").select("sig", F.coalesce("component", "sig").alias("comp"), "keys", "n", "point")
-    wanted = open_keys(labelled.select("sig", "comp", "keys"), hot, parts).groupBy("row").agg(F.collect_list("keys").alias("open"), F.collect_list("shards").alias("shards")).withColumnRenamed("row", "_comp")
+    opened = common.table(open_keys(labelled.select("sig", "comp", "keys"), hot, parts))
+    # as bounded in number as the frequent shingles themselves
+    often = opened.filter("row is null").select("keys").toArrow()["keys"].to_pylist()
+    often = spark.sparkContext.broadcast(np.frombuffer(b"".join(often), np.uint64))
+    wanted = opened.filter("row is not null").groupBy("row").agg(F.collect_list("keys").alias("open"), F.collect_list("shards").alias("shards")).withColumnRenamed("row", "_comp")
 
     def keep_open(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out = []
             for keys, lists, shards in zip(batch.column(4), batch.column(5).to_pylist(), batch.column(6).to_pylist(), strict=True):
-                k, s = np.frombuffer(b"".join(lists), np.uint64), np.frombuffer(b"".join(shards), np.uint64)
-                out.append(np.unique(s[np.isin(k, np.frombuffer(keys.as_py(), np.uint64))]).tobytes())
+                own = np.frombuffer(keys.as_py(), np.uint64)
+                k, s = np.frombuffer(b"".join(lists or []), np.uint64), np.frombuffer(b"".join(shards or []), np.uint64)
+                out.append(np.unique(np.concatenate([s[np.isin(k, own)], own[np.isin(own, often.value)]])).tobytes())
             yield pa.RecordBatch.from_arrays([*batch.columns[:4], pa.array(out, pa.binary())], ["sig", "comp", "n", "point", "shards"])
 
-    still = labelled.join(wanted, labelled["comp"] == wanted["_comp"]).select("sig", "comp", "n", "point", "keys", "open", "shards")
+    still = labelled.join(wanted, labelled["comp"] == wanted["_comp"], "left").select("sig", "comp", "n", "point", "keys", "open", "shards")
     still = still.mapInArrow(common.tidy(keep_open), "sig long, comp long, n long, point binary, shards binary").filter(F.octet_length("shards") > 0)
     called = common.table(rest_members(common.table(still), percent, parts))
     last = common.table(verify(called, members, rows, size, percent))

@@ -69,6 +69,22 @@ def test_exact_rest_alone_finds_all_links(spark, monkeypatch):
     assert run(spark, texts) == brute(texts)
 
 
+def test_exact_rest_links_by_frequent_shingles_alone(spark, monkeypatch):
+    """A star: copies are linked to the original but not to each other, and share frequent shingles only."""
+    monkeypatch.setattr(J, "likely_members", lambda members, *a: members.sparkSession.createDataFrame([], J.CALLED))
+    rng = random.Random(6)
+    base = [f"w{k}" for k in range(200)]
+    texts = {}
+    for i in range(120):
+        w = list(base)
+        for k in rng.sample(range(1, 39), 4) if i != 50 else ():
+            w[5 * k] = f"own{i}x{k}"
+        texts[i] = " ".join(w)
+    want = brute(texts)
+    assert set(want.values()) == {0} and len(set(brute({d: t for d, t in texts.items() if d != 50}).values())) > 60
+    assert run(spark, texts) == want
+
+
 def test_edges(spark, tricky, nothing):
     rows = J.join_sets(tricky).collect()
     assert len(rows) == 11
