@@ -102,7 +102,7 @@ def addressed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 ANNOUNCED = "bucket int, row long, keys binary, rows binary"
 SHARED = "row long, keys binary"
-TOLD = "bucket int, row long, settled binary, tags binary, who binary"
+TOLD = "bucket int, row long, settled binary, tags binary, anchors binary, who binary"
 JUDGED = "row long, settled binary, open binary, hot binary"
 SENT = "bucket int, row long, parts binary, head binary, body binary"
 MARKED = "row long, marks binary"
@@ -161,12 +161,12 @@ def even_ids(parts: int) -> np.ndarray:
     return out.astype(np.int64)
 
 
-_FINGER = np.uint64(0xFFFFFF)
+#: The key's lower bits choose the bucket, its upper half tells anchors apart there; anchors that are taken for one only have more runs compared.
+_LOW = np.uint64(0xFFFFFF)
 
 
-def tags(r: Runs) -> np.ndarray:
-    """Upper 40 bits of the key and 24 bits of the content: equal for equal runs, and alike above for equal anchors. The key's lower bits choose the bucket."""
-    return (r.key & ~_FINGER) | (common.mix(r.content) & _FINGER)
+def _anchors(key: np.ndarray) -> np.ndarray:
+    return (key >> np.uint64(32)).astype(np.uint32)
 
 
 def _packed_marks(starts: np.ndarray, ends: np.ndarray) -> bytes:
@@ -176,7 +176,7 @@ def _packed_marks(starts: np.ndarray, ends: np.ndarray) -> bytes:
 
 def judged(rows: DataFrame, method: Method, parts: int) -> DataFrame:
     """(row, settled, open, hot): tags of each row's runs that a smaller document has as well, that must be compared with other
-    runs of their anchor, or compared window by window; a row may come in parts."""
+    runs of their anchor, or compared window by window; a row may come in parts. A run's tag is its whole 64-bit content hash."""
     ids = even_ids(parts)
 
     def announce(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -186,7 +186,7 @@ def judged(rows: DataFrame, method: Method, parts: int) -> DataFrame:
                 docs, known = _ids(part)
                 r = method.runs(part.column(2))
                 ok = known[r.row]
-                tag, key, row = tags(r)[ok], r.key[ok], r.row[ok]
+                tag, key, row = r.content[ok], r.key[ok], r.row[ok]
                 if not len(tag):
                     continue
                 doc = docs[row]
@@ -198,21 +198,21 @@ def judged(rows: DataFrame, method: Method, parts: int) -> DataFrame:
                 late = doc > least  # settled within the slice
                 for i, t in _by(row[late], tag[late]):
                     a = int(addr[i])
-                    out.append((int(ids[a % parts]), a, np.unique(t).tobytes(), None, None))
+                    out.append((int(ids[a % parts]), a, np.unique(t).tobytes(), None, None, None))
                 new = start | _first_of(row)
                 say = ~late & new
                 tag, key, row = tag[say], key[say], row[say]
-                for p, t, i in _by(((key & _FINGER) % np.uint64(parts)).astype(np.int64), tag, row):
+                for p, t, k, i in _by(((key & _LOW) % np.uint64(parts)).astype(np.int64), tag, _anchors(key), row):
                     order = np.argsort(i, kind="stable")
-                    t, i = t[order], i[order]
+                    t, k, i = t[order], k[order], i[order]
                     heads = np.flatnonzero(_first_of(i))
                     n = np.diff(np.append(heads, len(i)))
                     who = np.stack([addr[i[heads]], docs[i[heads]], n]).astype(np.int64)
-                    out.append((int(ids[p]), None, None, t.tobytes(), who.tobytes()))
+                    out.append((int(ids[p]), None, None, t.tobytes(), k.tobytes(), who.tobytes()))
                 yield _batch(TOLD, out)
 
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        got: list[list] = [[], [], []]
+        got: list[list] = [[], [], [], []]
         for batch in batches:
             mine = np.asarray(batch.column(1).is_null())
             if not mine.all():
@@ -220,20 +220,20 @@ def judged(rows: DataFrame, method: Method, parts: int) -> DataFrame:
                 none = pa.nulls(passed.num_rows, pa.binary())
                 yield pa.RecordBatch.from_arrays([passed.column(1), passed.column(2), none, none], ["row", "settled", "open", "hot"])
             for i in np.flatnonzero(mine).tolist():
-                who = np.frombuffer(batch.column(4)[i].as_py(), np.int64).reshape(3, -1)
+                who = np.frombuffer(batch.column(5)[i].as_py(), np.int64).reshape(3, -1)
                 got[0].append(np.frombuffer(batch.column(3)[i].as_py(), np.uint64))
-                got[1].append(np.repeat(who[0], who[2]))
-                got[2].append(np.repeat(who[1], who[2]))
+                got[1].append(np.frombuffer(batch.column(4)[i].as_py(), np.uint32))
+                got[2].append(np.repeat(who[0], who[2]))
+                got[3].append(np.repeat(who[1], who[2]))
         if not got[0]:
             return
-        tag, row, doc = (np.concatenate(x) for x in got)
+        tag, anchor, row, doc = (np.concatenate(x) for x in got)
         got.clear()
-        order = np.lexsort((doc, tag))
-        tag, row, doc = tag[order], row[order], doc[order]
-        start = _first_of(tag)
+        order = np.lexsort((doc, tag, anchor))
+        tag, anchor, row, doc = tag[order], anchor[order], row[order], doc[order]
+        start = _first_of(tag) | _first_of(anchor)
         heads = np.flatnonzero(start)
         least = doc[heads][np.cumsum(start) - 1]
-        anchor = tag >> np.uint64(24)
         own = anchor[heads]
         first = np.flatnonzero(_first_of(own))
         kinds = np.repeat(np.diff(np.append(first, len(own))), np.diff(np.append(heads[first], len(tag))))
@@ -277,7 +277,7 @@ def marked(rows: DataFrame, method: Method, parts: int) -> DataFrame:
                 addr = part.column(0).to_numpy()
                 docs, _ = _ids(part)
                 r = method.runs(part.column(2))
-                tag = tags(r)
+                tag = r.content
                 status = np.zeros(len(tag), np.int8)
                 edges = np.searchsorted(r.row, np.arange(part.num_rows + 1))
                 for k, column in enumerate((3, 4, 5), 1):

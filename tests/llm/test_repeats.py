@@ -4,7 +4,7 @@ import random
 import numpy as np
 import pytest
 
-from parcelyard.llm import repeats, substring_dedup as W
+from parcelyard.llm import common, repeats, substring_dedup as W
 from parcelyard.llm import suffix_dedup as B
 
 
@@ -80,6 +80,27 @@ def test_words_against_all_windows(spark, monkeypatch, seed, hot):
     assert got == brute_words(rows)
 
 
+@pytest.mark.parametrize(("mod", "method", "brute", "column"), [(B, B.ByteWindows, brute_bytes, "n_bytes"), (W, W.WordWindows, brute_words, "n_words")])
+def test_runs_alike_in_few_bits_are_different(spark, mod, method, brute, column):
+    """Runs of one anchor whose hashes agree in 24 bits only: nothing but the passage they share is removed."""
+    import pyarrow as pa
+
+    passage = " ".join(f"p{k}" for k in range(70))
+    texts = [f"{' '.join(f'a{i}x{k}' for k in range(30))} {passage} {' '.join(f'b{i}x{k}' for k in range(30))}" for i in range(14_000)]
+    alike, pairs = {}, []
+    for lo in range(0, len(texts), 2000):
+        r = method(50).runs(pa.array(texts[lo : lo + 2000]))
+        for anchor, bits, content, row in zip(r.key.tolist(), (common.mix(r.content) & np.uint64(0xFFFFFF)).tolist(), r.content.tolist(), (r.row + lo).tolist(), strict=True):
+            other, before = alike.setdefault((anchor, bits), (content, row))
+            if other != content:
+                pairs.append((before, row))
+    assert pairs
+    rows = [(i, texts[i]) for i in sorted({i for pair in pairs for i in pair})]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = sorted(((r["doc_id"], r[column], r["n_removed"], r["kept_sha256"]) for r in mod.dedup(df).collect()), key=repr)
+    assert got == brute(rows)
+
+
 def test_edges(spark, tricky, nothing):
     for mod, size in ((B, "n_bytes"), (W, "n_words")):
         rows = mod.dedup(tricky).collect()
