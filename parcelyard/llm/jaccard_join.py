@@ -563,6 +563,15 @@ def join_sets(docs: DataFrame, size: int = 5, percent: int = 80, id_col: str = "
 
     component_id is the smallest id reachable by links (Jaccard of at least ``percent`` hundredths), the row's own included.
     """
+    named = joined(docs, size, percent, id_col, text_col)
+    # as a table, so that Spark may split the join where a component holds very many rows
+    least = common.table(named.filter("n > 0").groupBy("comp").agg(F.min("id").alias("least")).withColumnRenamed("comp", "_comp"))
+    out = named.join(least, (named["comp"] == least["_comp"]) & (named["n"] > 0), "left")
+    return out.select("row", "id", F.col("n").alias("n_shingles"), F.coalesce("least", "id").alias("component_id"))
+
+
+def joined(docs: DataFrame, size: int, percent: int, id_col: str, text_col: str) -> DataFrame:
+    """(row, id, n, comp) of every row: its number of shingles, and its component by a signature. Rows without shingles are not joined."""
     spark = docs.sparkSession
     parts = common.partitions(spark)
     ids = 4 * parts
@@ -612,17 +621,24 @@ def join_sets(docs: DataFrame, size: int = 5, percent: int = 80, id_col: str = "
     called = common.table(rest_members(common.table(still), percent, parts))
     last = common.table(verify(called, members, rows, size, percent))
     final = comps if last.isEmpty() else common.table(components(links.unionByName(last)))
-    named = all_rows.join(final, all_rows["sig"] == final["node"], "left").select("row", "id", "n", F.coalesce("component", "sig").alias("comp"))
-    # as a table, so that Spark may split the join where a component holds very many rows
-    least = common.table(named.filter("n > 0").groupBy("comp").agg(F.min("id").alias("least")).withColumnRenamed("comp", "_comp"))
-    out = named.join(least, (named["comp"] == least["_comp"]) & (named["n"] > 0), "left")
-    return out.select("row", "id", F.col("n").alias("n_shingles"), F.coalesce("least", "id").alias("component_id"))
+    return all_rows.join(final, all_rows["sig"] == final["node"], "left").select("row", "id", "n", F.coalesce("component", "sig").alias("comp"))
 
 
 def keep_one(docs: DataFrame, size: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs`` with one document of each component, that with the smallest id (of equal rows, one); texts without words stay."""
-    found = join_sets(docs, size, percent, id_col, text_col).filter((F.col("n_shingles") > 0) & (~F.col("id").eqNullSafe(F.col("component_id"))))
-    gone = found.select(F.col("row").alias("_row")).distinct()
+    found = joined(docs, size, percent, id_col, text_col).filter("n > 0")
+    found = common.table(found.groupBy("comp", "row").agg(F.min("id").alias("id"), F.count("*").alias("rows")))
+    first = found.groupBy("comp").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "row")).alias("least")).select(F.col("least.row").alias("_first"))
+    # addresses to drop, and those to stay that several equal rows have
+    some = found.join(first, found["row"] == first["_first"], "left").filter("_first is null or rows > 1")
+    some = common.table(some.select(F.col("row").alias("_row"), F.col("_first").isNotNull().alias("_stays")))
     folded = common.fold(docs, text_col)
     address = F.xxhash64(F.col("doc").getField(id_col).cast("long"), F.coalesce(F.col("text"), F.lit("")))
-    return common.unfold(folded.withColumn("_address", address).join(gone, F.col("_address") == F.col("_row"), "left_anti"), docs, text_col)
+    folded = folded.withColumn("_address", address)
+    kept = folded.join(some, F.col("_address") == F.col("_row"), "left_anti").select("doc", "text")
+    again = some.filter("_stays")
+    if not again.isEmpty():
+        same = folded.join(again, F.col("_address") == F.col("_row"), "left_semi")
+        one = same.groupBy("_address").agg(F.min_by(F.struct("doc", "text"), F.xxhash64("doc")).alias("one"))
+        kept = kept.unionByName(one.select("one.doc", "one.text"))
+    return common.unfold(kept, docs, text_col)

@@ -99,6 +99,16 @@ def test_edges(spark, tricky, nothing):
     assert sorted(x for x in ids if x is not None) == [1, 2, 3, 4, 6, 7, 8, 9] and None not in ids
 
 
+def test_one_of_equal_rows_stays(spark):
+    text = "alpha beta gamma delta epsilon zeta eta theta iota kappa lambda mu"
+    rows = [(1, text, "a"), (1, text, "b"), (1, text, "b"), (1, text + " nu", "c"), (2, text, "d"), (1, "another text of the same id stays as well", "e"), (3, "", "f"), (3, "", "f"), (None, "no id here but words enough", "g"), (None, "no id here but words enough", "g")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(3)
+    got = [(r["doc_id"], r["text"]) for r in J.keep_one(df).collect()]
+    group = [x for x in got if x[1].startswith(text)]
+    assert len(group) == 1 and group[0][0] == 1
+    assert sorted((x for x in got if x not in group), key=repr) == sorted([(1, rows[5][1]), (3, ""), (3, ""), (None, rows[8][1])], key=repr)
+
+
 def test_bound_never_misses():
     rng = np.random.default_rng(0)
     sets = []
