@@ -35,7 +35,9 @@ def compress_bytes(raw: bytes, method: int, level: int) -> bytes:
 
         out = zstandard.ZstdCompressor(level=level).compress(raw)
     elif method == S.LZ4:
-        out = pa.Codec("lz4_raw").compress(raw, asbytes=True) if raw else raw
+        # as in the archive's packer, levels over 3 are high compression
+        codec = pa.Codec("lz4_raw", compression_level=level) if level > 3 else pa.Codec("lz4_raw")
+        out = codec.compress(raw, asbytes=True) if raw else raw
     elif method in (S.STORE, S.GDEFLATE):
         return raw
     else:

@@ -126,6 +126,16 @@ def test_codecs():
     assert codecs.available("Zstd") and codecs.available("Store") and not codecs.available("GDeflate")
 
 
+def test_lz4_levels():
+    import random
+
+    rng = random.Random(1)
+    raw = " ".join(f"w{rng.randrange(300)}" for _ in range(20_000)).encode()
+    sizes = [len(codecs.compress_bytes(raw, S.LZ4, k)) for k in (1, 3, 4, 9, 12)]
+    assert sizes[0] == sizes[1] > sizes[2] >= sizes[3] >= sizes[4]
+    assert codecs.decompress_bytes(codecs.compress_bytes(raw, S.LZ4, 12), len(raw), S.LZ4) == raw
+
+
 def test_chunk_table_encryption(spark):
     key = crypto.derive_key(F.lit("k"))
     sealed = one(spark, crypto.encrypt_table(F.col("t").cast("binary"), key), t="12345678" * 3)
