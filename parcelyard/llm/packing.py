@@ -1,14 +1,18 @@
 """Best-fit packing of token sequences with swap-based local search.
 
-Documents become pieces of at most ``limit`` tokens. Pieces are dealt by a hash
-into shards of a bounded number of rows; every shard starts from best-fit
-decreasing and then improves by local search: pieces are moved, exchanged
-one-for-one or two-for-one between underfull bins, from the emptier to the
-fuller, so that the sum of squared fills rises with every step and the emptiest
-bins run out of pieces. Only ids and lengths are shuffled, never tokens or texts.
+Documents become pieces of at most ``limit`` tokens. Pieces are dealt into shards
+of a bounded number of rows; every shard starts from best fit in order of arrival
+and then improves by local search: pieces are moved, exchanged one-for-one or
+two-for-one between underfull bins, so that the sum of squared fills rises with
+every step and bins run out of pieces. Where no step is left, free room changes
+places with full bins of more pieces at an equal sum, and the search goes on. It
+ends when no fewer bins are possible, or when no step and no such change is left;
+then a second search starts from best fit decreasing, and the better end counts.
+Only ids and lengths are shuffled, never tokens or texts.
 
 Null texts count as empty: they hold the end marker alone. Repeated rows are
-packed one by one. An empty table packs into nothing.
+packed one by one, dealt to different shards. Extra columns are not returned,
+whatever their names. An empty table packs into nothing.
 """
 
 from __future__ import annotations
@@ -34,8 +38,6 @@ CACHE_WORDS = 1_000_000
 IDLE_WORDS = 100_000
 #: Pieces in a shard, about. A shard is one task's work and wastes part of one bin at most.
 SHARD_ROWS = 60_000
-#: Rounds of local search; each ends early when no bin can be emptied further.
-MAX_ROUNDS = 4
 
 
 @lru_cache(maxsize=4)
@@ -132,145 +134,226 @@ def pieces(docs: DataFrame, path: str, limit: int = 2048, end_id: int = 0, id_co
     return rows.mapInArrow(common.tidy(run), f"id {kind}, piece int, start long, length long, ids_crc32 long").withColumnRenamed("id", id_col)
 
 
-class Bins:
-    """Bins of one shard. ``spare`` lists the bins that can take a given number of tokens; ``swaps`` the pieces that can give way to a larger one."""
+class BestFit:
+    """Bins filled in order of arrival: a piece goes to the fullest bin with room for it. ``by_room`` lists the bins by free tokens."""
 
     def __init__(self, limit: int):
         self.limit = limit
         self.items: list[list[int]] = []
         self.room: list[int] = []
-        self.by_room: list[set[int]] = [set() for _ in range(limit + 1)]
+        self.by_room: list[list[int]] = [[] for _ in range(limit + 1)]
         self.mask = 0
 
-    def _out(self, b: int) -> None:
-        r = self.room[b]
-        self.by_room[r].discard(b)
-        if not self.by_room[r]:
-            self.mask &= ~(1 << r)
-
-    def _in(self, b: int) -> None:
-        r = self.room[b]
-        self.by_room[r].add(b)
-        self.mask |= 1 << r
-
-    def open(self) -> int:
-        self.items.append([])
-        self.room.append(self.limit)
-        b = len(self.items) - 1
-        self._in(b)
-        return b
-
-    def best(self, size: int) -> int:
-        """The fullest bin with room for ``size``, or -1."""
+    def put(self, i: int, size: int) -> None:
         m = self.mask >> size
-        if not m:
-            return -1
-        return next(iter(self.by_room[size + (m & -m).bit_length() - 1]))
-
-    def put(self, b: int, i: int, size: int) -> None:
-        self._out(b)
+        if m:
+            r = size + (m & -m).bit_length() - 1
+            b = self.by_room[r].pop()
+            if not self.by_room[r]:
+                self.mask &= ~(1 << r)
+        else:
+            b, r = len(self.items), self.limit
+            self.items.append([])
+            self.room.append(r)
         self.items[b].append(i)
-        self.room[b] -= size
-        self._in(b)
-
-    def take(self, b: int, i: int, size: int) -> None:
-        self._out(b)
-        self.items[b].remove(i)
-        self.room[b] += size
-        self._in(b)
-
-
-def pack(sizes: list[int], limit: int, rounds: int = MAX_ROUNDS) -> list[list[int]]:
-    """Positions of ``sizes`` in bins of ``limit``: best fit decreasing, then local search. No bin is left empty."""
-    bins = Bins(limit)
-    for i in sorted(range(len(sizes)), key=lambda i: -sizes[i]):
-        b = bins.best(sizes[i])
-        bins.put(bins.open() if b < 0 else b, i, sizes[i])
-    total = sum(sizes)
-    least = -(-total // limit)
-    for _ in range(rounds):
-        used = sum(1 for x in bins.items if x)
-        if used <= least or not improve(bins, sizes):
-            break
-    return [x for x in bins.items if x]
+        self.room[b] = r - size
+        if r > size:
+            self.by_room[r - size].append(b)
+            self.mask |= 1 << (r - size)
+
+
+class Stock:
+    """Pieces by size that bins still to be treated can give; those of the emptiest bins come first. Stale entries go when met."""
+
+    def __init__(self, limit: int, sizes: list[int]):
+        self.sizes, self.lists, self.mask = sizes, [[] for _ in range(limit + 1)], 0
+        self.bin_of: dict[int, int] = {}
+        self.closed: set[int] = set()
+
+    def add(self, i: int, b: int) -> None:
+        s = self.sizes[i]
+        self.bin_of[i] = b
+        self.lists[s].append(i)
+        self.mask |= 1 << s
+
+    def most(self, top: int) -> int:
+        """The largest size up to ``top`` that there is, or 0."""
+        m = self.mask & ((2 << top) - 1)
+        while m:
+            s = m.bit_length() - 1
+            own = self.lists[s]
+            while own and self.bin_of[own[-1]] in self.closed:
+                own.pop()
+            if own:
+                return s
+            self.mask &= ~(1 << s)
+            m &= ~(1 << s)
+        return 0
 
+    def take(self, size: int) -> int:
+        own = self.lists[size]
+        i = own.pop()
+        if not own:
+            self.mask &= ~(1 << size)
+        return i
 
-def improve(bins: Bins, sizes: list[int]) -> int:
-    """One round: the emptier underfull bins give to the fuller ones. Returns how many steps raised the squared fill."""
-    steps = 0
-    under = sorted((b for b in range(len(bins.items)) if bins.items[b] and bins.room[b]), key=lambda b: -bins.room[b])
-    if len(under) < 2:
-        return 0
-    #: For each size that a bin could take in place of its piece, (bin, piece); stale entries are checked when met.
-    swaps: list[list[tuple[int, int]]] = [[] for _ in range(bins.limit + 1)]
-    pairs: list[list[tuple[int, int, int]]] = [[] for _ in range(bins.limit + 1)]
-
-    def note(b: int) -> None:
-        own, r = bins.items[b], bins.room[b]
-        if not r:
-            return
-        for i in own:
-            swaps[sizes[i] + r].append((b, i))
-        if 2 <= len(own) <= 8:  # a pair of this bin's pieces can make way for one piece of another bin
-            for x in range(len(own)):
-                for y in range(x):
-                    if (s := sizes[own[x]] + sizes[own[y]] + r) <= bins.limit:
-                        pairs[s].append((b, own[x], own[y]))
 
+def improve(items: list[list[int]], room: list[int], sizes: list[int], limit: int, rigid_first: bool = False) -> int:
+    """One round of local search over the underfull bins, from the fullest on, or from those of fewest pieces on; returns its steps.
+
+    A bin takes a piece of another bin not yet treated and gives nothing, one or two smaller pieces in return: the choice that leaves
+    it with least room, over all pieces of all those bins. A step of d tokens from a bin with room ra to one with room rb raises the
+    sum of squared fills if d + ra > rb, and only such steps are made. A bin is treated until it is full or no step is left. Emptied
+    bins are gone; the round ends when no fewer bins are possible.
+    """
+    under = sorted((b for b in range(len(items)) if items[b] and room[b]), key=lambda b: (room[b], b))
+    stock = Stock(limit, sizes)
     for b in under:
-        note(b)
-    for a in under:
-        for i in sorted(bins.items[a], key=lambda i: -sizes[i]):
-            size = sizes[i]
-            fill_a = bins.limit - bins.room[a]
-            m = bins.mask >> size
-            moved = False
-            if m:  # move: into the fullest bin with room, if it is fuller than this one then
-                b = bins.best(size)
-                if b != a and bins.limit - bins.room[b] + size > fill_a:
-                    bins.take(a, i, size)
-                    bins.put(b, i, size)
-                    note(b)
-                    steps, moved = steps + 1, True
-            if moved:
-                continue
-            # one for one, then one for two: the other bin is full afterwards or as near as any can be
-            for v in range(size, min(bins.limit, size + 8) + 1):
-                hit = None
-                while swaps[v]:
-                    b, j = swaps[v][-1]
-                    if b != a and j in bins.items[b] and bins.room[b] and sizes[j] + bins.room[b] == v and sizes[j] < size and bins.limit - (v - size) > fill_a:
-                        hit = (b, (j,))
-                        break
-                    swaps[v].pop()
-                if hit is None:
-                    while pairs[v]:
-                        b, j, k = pairs[v][-1]
-                        if b != a and j in bins.items[b] and k in bins.items[b] and sizes[j] + sizes[k] + bins.room[b] == v and sizes[j] + sizes[k] < size and bins.limit - (v - size) > fill_a:
-                            hit = (b, (j, k))
+        for i in items[b]:
+            stock.add(i, b)
+    free, steps = sum(room[b] for b in under), 0
+    if rigid_first:  # bins of few large pieces fit few others; those of many small ones can wait
+        under.sort(key=lambda b: len(items[b]))
+    for b in under:
+        if free < limit:
+            break
+        if not items[b]:
+            continue
+        stock.closed.add(b)
+        while room[b]:
+            r = room[b]
+            best = size = stock.most(r)
+            back: tuple = ()
+            own: dict[int, int] = {sizes[j]: j for j in items[b]}
+            if best < r:
+                for g in sorted(own, reverse=True):
+                    s = stock.most(g + r)
+                    if s - g > best:
+                        best, size, back = s - g, s, (own[g],)
+                        if best == r:
                             break
-                        pairs[v].pop()
-                if hit:
-                    b, back = hit
-                    bins.take(a, i, size)
-                    for j in back:
-                        bins.take(b, j, sizes[j])
-                    bins.put(b, i, size)
-                    for j in back:
-                        bins.put(a, j, sizes[j])
-                    note(b)
-                    steps += 1
+            if best < r:
+                best, size, back = _two_for_one(items[b], sizes, own, r, limit, stock, best, size, back)
+            if best < r and (s := stock.most(r)):  # nothing fills the bin: the largest piece that fits, and on from there
+                best, size, back = s, s, ()
+            if not best or best + room[stock.bin_of[stock.lists[size][-1]]] <= r:
+                break
+            i = stock.take(size)
+            a = stock.bin_of[i]
+            items[a].remove(i)
+            items[b].append(i)
+            stock.bin_of[i] = b
+            for j in back:
+                items[b].remove(j)
+                items[a].append(j)
+                stock.add(j, a)
+            room[a] += best
+            room[b] -= best
+            steps += 1
+            if not items[a]:
+                stock.closed.add(a)
+                room[a] = 0
+                free -= limit
+                if free < limit:
                     break
     return steps
 
 
+def _two_for_one(own: list[int], sizes: list[int], by_size: dict[int, int], r: int, limit: int, stock: Stock, best: int, size: int, back: tuple) -> tuple:
+    """The best exchange of two pieces of a bin for one of another, if better than ``best``; pairs of equal total are tried once."""
+    tried: set[int] = set()
+    n = {}
+    for j in own:
+        n[sizes[j]] = n.get(sizes[j], 0) + 1
+    values = sorted(by_size)
+    for x, p in enumerate(values):
+        for q in values[x if n[p] > 1 else x + 1 :]:
+            g = p + q
+            if g >= limit or g in tried:
+                continue
+            tried.add(g)
+            s = stock.most(min(limit, g + r))
+            if s - g > best:
+                j = by_size[p]
+                k = by_size[q] if q != p else next(i for i in own if sizes[i] == p and i != j)
+                best, size, back = s - g, s, (j, k)
+                if best == r:
+                    return best, size, back
+    return best, size, back
+
+
+def shift(items: list[list[int]], room: list[int], sizes: list[int], limit: int) -> int:
+    """Free room changes places at an equal sum of squared fills; returns how often.
+
+    A bin is filled from a full one of more pieces, by a move or a one-for-one exchange, and that one has the room then: with more
+    pieces it finds steps where the other had none. As room only goes to bins of more pieces, this ends.
+    """
+    full = sorted((b for b in range(len(items)) if items[b] and not room[b]), key=lambda b: len(items[b]))
+    stock = Stock(limit, sizes)
+    for b in full:
+        for i in items[b]:
+            stock.add(i, b)
+    steps = 0
+    for b in sorted((b for b in range(len(items)) if items[b] and room[b]), key=lambda b: (len(items[b]), b)):
+        r = room[b]
+        for g, j in [(0, -1), *sorted({sizes[j]: j for j in items[b]}.items())]:
+            if g + r > limit or stock.most(g + r) != g + r:
+                continue
+            i = stock.lists[g + r][-1]
+            c = stock.bin_of[i]
+            if len(items[c]) - (g == 0) <= len(items[b]):
+                continue
+            items[c].remove(i)
+            items[b].append(i)
+            if g:
+                items[b].remove(j)
+                items[c].append(j)
+            room[b], room[c] = 0, r
+            stock.closed.add(c)
+            steps += 1
+            break
+    return steps
+
+
+def local_search(items: list[list[int]], room: list[int], sizes: list[int], limit: int, least: int) -> int:
+    """Rounds until no fewer than ``least`` bins are left to empty, or neither a step nor a shift is; returns the steps."""
+    steps = 0
+    while sum(1 for x in items if x) > least:
+        made = improve(items, room, sizes, limit, True) + improve(items, room, sizes, limit)
+        steps += made
+        if not made and not shift(items, room, sizes, limit):
+            break
+    return steps
+
+
+def pack(sizes: list[int], limit: int, search: bool = True) -> list[list[int]]:
+    """Positions of ``sizes`` in bins of ``limit``: best fit in the given order, then local search. Where that ends with more bins
+    than the least possible, it starts again from best fit in decreasing order, and the better end counts. No bin is left empty."""
+    least = -(-sum(sizes) // limit)
+    best: list[list[int]] | None = None
+    for order in (range(len(sizes)), sorted(range(len(sizes)), key=lambda i: -sizes[i])):
+        bins = BestFit(limit)
+        for i in order:
+            bins.put(i, sizes[i])
+        if search:
+            local_search(bins.items, bins.room, sizes, limit, least)
+        found = [x for x in bins.items if x]
+        if best is None or len(found) < len(best):
+            best = found
+        if not search or len(best) == least:
+            break
+    return best
+
+
 def pack_pieces(rows: DataFrame, limit: int = 2048, shard_rows: int = SHARD_ROWS, length_col: str = "length") -> DataFrame:
-    """Adds sequence_id and offset to rows with a length of 1 to ``limit``. Pieces of full length stand alone."""
-    n = rows.count()
-    shards = max(1, -(-n // shard_rows))
-    cols = rows.columns
-    # the deal depends on the rows' values only, so a lost task packs the same rows again
-    shard = F.pmod(F.xxhash64(*[F.col(f"`{c}`") for c in cols]), F.lit(shards)).cast("int")
+    """Adds sequence_id and offset to rows with a length of 1 to ``limit``. Pieces of full length stand alone.
+
+    ``rows`` are written once: no text is tokenized twice, and a row's place in the files, by which it is dealt, stays the same when
+    a lost task is run again.
+    """
+    rows = common.table(rows)
+    shards = max(1, -(-rows.count() // shard_rows))
+    shard = F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(shards)).cast("int")
     schema = rows.withColumns({"sequence_id": F.lit(0).cast("long"), "offset": F.lit(0).cast("long")}).schema
 
     def run(key: tuple[int], pdf: pd.DataFrame) -> pd.DataFrame:
@@ -293,5 +376,5 @@ def pack_pieces(rows: DataFrame, limit: int = 2048, shard_rows: int = SHARD_ROWS
 
 
 def pack_documents(docs: DataFrame, path: str, limit: int = 2048, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Documents to placed pieces. The pieces, a few dozen bytes each, are written once so that no text is tokenized twice."""
-    return pack_pieces(common.table(pieces(docs, path, limit, 0, id_col, text_col)), limit)
+    """Documents to placed pieces."""
+    return pack_pieces(pieces(docs, path, limit, 0, id_col, text_col), limit)

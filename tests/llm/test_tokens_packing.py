@@ -91,26 +91,70 @@ def test_local_search_empties_bins():
                 x = min(left, rng.randrange(15, 60))
                 sizes.append(x)
                 left -= x
-        plain, searched = packing.pack(sizes, limit, 0), packing.pack(sizes, limit)
+        rng.shuffle(sizes)
+        plain, searched = packing.pack(sizes, limit, False), packing.pack(sizes, limit)
         assert valid(plain, sizes, limit) and valid(searched, sizes, limit)
         assert 12 <= len(searched) <= len(plain)
         better += len(searched) < len(plain)
-    assert better
+    assert better > 10
+
+
+def first_bins(sizes, limit):
+    bins = packing.BestFit(limit)
+    for i, s in enumerate(sizes):
+        bins.put(i, s)
+    return bins
 
 
 def test_each_step_raises_the_squared_fill():
     rng = random.Random(1)
     sizes = [rng.randrange(20, 70) for _ in range(200)]
-    bins = packing.Bins(100)
-    for i, s in enumerate(sizes):
-        b = bins.best(s)
-        bins.put(bins.open() if b < 0 else b, i, s)
-    fill = lambda: sum((100 - r) ** 2 for r in bins.room)
-    before = fill()
-    while (steps := packing.improve(bins, sizes)):
+    bins = first_bins(sizes, 100)
+    fill = lambda: sum(sum(sizes[i] for i in b) ** 2 for b in bins.items)
+    before, total = fill(), 0
+    while (steps := packing.improve(bins.items, bins.room, sizes, 100, total % 2 == 1)):
         assert fill() > before
-        before = fill()
-    assert steps == 0
+        before, total = fill(), total + steps
+    assert total
+    while packing.shift(bins.items, bins.room, sizes, 100):
+        assert fill() == before
+    assert valid([b for b in bins.items if b], sizes, 100)
+
+
+def test_two_for_one():
+    """Only both pieces of the fuller bin for the larger piece of the other fill it."""
+    sizes = [41, 43, 97]
+    stock = packing.Stock(100, sizes)
+    stock.add(2, 1)
+    assert packing._two_for_one([0, 1], sizes, {41: 0, 43: 1}, 16, 100, stock, 0, 0, ()) == (13, 97, (0, 1))
+
+
+def test_search_reaches_the_bound_on_documents(spark):
+    """Lengths as those of the documents, in order of arrival: best fit alone uses more bins, and the search makes steps."""
+    rows = packing.pieces(spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text"), PATH).select("length").collect()
+    sizes = [r[0] for r in rows if r[0] < 2048]
+    least = -(-sum(sizes) // 2048)
+    bins = first_bins(sizes, 2048)
+    assert len(bins.items) > least
+    assert packing.local_search(bins.items, bins.room, sizes, 2048, least) > 100
+    assert sum(1 for b in bins.items if b) == least
+
+
+def test_registered_query(spark):
+    from parcelyard.llm import queries
+
+    rows = queries.QUERIES["op3_best_fit_packing"](spark, "/root/testdata/sf0.001").collect()
+    texts = {r["doc_id"]: r["text"] for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").collect()}
+    ids = {d: [*x, 0] for d, x in zip(texts, library(list(texts.values())), strict=True)}
+    assert {d: sum(r["length"] for r in rows if r["doc_id"] == d) for d in ids} == {d: len(x) for d, x in ids.items()}
+    assert len({r["sequence_id"] for r in rows}) == -(-sum(map(len, ids.values())) // 2048)
+    counts = {r["doc_id"]: r["n_tokens"] for r in queries.QUERIES["op9_token_counts"](spark, "/root/testdata/sf0.001").collect()}
+    assert counts == {d: len(x) - 1 for d, x in ids.items()}
+
+
+def test_marks_around_letters():
+    texts = ["(abc) «abc» abc. abc.. ...abc!? it's. o'clock, é, (É). ÷x x÷. a_b _a_ a-b a1. 1a. ß. ÿ.) ab\u0301. \ufb1d. İ."] * 2
+    assert [list(np.frombuffer(x, "<u4")) for x in packing.encode_batch(PATH, texts)] == library(texts)
 
 
 def test_large_pieces_and_small_shards(spark):
