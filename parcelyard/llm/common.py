@@ -37,18 +37,23 @@ def shared_dir(spark: SparkSession) -> str:
     return f"{base.rstrip('/')}/parcelyard-{uuid.uuid4().hex}"
 
 
-def table(df: DataFrame) -> DataFrame:
-    """Write ``df`` to a new Parquet table in the shared folder and read it back: cuts lineage, survives lost executors."""
+def write(df: DataFrame, path: str, mode: str = "error") -> None:
+    """Write ``df`` as Parquet; what the write shuffled is of no use afterwards and goes at once."""
     spark = df.sparkSession
-    path = shared_dir(spark)
-    # what the write shuffled is of no use afterwards
     key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
     before = spark.conf.get(key, "false")
     spark.conf.set(key, "true")
     try:
-        df.write.parquet(path)
+        df.write.mode(mode).parquet(path)
     finally:
         spark.conf.set(key, before)
+
+
+def table(df: DataFrame) -> DataFrame:
+    """Write ``df`` to a new Parquet table in the shared folder and read it back: cuts lineage, survives lost executors."""
+    spark = df.sparkSession
+    path = shared_dir(spark)
+    write(df, path)
     return spark.read.schema(df.schema).parquet(path)
 
 

@@ -1,15 +1,18 @@
 """Secret scans with an incremental blob ledger, in DataFrame operations only.
 
 Every version of every path is addressed by the SHA-256 of its text. The ledger
-has a row per scanned blob: the rule versions applied to it and what they found.
-A run scans only those (blob, rule version) pairs that the ledger lacks, once
-per blob however many paths share it, appends to the ledger, and joins the
-findings back to all paths.
+has a row per blob and scan: the rule versions applied and what each found. A run
+first compares addresses alone with the ledger, then moves and scans only texts
+with (blob, rule version) pairs that the ledger lacks, once per blob however many
+paths share it, appends to the ledger, and joins the findings of the run's rule
+versions back to all paths. Findings of other versions stay in the ledger and are
+not returned.
 
 Null texts count as empty. Repeated rows and equal texts share one blob and each
 row gets its findings. Empty tables give empty results. Matches are leftmost and
 non-overlapping per rule; a match that fails its rule's length test is dropped
-but still uses up its text.
+but still uses up its text. Spans that start at one place are in the order of the
+rules. Other columns may have any names.
 """
 
 from __future__ import annotations
@@ -56,7 +59,10 @@ RULES = (
 )
 BASE_KINDS = ("assign", "access", "hex")
 
-_SPAN = "struct<start:int,rank:int,kind:string,end:int>"
+#: Unseen blobs up to which their addresses are broadcast, so that texts of seen ones do not move; about 100 bytes each.
+BROADCAST_BLOBS = 100_000
+
+_SPAN = "struct<start:int,rank:int,kind:string,version:int,end:int>"
 LEDGER = f"blob string, rules array<string>, spans array<{_SPAN}>"
 
 
@@ -84,7 +90,7 @@ def _spans(text: Column, matches: Column, rule: Rule, rank: int) -> Column:
     def step(acc: Column, x: Column) -> Column:
         at = acc["pos"] + F.length(x["gap"])
         end = at + F.length(x["hit"])
-        own = F.array(F.struct(at.alias("start"), F.lit(rank).alias("rank"), F.lit(rule.kind).alias("kind"), end.alias("end")))
+        own = F.array(F.struct(at.alias("start"), F.lit(rank).alias("rank"), F.lit(rule.kind).alias("kind"), F.lit(rule.version).alias("version"), end.alias("end")))
         value = F.regexp_extract(x["hit"], rule.pattern, rule.group) if rule.group else x["hit"]
         return F.struct(end.alias("pos"), F.when(F.length(value) >= rule.least, F.concat(acc["out"], own)).otherwise(acc["out"]).alias("out"))
 
@@ -104,42 +110,70 @@ def ledger_at(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(LEDGER).parquet(path)
 
 
+def unseen(versions: DataFrame, ledger: DataFrame, rules: tuple[Rule, ...]) -> DataFrame:
+    """(blob, todo): rule versions that the ledger lacks, for the addresses among ``versions`` (blob, ...); no text is read or moved."""
+    names = F.array(*[F.lit(r.name) for r in rules])
+    none = F.array().cast("array<string>")
+    seen = ledger.groupBy("blob").agg(F.flatten(F.collect_set("rules")).alias("seen"))
+    blobs = versions.select("blob").distinct().join(seen, "blob", "left")
+    return blobs.select("blob", F.array_except(names, F.coalesce("seen", none)).alias("todo")).filter(F.size("todo") > 0)
+
+
 def update_ledger(versions: DataFrame, ledger: DataFrame | None, path: str, rules: tuple[Rule, ...] = RULES) -> DataFrame:
     """Scan what is unseen among ``versions`` (blob, text), append it at ``path``, and return the whole ledger."""
     spark = versions.sparkSession
-    # equal texts meet by their address; each task hands on one copy of each
-    blobs = versions.groupBy("blob").agg(F.first("text").alias("text"))
-    names = F.array(*[F.lit(r.name) for r in rules])
     if ledger is None:
-        todo = blobs.withColumn("todo", names)
+        names = F.array(*[F.lit(r.name) for r in rules])
+        # equal texts meet by their address; each task hands on one copy of each
+        todo = versions.groupBy("blob").agg(F.first("text").alias("text")).withColumn("todo", names)
     else:
-        seen = ledger.groupBy("blob").agg(F.flatten(F.collect_set("rules")).alias("seen"))
-        todo = blobs.join(seen, "blob", "left").withColumn("todo", F.array_except(names, F.coalesce("seen", F.array().cast("array<string>")))).filter(F.size("todo") > 0)
-    scan_blobs(todo, rules).write.mode("append").parquet(path)
+        lacking = common.table(unseen(versions, ledger, rules))
+        if lacking.count() <= BROADCAST_BLOBS:
+            lacking = F.broadcast(lacking)
+        todo = versions.join(lacking, "blob").groupBy("blob").agg(F.first("text").alias("text"), F.first("todo").alias("todo"))
+    common.write(scan_blobs(todo, rules), path, "append")
     return ledger_at(spark, path) if ledger is None else ledger.unionByName(ledger_at(spark, path))
 
 
+def findings(book: DataFrame, rules: tuple[Rule, ...], several: bool) -> DataFrame:
+    """(hit: blob, found) for blobs with spans by these rule versions, spans in order of start, then rule. ``several``: a blob may
+    have a row for each run that scanned it."""
+    hits = book.filter(F.size("spans") > 0)
+    if several:
+        hits = hits.groupBy("blob").agg(F.flatten(F.collect_list("spans")).alias("spans"))
+    names = F.array(*[F.lit(r.name) for r in rules])
+    rank = lambda s: F.array_position(names, F.concat_ws("@", s["kind"], s["version"].cast("string"))).cast("int")
+    found = F.transform("spans", lambda s: F.struct(s["start"].alias("start"), (rank(s) - 1).alias("rank"), s["kind"].alias("kind"), s["version"].alias("version"), s["end"].alias("end")))
+    found = F.array_sort(F.array_distinct(F.filter(found, lambda s: s["rank"] >= 0)))
+    return hits.select(F.col("blob").alias("hit"), found.alias("found")).filter(F.size("found") > 0)
+
+
 def scan_rows(docs: DataFrame, ledger: DataFrame | None = None, path: str | None = None, rules: tuple[Rule, ...] = RULES, text_col: str = "text", keep: list[str] | None = None) -> DataFrame:
-    """``docs`` (or the columns in ``keep``) with _blob and _spans, spans in order of start, then rule. ``path`` is where new ledger rows go."""
+    """(doc, blob, spans) of every row; ``doc`` holds the columns in ``keep`` (all, if None), so that their names cannot clash.
+    ``path`` is where new ledger rows go."""
     spark = docs.sparkSession
-    keep = docs.columns if keep is None else keep
-    address = F.sha2(F.coalesce(F.col(f"`{text_col}`"), F.lit("")), 256).alias("_blob")
-    versions = docs.select(address.alias("blob"), F.coalesce(F.col(f"`{text_col}`"), F.lit("")).alias("text"))
-    book = update_ledger(versions, ledger, path or common.shared_dir(spark), rules)
-    wanted = [r.kind for r in rules]
-    hits = book.filter(F.size("spans") > 0)
-    if ledger is not None:  # a blob may have a row for each run that scanned it
-        hits = hits.groupBy("blob").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("spans")))).alias("spans"))
-    hits = hits.select(F.col("blob").alias("_hit"), F.filter("spans", lambda s: s["kind"].isin(wanted)).alias("_found"))
-    rows = docs.select(*[F.col(f"`{c}`") for c in keep], address)
-    out = rows.join(hits, rows["_blob"] == hits["_hit"], "left")
-    return out.select(*[rows[f"`{c}`"] for c in keep], "_blob", F.coalesce("_found", F.array().cast(f"array<{_SPAN}>")).alias("_spans"))
+    text = F.coalesce(F.col(f"`{text_col}`"), F.lit(""))
+    doc = F.struct(*[F.col(f"`{c}`") for c in (docs.columns if keep is None else keep)])
+    book = update_ledger(docs.select(F.sha2(text, 256).alias("blob"), text.alias("text")), ledger, path or common.shared_dir(spark), rules)
+    rows = docs.select(doc.alias("doc"), F.sha2(text, 256).alias("blob"))
+    hits = findings(book, rules, ledger is not None)
+    out = rows.join(hits, F.col("blob") == F.col("hit"), "left")
+    return out.select("doc", "blob", F.coalesce("found", F.array().cast(f"array<{_SPAN}>")).alias("spans"))
 
 
 def scan(docs: DataFrame, ledger: DataFrame | None = None, path: str | None = None, rules: tuple[Rule, ...] = RULES, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Findings of every row: (id, blob, spans)."""
     found = scan_rows(docs, ledger, path, rules, text_col, [id_col])
-    return found.select(id_col, F.col("_blob").alias("blob"), F.col("_spans").alias("spans"))
+    return found.select(F.col("doc").getField(id_col).alias(id_col), "blob", "spans")
+
+
+def scan_in_runs(docs: DataFrame, runs: list[tuple[Rule, ...]], id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``scan`` by a ledger that grows over several runs, each with its rule versions; the last run's findings."""
+    spark, book = docs.sparkSession, None
+    text = F.coalesce(F.col(f"`{text_col}`"), F.lit(""))
+    for rules in runs[:-1]:
+        book = update_ledger(docs.select(F.sha2(text, 256).alias("blob"), text.alias("text")), book, common.shared_dir(spark), rules)
+    return scan(docs, book, common.shared_dir(spark), runs[-1], id_col, text_col)
 
 
 def _line(spans: Column) -> Column:
@@ -154,7 +188,7 @@ def digest(found: DataFrame, id_col: str = "doc_id") -> DataFrame:
 
 def redact(docs: DataFrame, mark: str = "[secret]", rules: tuple[Rule, ...] = RULES, text_col: str = "text") -> DataFrame:
     """``docs`` with every found span of the text replaced by ``mark``; overlapping spans count as one. All rows and columns stay."""
-    found = scan_rows(common.fold(docs, text_col), None, None, rules)
+    found = scan_rows(common.fold(docs, text_col), None, None, rules).select("doc.doc", "doc.text", "spans")
     start = F.struct(F.lit(0).alias("pos"), F.lit("").alias("out"))
     text = F.col("text")
 
@@ -162,5 +196,5 @@ def redact(docs: DataFrame, mark: str = "[secret]", rules: tuple[Rule, ...] = RU
         between = text.substr(acc["pos"] + 1, s["start"] - acc["pos"])
         return F.struct(F.greatest(acc["pos"], s["end"]).alias("pos"), F.when(s["start"] >= acc["pos"], F.concat(acc["out"], between, F.lit(mark))).otherwise(acc["out"]).alias("out"))
 
-    clean = F.aggregate("_spans", start, step, lambda acc: F.concat(acc["out"], text.substr(acc["pos"] + 1, F.length(text))))
-    return common.unfold(found.withColumn("text", F.when(F.size("_spans") > 0, clean).otherwise(text)), docs, text_col)
+    clean = F.aggregate("spans", start, step, lambda acc: F.concat(acc["out"], text.substr(acc["pos"] + 1, F.length(text))))
+    return common.unfold(found.withColumn("text", F.when(F.size("spans") > 0, clean).otherwise(text)), docs, text_col)

@@ -53,6 +53,37 @@ def test_ledger_scans_only_what_is_new(spark):
     assert [s["kind"] for s in rows[3]["spans"]] == ["assign"] and [s["kind"] for s in rows[4]["spans"]] == ["assign", "hex"]
 
 
+def test_other_versions_findings_stay_in_the_ledger(spark):
+    """A new version of a rule finds anew; what the old version found is neither returned nor lost."""
+    from dataclasses import replace
+
+    docs = spark.createDataFrame([(1, "AKIA" + "Q" * 16 + " AKIB" + "R" * 16), (2, "none"), (3, None)], "doc_id long, text string")
+    old = (S.RULES[1],)
+    new = (replace(S.RULES[1], version=2, pattern="AKIB[A-Z0-9]+", hints=("AKIB",)),)
+    path = common.shared_dir(spark)
+    S.scan(docs, None, path, old).collect()
+    book = S.ledger_at(spark, path)
+    spans = lambda rules, ledger: [[(s["kind"], s["version"], s["start"]) for s in r["spans"]] for r in S.scan(docs, ledger, common.shared_dir(spark), rules).orderBy("doc_id").collect()]
+    assert spans(new, book) == [[("access", 2, 21)], [], []]
+    both = book.unionByName(S.scan_blobs(docs.selectExpr("sha2(coalesce(text, ''), 256) as blob", "coalesce(text, '') as text", "array('access@2') as todo"), new))
+    assert spans(old, both) == [[("access", 1, 0)], [], []] and spans((*new, *old), both) == [[("access", 1, 0), ("access", 2, 21)], [], []]
+
+
+def test_seen_texts_do_not_move(spark):
+    """With a ledger, what is left to scan comes from addresses alone, and nothing is left of what was scanned."""
+    docs = spark.createDataFrame([(i, f"text {i} password = hunter{i}") for i in range(50)], "doc_id long, text string")
+    path = common.shared_dir(spark)
+    first = S.digest(S.scan(docs.filter("doc_id < 40"), None, path)).collect()
+    book = S.ledger_at(spark, path)
+    more = common.shared_dir(spark)
+    rows = S.digest(S.scan(docs, book, more)).collect()
+    assert S.ledger_at(spark, more).count() == 10 and len(rows) == 50
+    assert sorted(map(tuple, first)) == sorted(tuple(r) for r in rows if r["doc_id"] < 40)
+    versions = docs.selectExpr("sha2(text, 256) as blob", "text")
+    assert S.unseen(versions, book.unionByName(S.ledger_at(spark, more)), S.RULES).count() == 0
+    assert sorted(map(tuple, S.digest(S.scan_in_runs(docs, [S.RULES[:3], S.RULES])).collect())) == sorted(map(tuple, rows))
+
+
 def test_secret_edges(tricky, nothing):
     assert S.scan(tricky).count() == 11 and S.scan(nothing).collect() == []
     kept = S.redact(tricky)
