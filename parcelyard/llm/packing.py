@@ -17,6 +17,7 @@ whatever their names. An empty table packs into nothing.
 
 from __future__ import annotations
 
+import re
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
@@ -32,6 +33,9 @@ from tokenizers import Tokenizer
 from . import common
 from .token_counts import split_words
 
+#: Words of unaccented or Latin-1 letters between runs of ASCII marks other than the apostrophe: a run is one pre-token, so is each side of it.
+MARKED = re.compile(rb"([!-&(-/:-@[-`{-~]*)((?:[A-Za-z]|\xc3[\x80-\x96\x98-\xb6\xb8-\xbf])+)([!-&(-/:-@[-`{-~]*)")
+
 #: Words kept in a worker's cache; a full cache is emptied, results do not depend on it.
 CACHE_WORDS = 1_000_000
 #: Words that an idle worker keeps: the first ones met, which are the frequent ones.
@@ -91,10 +95,11 @@ def encode_batch(path: str, texts: list[str | None]) -> list[bytes]:
         if len(cache) + len(new) > CACHE_WORDS:
             cache.clear()
             new = set(chain.from_iterable(lists))
-        # a full stop or comma after an ASCII letter or digit is a pre-token of its own
-        marked = {w for w in new if w[-1:] in (b".", b",") and w[-2:-1].isalnum()}
-        cache.update(encode_words(path, list(((new - marked) | {w[:-1] for w in marked} | {b".", b","}).difference(cache))))
-        cache.update([(w, cache[w[:-1]] + cache[w[-1:]]) for w in marked])
+        # marks around letters are pre-tokens of their own: each mark and each row of letters is encoded once
+        parted = {w: m.groups() for w in new if (m := MARKED.fullmatch(w)) and len(m[2]) < len(w) and b"<|" not in w}
+        cache.update(encode_words(path, list(new.difference(parted).union(*parted.values()).difference(cache, (b"",)))))
+        cache[b""] = b""
+        cache.update([(w, cache[x] + cache[y] + cache[z]) for w, (x, y, z) in parted.items()])
     get = cache.__getitem__
     return [b"".join(map(get, x)) for x in lists]
 
