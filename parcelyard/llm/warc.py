@@ -5,25 +5,33 @@ text writer ends every row with a newline, so the stream is cut into rows at the
 newline bytes that it holds anyway; the file is the stream and one newline after
 the last member. It goes through Spark's commit protocol to any store.
 
-Reading: every task gets byte ranges. It scans a range for the gzip magic,
-validates each candidate by decoding the start of its header, and owns exactly
-the records that start inside its range, reading on past the end for the last.
+Reading: Spark's text source deals byte ranges of the files to tasks, on any store
+that Spark reads, as the lines that start in a range. A task scans its range for
+the gzip magic, validates each candidate by decoding the start of its header, and
+owns the records that start inside. What precedes the first record of a range
+belongs to a record of an earlier range: that range's unfinished end and the next
+ranges' beginnings, a record's length each, are the only bytes that are shuffled.
+Files whose names end in z, which Spark would unpack as a whole, are read whole,
+2 GB at most each.
 
 Null html counts as an empty payload and a null url is left out. Of equal payloads
 of at least ``least`` bytes, rows with the smallest page id are responses (all of
 them, if repeated) and others revisit it; rows without an id take part as revisits.
+Other columns are not archived. An empty table gives no records.
 """
 
 from __future__ import annotations
 
 import hashlib
+import io
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from itertools import groupby
 from typing import BinaryIO
-from urllib.parse import quote, unquote, urlparse
+from urllib.parse import quote, unquote
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window as Over
 from pyspark.sql import functions as F
 
 from . import common
@@ -31,8 +39,6 @@ from . import common
 MAGIC = b"\x1f\x8b\x08"
 VERSION = b"WARC/1.1\r\n"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
-#: Bytes of archive in a reader's range.
-SPLIT_BYTES = 8 << 20
 BLOCK = 1 << 18
 RECORD = "page_id long, url string, payload binary, payload_bytes long, payload_digest string, record_type string, refers_to long"
 
@@ -146,49 +152,127 @@ def parse(raw: bytes) -> tuple:
     return number("warc-record-id"), None if url is None else unquote(url), payload if kind == "response" else None, size, digest, kind, number("warc-refers-to")
 
 
-def read_archives(spark: SparkSession, path: str, split_bytes: int = SPLIT_BYTES, payloads: bool = True) -> DataFrame:
-    """All records under ``path``. On a mounted folder, ranges of a file go to different tasks; a store that only Spark
-    reaches has no ranged reads from Python, so there a task gets a whole file and scans its ranges in turn."""
+def pieces(read: Callable[[], bytes]) -> Iterator[tuple[str, bytes]]:
+    """What a range holds, from ``read`` (its next bytes, none at the end): ("head", the bytes before its first record), ("record",
+    decoded) for each complete one, and ("tail", the bytes of the last) if that goes on. A range without a start is all head."""
+    buf, pos, started = b"", 0, False
+    while True:
+        at = buf.find(MAGIC, pos)
+        if at < 0:
+            pos = max(pos, len(buf) - len(MAGIC) + 1)
+            if started and pos > BLOCK:
+                buf, pos = buf[pos:], 0
+            if not (got := read()):
+                break
+            buf += got
+            continue
+        z, used, out, ok, ended = zlib.decompressobj(31), at, [], False, False
+        try:
+            while not z.eof:
+                if used == len(buf):
+                    if not (got := read()):
+                        ended = True
+                        break
+                    if started:
+                        buf, used, at = buf[at:], used - at, 0
+                    buf += got
+                out.append(z.decompress(buf[used : used + BLOCK]))
+                used = min(len(buf), used + BLOCK)
+                if not ok and len(start := b"".join(out)) >= 5:
+                    if not start.startswith(b"WARC/"):
+                        break
+                    ok = True
+        except zlib.error:
+            if ok:
+                raise ValueError("damaged record") from None
+        if ended and (ok or started):
+            if not started:
+                yield "head", buf[:at]
+            yield "tail", buf[at:]
+            return
+        if ended:  # too little to tell whether a record starts: with the range before, it will show
+            break
+        if ok:
+            if not started:
+                yield "head", buf[:at]
+                started = True
+            yield "record", b"".join(out)
+            pos = used - len(z.unused_data)
+            if pos > 4 * BLOCK:
+                buf, pos = buf[pos:], 0
+        else:
+            pos = at + 1
+    if not started:
+        yield "head", buf
+
+
+def read_archives(spark: SparkSession, path: str, payloads: bool = True) -> DataFrame:
+    """All records under ``path``. Ranges are as large as spark.sql.files.maxPartitionBytes says."""
     schema = RECORD if payloads else RECORD.replace("payload binary, ", "")
+    kinds = {"long": pa.int64(), "string": pa.string(), "binary": pa.binary(), "boolean": pa.bool_()}
     names = [x.split()[0] for x in schema.split(", ")]
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
-    mounted = urlparse(path).scheme in ("", "file")
-    ranges = F.expr(f"sequence(0L, length - 1, {split_bytes}L)")
-    files = files.filter("length > 0")
-    if mounted:
-        work = files.select("path", F.explode(ranges).alias("start"))
-        work = work.repartition(max(1, common.partitions(spark)), "path", "start")
-    else:
-        work = files.select("path", "content")
+    types = [kinds[x.split()[1]] for x in schema.split(", ")]
+    fragment = "file long, block long, starts boolean, head binary, tail binary"
+    more = [x.split()[0] for x in fragment.split(", ")]
+    more_types = [kinds[x.split()[1]] for x in fragment.split(", ")]
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import io
+    def emit(rows: list[tuple], fragments: list[tuple] | None) -> pa.RecordBatch:
+        if not payloads:
+            rows = [(*r[:2], *r[3:]) for r in rows]
+        cols = list(zip(*[*rows, *[(None,) * len(names) for _ in fragments or ()]], strict=True)) or [()] * len(names)
+        if fragments is None:
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types, strict=True)], names)
+        ends = list(zip(*[*[(None,) * len(more) for _ in rows], *fragments], strict=True)) or [()] * len(more)
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip([*cols, *ends], [*types, *more_types], strict=True)], [*names, *more])
+
+    def segments(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[tuple[int, int], bytes]]:
+        for batch in batches:
+            lines = batch.column(0).to_pylist()
+            keys = zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True)
+            for key, own in groupby(zip(keys, lines, strict=True), key=lambda x: x[0]):
+                yield key, b"\n".join([line for _, line in own]) + b"\n"
 
-        def emit(rows: list[tuple]) -> pa.RecordBatch:
-            cols = list(zip(*rows, strict=True))
-            if not payloads:
-                cols.pop(2)
-            kinds = {"page_id": pa.int64(), "payload": pa.binary(), "payload_bytes": pa.int64(), "refers_to": pa.int64()}
-            return pa.RecordBatch.from_arrays([pa.array(c, kinds.get(n, pa.string())) for c, n in zip(cols, names, strict=True)], names)
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for (file, block), own in groupby(segments(batches), key=lambda x: x[0]):
+            rows, held, head, tail, starts = [], 0, b"", b"", False
+            for kind, data in pieces(lambda: next(own, (None, b""))[1]):  # noqa: B023
+                if kind == "head":
+                    head = data
+                elif kind == "tail":
+                    tail, starts = data, True
+                else:
+                    starts = True
+                    rows.append(parse(data))
+                    held += len(data)
+                    if held > 4 << 20 or len(rows) >= 2000:
+                        yield emit(rows, [])
+                        rows, held = [], 0
+            yield emit(rows, [(file, block, starts, head, tail)])
 
+    def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for k in range(batch.num_rows):
-                if mounted:
-                    name, start = batch.column(0)[k].as_py(), batch.column(1)[k].as_py()
-                    f, spans = open(unquote(urlparse(name).path), "rb"), [start]  # noqa: SIM115
-                else:
-                    content = batch.column(1)[k].as_py()
-                    f, spans = io.BytesIO(content), range(0, len(content), split_bytes)
-                with f:
-                    rows, held = [], 0
-                    for start in spans:
-                        for _, raw in records(f, start, start + split_bytes):
-                            rows.append(parse(raw))
-                            held += len(raw)
-                            if held > 4 << 20 or len(rows) >= 2000:
-                                yield emit(rows)
-                                rows, held = [], 0
-                    if rows:
-                        yield emit(rows)
-
-    return work.mapInArrow(common.tidy(run), schema)
+                data = batch.column(0)[k].as_py()
+                rows, held = [], 0
+                for _, raw in records(io.BytesIO(data), 0, len(data)):
+                    rows.append(parse(raw))
+                    held += len(raw)
+                    if held > 4 << 20 or len(rows) >= 2000:
+                        yield emit(rows, None)
+                        rows, held = [], 0
+                if rows:
+                    yield emit(rows, None)
+
+    files = spark.read.option("recursiveFileLookup", "true")
+    lines = files.option("lineSep", "\n").option("pathGlobFilter", "*[!z]").text(path)
+    lines = lines.select(F.col("value").cast("binary").alias("line"), F.xxhash64("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"))
+    found = common.table(lines.mapInArrow(common.tidy(scan), f"{schema}, {fragment}"))
+    # a record that goes on: the tail of the range that it starts in, and the heads up to the next start
+    ends = found.filter("file is not null").select(*more)
+    order = ends.select("file", "block", "starts").withColumn("own", F.sum(F.col("starts").cast("long")).over(Over.partitionBy("file").orderBy("block")))
+    at = F.explode(F.array(F.struct((F.col("own") - F.col("starts").cast("long")).alias("own"), F.col("head").alias("data")), F.struct(F.col("own").alias("own"), F.col("tail").alias("data"))))
+    parts = ends.join(order.drop("starts"), ["file", "block"]).select("file", "block", at.alias("p")).filter(F.octet_length("p.data") > 0)
+    joined = parts.groupBy("file", "p.own").agg(F.array_sort(F.collect_list(F.struct("block", "p.data"))).alias("all"))
+    joined = joined.select(F.aggregate("all", F.lit(b""), lambda acc, x: F.concat(acc, x["data"])).alias("content"))
+    zipped = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*z").load(path).select("content")
+    return found.filter("file is null").select(*names).unionByName(joined.mapInArrow(common.tidy(whole), schema)).unionByName(zipped.mapInArrow(common.tidy(whole), schema))
