@@ -7,13 +7,16 @@ the ranks of depth 1, 2, 4, ..., which yields all places that share a whole
 window; neighbouring places on one diagonal join into the longest verbatim
 matches. Affected documents can then be removed. Documents are never shuffled.
 
-The test items are read in blocks of a bounded size; each block is broadcast and
-every block is searched in every shard, so their number is not limited.
+The test items are read in blocks of a bounded size, each broadcast by itself. A
+worker holds one block at a time, with the shards of a bounded number of bytes, so
+memory does not depend on the number of items; executors keep the blocks on disk.
 
 Words are maximal runs of letters a-z (A-Z are lowered first), digits and
 non-ASCII characters. An item with fewer words than a window is one window as a
 whole. Null and empty texts have no words and no matches. Items with equal ids
-count once. Rows of documents are kept one to one.
+count once, those without an id are searched as one item. Rows of documents are
+kept one to one, repeated ones too, with all their columns, whatever their names.
+Empty documents give no rows; without items nothing is found.
 """
 
 from __future__ import annotations
@@ -26,11 +29,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
 from . import common
 
 #: Bytes of item texts in a broadcast block.
 BLOCK_BYTES = 16 << 20
+#: Bytes of text whose shards are held while the blocks take turns.
+HELD_BYTES = 8 << 20
 SEPARATOR = np.ones(256, bool)
 SEPARATOR[48:58] = SEPARATOR[65:91] = SEPARATOR[97:123] = False
 SEPARATOR[128:] = False
@@ -169,58 +175,81 @@ def blocks(benchmark: DataFrame, id_col: str, text_col: str, limit: int) -> Iter
         yield ids, texts
 
 
-def find(docs: DataFrame, benchmark: DataFrame, window: int = 8, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """Per document, all its columns and n_words, n_hit, items (ids whose windows occur), matches (item, first word in the
+class Shard:
+    """A slice's suffix array and what was found in it."""
+
+    def __init__(self, part: pa.RecordBatch, window: int):
+        self.part = part
+        code, first = codes(part.column(1))
+        self.sa = SuffixArray(code, first, window)
+        self.n_words = np.diff(first)
+        self.owner = np.repeat(np.arange(part.num_rows), self.n_words + 1)
+        self.flags = np.zeros(self.sa.n, bool)
+        self.items: list[set] = [set() for _ in range(part.num_rows)]
+        self.matches: list[list] = [[] for _ in range(part.num_rows)]
+
+    def search(self, block: Items, window: int) -> None:
+        for found in block.hits(self.sa, window):
+            for i, at, place, size in zip(*(x.tolist() for x in longest(*found)), strict=True):
+                d = int(self.owner[place])
+                self.flags[place : place + size] = True
+                self.items[d].add(block.ids[i])
+                self.matches[d].append({"item": block.ids[i], "doc_word": place - int(self.sa.first[d]), "item_word": at, "words": size})
+
+    def result(self, kind: pa.DataType) -> pa.RecordBatch:
+        n_hit = common.ranges_sum(self.flags, np.append(self.sa.first, self.sa.n))
+        match = pa.struct([("item", kind), ("doc_word", pa.int64()), ("item_word", pa.int64()), ("words", pa.int64())])
+        cols = [pa.array(self.n_words, pa.int64()), pa.array(n_hit, pa.int64()), pa.array([list(x) for x in self.items], pa.list_(kind)), pa.array(self.matches, pa.list_(match))]
+        return pa.RecordBatch.from_arrays([*self.part.columns, *cols], ["doc", "text", "n_words", "n_hit", "items", "matches"])
+
+
+def find(docs: DataFrame, benchmark: DataFrame, window: int = 8, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """Per document: doc (its other columns), text, n_words, n_hit, items (ids whose windows occur), matches (item, first word in the
     document, first word in the item, words: the longest verbatim matches). ``window`` is a power of two."""
     if window & (window - 1):
         raise ValueError("window must be a power of two")
     spark = docs.sparkSession
-    kind = benchmark.schema[item_col].dataType.simpleString()
+    item_type = benchmark.schema[item_col].dataType
+    kind = to_arrow_type(item_type)
     sent = [spark.sparkContext.broadcast(b) for b in blocks(benchmark, item_col, item_text_col, block_bytes)]
-    names = docs.columns
-    added = T.StructType.fromDDL(f"_n_words long, _n_hit long, _items array<{kind}>, _matches array<struct<item:{kind},doc_word:long,item_word:long,words:long>>")
-    schema = T.StructType([*docs.schema.fields, *added.fields])
-    at_text = names.index(text_col)
+    folded = common.fold(docs, text_col)
+    match = T.StructType([T.StructField("item", item_type), *[T.StructField(c, T.LongType()) for c in ("doc_word", "item_word", "words")]])
+    added = [T.StructField("n_words", T.LongType()), T.StructField("n_hit", T.LongType()), T.StructField("items", T.ArrayType(item_type)), T.StructField("matches", T.ArrayType(match))]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ready: list[Items] = []
+        only = Items(*sent[0].value) if len(sent) == 1 else None
+
+        def search(held: list[Shard]) -> Iterator[pa.RecordBatch]:
+            for b in sent:
+                block = only or Items(*b.load_from_path(b._path))  # not b.value, which would stay in memory
+                for shard in held:
+                    shard.search(block, window)
+            for shard in held:
+                yield shard.result(kind)
+
+        held, size = [], 0
         for batch in batches:
-            for part in common.slices(batch, text_col):
-                if not ready and sent:
-                    ready = [Items(*b.value) for b in sent]
-                code, first = codes(part.column(at_text))
-                sa = SuffixArray(code, first, window)
-                n_words = np.diff(first)
-                owner = np.repeat(np.arange(part.num_rows), n_words + 1)
-                flags = np.zeros(sa.n, bool)
-                items: list[set] = [set() for _ in range(part.num_rows)]
-                matches: list[list] = [[] for _ in range(part.num_rows)]
-                for block in ready:
-                    for found in block.hits(sa, window):
-                        for i, at, place, size in zip(*(x.tolist() for x in longest(*found)), strict=True):
-                            d = int(owner[place])
-                            flags[place : place + size] = True
-                            items[d].add(block.ids[i])
-                            matches[d].append({"item": block.ids[i], "doc_word": place - int(sa.first[d]), "item_word": at, "words": size})
-                edges = np.append(sa.first, sa.n)
-                n_hit = common.ranges_sum(flags, edges)
-                cols = [pa.array(n_words, pa.int64()), pa.array(n_hit, pa.int64()), pa.array([list(x) for x in items], pa.list_(benchmark_type)), pa.array(matches, pa.list_(pa.struct([("item", benchmark_type), ("doc_word", pa.int64()), ("item_word", pa.int64()), ("words", pa.int64())])))]
-                yield pa.RecordBatch.from_arrays([*part.columns, *cols], [*names, "_n_words", "_n_hit", "_items", "_matches"])
-
-    benchmark_type = pa.int64() if kind == "bigint" else pa.int32() if kind == "int" else pa.string()
-    return docs.mapInArrow(common.tidy(run), schema)
+            for part in common.slices(batch):
+                held.append(Shard(part, window))
+                size += part.nbytes
+                if only or size >= HELD_BYTES:
+                    yield from search(held)
+                    held, size = [], 0
+        yield from search(held)
+
+    return folded.mapInArrow(common.tidy(run), T.StructType([*folded.schema.fields, *added]))
 
 
 def digest(found: DataFrame, least_items: int = 2, id_col: str = "doc_id") -> DataFrame:
-    named = F.array_sort(F.transform(F.array_distinct("_items"), lambda x: x.cast("string")))
-    n = F.size(F.array_distinct("_items")).cast("long")
-    return found.select(id_col, F.col("_n_words").alias("n_words"), F.col("_n_hit").alias("n_hit"), n.alias("n_items"), F.sha2(F.array_join(F.filter(named, lambda x: x.isNotNull()), ","), 256).alias("items_sha256"), (n >= least_items).alias("contaminated"))
+    named = F.array_sort(F.transform(F.array_distinct("items"), lambda x: x.cast("string")))
+    n = F.size(F.array_distinct("items")).cast("long")
+    return found.select(F.col("doc").getField(id_col).alias(id_col), "n_words", "n_hit", n.alias("n_items"), F.sha2(F.array_join(F.filter(named, lambda x: x.isNotNull()), ","), 256).alias("items_sha256"), (n >= least_items).alias("contaminated"))
 
 
 def remove(docs: DataFrame, benchmark: DataFrame, least_items: int = 1, window: int = 8, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
     """``docs`` without those that hold windows of at least ``least_items`` items."""
-    found = find(common.fold(docs, text_col), benchmark, window, "doc", "text", item_col, item_text_col)
-    return common.unfold(found.filter(F.size("_items") < least_items), docs, text_col)
+    found = find(docs, benchmark, window, text_col, item_col, item_text_col)
+    return common.unfold(found.filter(F.size("items") < least_items), docs, text_col)
 
 
 def items_digest(ids: list) -> str:

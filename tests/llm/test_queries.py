@@ -56,7 +56,7 @@ def test_pipeline_stages(spark):
             assert {r[0] for r in kept.select("doc_id").collect()} == {d for d, c in brute(texts).items() if c == d}
         if name == "benchmark_decontamination":
             found = decontamination.find(before.select("doc_id", "text"), queries.read(spark, SF, "benchmark"))
-            clean = {r[0] for r in found.filter("size(_items) = 0").select("doc_id").collect()}
+            clean = {r[0] for r in found.filter("size(items) = 0").select("doc.doc_id").collect()}
             assert clean == {r[0] for r in kept.select("doc_id").collect()}
         if name == "secret_scans":
             assert secret_ledger.scan(kept).filter("size(spans) > 0").count() == 0

@@ -2,6 +2,7 @@ import glob
 import gzip
 import hashlib
 import io
+import os
 import random
 import re
 
@@ -108,12 +109,65 @@ def pages(spark):
     return rows, spark.createDataFrame(rows, "page_id long, url string, html string").repartition(4)
 
 
+def in_ranges(spark, split, run):
+    """``run`` with byte ranges of about ``split`` bytes."""
+    keys = ("spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes")
+    try:
+        for k in keys:
+            spark.conf.set(k, str(split))
+        return run()
+    finally:
+        for k in keys:
+            spark.conf.unset(k)
+
+
+def test_ranges_of_any_size():
+    rng = random.Random(3)
+    raw, want = b"", []
+    for i in range(40):
+        payload = rng.randbytes(rng.choice([0, 10, 3000]))
+        want.append((i, payload))
+        raw += warc.member(i, None, payload, hashlib.sha256(payload).hexdigest(), None) + rng.choice([b"", b"\x1f\x8b\x08", b"junk\x1f\x8b\x08\x00"])
+    for size in (1, 7, 100, 1000, 5000, len(raw)):
+        got, open_end = [], b""
+        for lo in range(0, len(raw), size):
+            chunks = iter([raw[lo : lo + size][k : k + 13] for k in range(0, size, 13)])
+            for kind, data in warc.pieces(lambda: next(chunks, b"")):  # noqa: B023
+                if kind == "head":
+                    open_end += data
+                    continue
+                got += [warc.parse(x)[::2][:2] for _, x in warc.records(io.BytesIO(open_end), 0, len(open_end))] if open_end else []
+                open_end = data if kind == "tail" else b""
+                if kind == "record":
+                    got.append(warc.parse(data)[::2][:2])
+        got += [warc.parse(x)[::2][:2] for _, x in warc.records(io.BytesIO(open_end), 0, len(open_end))]
+        assert got == want, size
+
+
+def test_archive_edges(spark, pages):
+    """An empty table, a payload of many ranges, and files named .gz."""
+    rows, df = pages
+    path = common.shared_dir(spark)
+    warc.write_archives(df.filter("false"), path)
+    assert warc.read_archives(spark, path).collect() == []
+    big = "".join(chr(65 + (i * i) % 1009) for i in range(1_500_000))
+    path = common.shared_dir(spark)
+    warc.write_archives(spark.createDataFrame([(1, "u", big), (2, "v", "x"), (3, "w", big)], "page_id long, url string, html string").coalesce(1), path)
+    got = in_ranges(spark, 5000, lambda: {r["page_id"]: r for r in warc.read_archives(spark, path).collect()})
+    assert bytes(got[1]["payload"]).decode() == big and got[3]["refers_to"] == 1 and got[2]["payload_bytes"] == 1
+    path = common.shared_dir(spark)
+    os.makedirs(path.removeprefix("file://"))
+    with open(path.removeprefix("file://") + "/a.warc.gz", "wb") as f:
+        f.write(b"".join(warc.member(i, None, b"p%d" % i, hashlib.sha256(b"p%d" % i).hexdigest(), None) for i in range(9)))
+    assert sorted(r["page_id"] for r in warc.read_archives(spark, path).collect()) == list(range(9))
+
+
 def test_archives_round_trip(spark, pages):
     rows, df = pages
     path = common.shared_dir(spark)
     warc.write_archives(df, path)
-    got = [r for split in (97, 4096, 1 << 20) for r in [sorted(map(tuple, warc.read_archives(spark, path, split).drop("url", "payload").collect()), key=repr)]]
-    assert got[0] == got[1] == got[2] and len(got[0]) == len(rows)
+    got = [in_ranges(spark, split, lambda: sorted(map(tuple, warc.read_archives(spark, path).drop("url", "payload").collect()), key=repr)) for split in (700, 1 << 20)]
+    assert got[0] == got[1] and len(got[0]) == len(rows)
     least = {}
     for i, _, h in rows:
         b = (h or "").encode()
@@ -179,7 +233,7 @@ def test_hits_against_brute_force(spark):
     docs = [(i, " ".join([rnd(rng.randrange(10)), rng.choice(items)[1] or "", rnd(rng.randrange(30))])) for i in range(80)] + [(200, None), (201, ""), (201, "")]
     d = spark.createDataFrame(docs, "doc_id long, text string").repartition(3)
     b = spark.createDataFrame(items, "item_id long, text string")
-    for size in (1 << 24, 40):  # one block of items, and many
+    for size in (1 << 24, 40):  # one block of items, and many, which take turns
         got = sorted(map(tuple, D.digest(D.find(d, b, block_bytes=size)).collect()), key=repr)
         assert got == brute_hits(docs, items)
 
@@ -187,13 +241,37 @@ def test_hits_against_brute_force(spark):
 def test_longest_matches_and_removal(spark, tricky, nothing):
     b = spark.createDataFrame([(1, "p q r s t u v w x y z")], "item_id long, text string")
     d = spark.createDataFrame([(1, "0 1 P q, r s t u v w x y! 2"), (2, "p q r s t u v")], "doc_id long, text string")
-    rows = {r["doc_id"]: r for r in D.find(d, b).collect()}
-    assert [tuple(m) for m in rows[1]["_matches"]] == [(1, 2, 0, 10)] and rows[2]["_matches"] == []
+    rows = {r["doc"]["doc_id"]: r for r in D.find(d, b).collect()}
+    assert [tuple(m) for m in rows[1]["matches"]] == [(1, 2, 0, 10)] and rows[2]["matches"] == []
     assert [r["doc_id"] for r in D.remove(d, b).collect()] == [2]
     assert D.remove(tricky, b).columns == tricky.columns and D.remove(tricky, b).count() == 11
     assert D.find(nothing, b).collect() == [] and D.find(tricky, b.filter("false")).count() == 11
 
 
+def test_clashing_names_and_item_ids(spark):
+    d = spark.createDataFrame([(1, "a b c d e f g h", 5, "y", 7), (2, None, 6, "z", 8)], "doc_id long, text string, _items long, items string, n_hit long")
+    for kind, ids in (("string", ["i", "j"]), ("int", [4, 5]), ("date", None)):
+        import datetime
+
+        ids = ids or [datetime.date(2020, 1, 1), datetime.date(2020, 1, 2)]
+        b = spark.createDataFrame([(ids[0], "A b c d e f g h"), (ids[1], "other"), (None, "c d")], f"item_id {kind}, text string")
+        rows = {r["doc"]["doc_id"]: r for r in D.find(d, b).collect()}
+        assert set(rows[1]["items"]) == {ids[0], None} and rows[1]["doc"]["_items"] == 5 and rows[2]["items"] == []
+        assert [tuple(r) for r in D.remove(d, b).collect()] == [(2, None, 6, "z", 8)]
+
+
+def test_a_worker_holds_one_block(spark, monkeypatch):
+    """Many blocks, and shards searched a few at a time: each worker keeps none of the blocks it has searched."""
+    monkeypatch.setattr(D, "HELD_BYTES", 200)
+    items = [(i, " ".join(f"w{i}x{k}" for k in range(12))) for i in range(60)]
+    docs = [(i, " ".join(f"w{i}x{k}" for k in range(2, 11))) for i in range(60)] + [(100, "w1x1 w2x2")]
+    d = spark.createDataFrame(docs, "doc_id long, text string").repartition(2)
+    b = spark.createDataFrame(items, "item_id long, text string")
+    rows = D.find(d, b, block_bytes=100).collect()
+    assert {r["doc"]["doc_id"]: r["items"] for r in rows} == {i: [i] for i in range(60)} | {100: []}
+    assert all([(m["doc_word"], m["item_word"], m["words"]) for m in r["matches"]] == [(0, 2, 9)] for r in rows if r["doc"]["doc_id"] < 60)
+
+
 def test_slices_hold_whole_texts():
     col = pa.record_batch([pa.array(["a" * 10, None, "b" * 5000, "", "c"])], ["text"])
     parts = list(common.slices(col, "text", 20))
