@@ -8,7 +8,6 @@ not depend on the number of rows or partitions.
 from __future__ import annotations
 
 import ctypes
-import uuid
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -16,6 +15,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..session import passing, shared_dir, write  # noqa: F401
+from ..session import shared_table as table  # noqa: F401
+
 #: Bytes of text handled at once by the vectorised operators.
 SLICE_BYTES = 1 << 20
 _P1 = np.uint64(0x9E3779B97F4A7C15)
@@ -25,38 +27,6 @@ _BASE = 0x5851F42D4C957F2D
 _INV = pow(_BASE, -1, 1 << 64)
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """A new folder name under ``spark.checkpoint.dir``, which every executor can reach.
-
-    Where the setting is absent (tests on one machine) a folder under /tmp/checkpoints is set.
-    """
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not base:
-        base = "file:///tmp/checkpoints"
-        spark.sparkContext.setCheckpointDir(base)
-    return f"{base.rstrip('/')}/parcelyard-{uuid.uuid4().hex}"
-
-
-def write(df: DataFrame, path: str, mode: str = "error") -> None:
-    """Write ``df`` as Parquet; what the write shuffled is of no use afterwards and goes at once."""
-    spark = df.sparkSession
-    key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
-    before = spark.conf.get(key, "false")
-    spark.conf.set(key, "true")
-    try:
-        df.write.mode(mode).parquet(path)
-    finally:
-        spark.conf.set(key, before)
-
-
-def table(df: DataFrame) -> DataFrame:
-    """Write ``df`` to a new Parquet table in the shared folder and read it back: cuts lineage, survives lost executors."""
-    spark = df.sparkSession
-    path = shared_dir(spark)
-    write(df, path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def fold(docs: DataFrame, text_col: str) -> DataFrame:
     """(doc, text): all other columns as one, so that their names cannot clash with an operator's own."""
     return docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns if c != text_col]).alias("doc"), F.col(f"`{text_col}`").alias("text"))
@@ -188,6 +158,20 @@ def windows(h: np.ndarray, size: int) -> np.ndarray:
     return mix(out)
 
 
+def same_bytes(data: np.ndarray, a: np.ndarray, b: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """Whether the ``size`` bytes from each a and from each b on are equal."""
+    stop = np.cumsum(size)
+    inside = np.arange(int(stop[-1]) if len(stop) else 0) - np.repeat(stop - size, size)
+    differ = data[np.repeat(a, size) + inside] != data[np.repeat(b, size) + inside]
+    bad = np.zeros(len(size), bool)
+    bad[np.repeat(np.arange(len(size)), size)[differ]] = True
+    return ~bad
+
+
+class HashClash(ValueError):
+    """Two different things have one hash; nothing wrong is returned, the job ends."""
+
+
 def row_of(first: np.ndarray) -> np.ndarray:
     """The row of each item, from the first item of each row."""
     return np.repeat(np.arange(len(first) - 1), np.diff(first))

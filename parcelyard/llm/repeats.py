@@ -8,19 +8,22 @@ have equal anchors. Windows of one anchor form a run of neighbouring starts.
    what a slice can tell by itself (a run that a smaller document of it has) is
    settled there, so a passage in a third of all rows sends a row per slice.
 2. Where announcements meet, a run that a smaller document has is settled; the
-   first holder of a run whose anchor has other runs must compare them.
+   first holder of a run whose anchor has other runs must compare them. Runs are
+   told apart by 64-bit hashes here; all that are taken for equal are verified in
+   step 3 by a 128-bit digest of their content, and a difference ends the job.
 3. Those holders send their runs; the windows are compared by the operator's own
    method, and one that also starts in a smaller document is marked. Anchors
    with very many different runs send single windows instead, dealt by content.
 4. Marks return to their document by its row address.
 
 Announcements, runs and marks travel as packed arrays. Rows with a null id are
-neither sources nor changed. Rows are addressed by a hash of id and text, so
-repeated rows share marks, as they should.
+neither sources nor changed. Rows are addressed by a hash of id and text, and
+marks by the id as well; repeated rows share marks, as they should.
 """
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
@@ -49,6 +52,8 @@ class Runs:
     content: np.ndarray
     #: Packs the runs at some positions into one string of bytes.
     pack: Callable[[np.ndarray], bytes]
+    #: A run's content as bytes that other runs have only if they are equal.
+    plain: Callable[[int], bytes]
     #: For the runs at some positions: a hash of each of their windows, and what packs some of those windows.
     single: Callable[[np.ndarray], tuple[np.ndarray, Callable[[np.ndarray], bytes]]]
 
@@ -102,10 +107,10 @@ def addressed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 ANNOUNCED = "bucket int, row long, keys binary, rows binary"
 SHARED = "row long, keys binary"
-TOLD = "bucket int, row long, settled binary, tags binary, anchors binary, who binary"
-JUDGED = "row long, settled binary, open binary, hot binary"
-SENT = "bucket int, row long, parts binary, head binary, body binary"
-MARKED = "row long, marks binary"
+TOLD = "bucket int, row long, settled binary, lead binary, tags binary, anchors binary, who binary"
+JUDGED = "row long, settled binary, open binary, hot binary, lead binary"
+SENT = "bucket int, row long, id long, parts binary, head binary, body binary"
+MARKED = "row long, id long, marks binary"
 
 
 def settle_keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -175,8 +180,9 @@ def _packed_marks(starts: np.ndarray, ends: np.ndarray) -> bytes:
 
 
 def judged(rows: DataFrame, method: Method, parts: int) -> DataFrame:
-    """(row, settled, open, hot): tags of each row's runs that a smaller document has as well, that must be compared with other
-    runs of their anchor, or compared window by window; a row may come in parts. A run's tag is its whole 64-bit content hash."""
+    """(row, settled, open, hot, lead): tags of each row's runs that a smaller document has as well, that must be compared with other
+    runs of their anchor, or compared window by window, and those that others are settled by; a row may come in parts. A run's tag is
+    its whole 64-bit content hash."""
     ids = even_ids(parts)
 
     def announce(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -198,7 +204,13 @@ def judged(rows: DataFrame, method: Method, parts: int) -> DataFrame:
                 late = doc > least  # settled within the slice
                 for i, t in _by(row[late], tag[late]):
                     a = int(addr[i])
-                    out.append((int(ids[a % parts]), a, np.unique(t).tobytes(), None, None, None))
+                    out.append((int(ids[a % parts]), a, np.unique(t).tobytes(), None, None, None, None))
+                several = np.zeros(len(tag), bool)
+                several[late] = True
+                several = start & np.logical_or.reduceat(several, np.flatnonzero(start))[np.cumsum(start) - 1]
+                for i, t in _by(row[several], tag[several]):
+                    a = int(addr[i])
+                    out.append((int(ids[a % parts]), a, None, t.tobytes(), None, None, None))
                 new = start | _first_of(row)
                 say = ~late & new
                 tag, key, row = tag[say], key[say], row[say]
@@ -208,7 +220,7 @@ def judged(rows: DataFrame, method: Method, parts: int) -> DataFrame:
                     heads = np.flatnonzero(_first_of(i))
                     n = np.diff(np.append(heads, len(i)))
                     who = np.stack([addr[i[heads]], docs[i[heads]], n]).astype(np.int64)
-                    out.append((int(ids[p]), None, None, t.tobytes(), k.tobytes(), who.tobytes()))
+                    out.append((int(ids[p]), None, None, None, t.tobytes(), k.tobytes(), who.tobytes()))
                 yield _batch(TOLD, out)
 
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -218,11 +230,11 @@ def judged(rows: DataFrame, method: Method, parts: int) -> DataFrame:
             if not mine.all():
                 passed = batch.filter(pa.array(~mine))
                 none = pa.nulls(passed.num_rows, pa.binary())
-                yield pa.RecordBatch.from_arrays([passed.column(1), passed.column(2), none, none], ["row", "settled", "open", "hot"])
+                yield pa.RecordBatch.from_arrays([passed.column(1), passed.column(2), none, none, passed.column(3)], ["row", "settled", "open", "hot", "lead"])
             for i in np.flatnonzero(mine).tolist():
-                who = np.frombuffer(batch.column(5)[i].as_py(), np.int64).reshape(3, -1)
-                got[0].append(np.frombuffer(batch.column(3)[i].as_py(), np.uint64))
-                got[1].append(np.frombuffer(batch.column(4)[i].as_py(), np.uint32))
+                who = np.frombuffer(batch.column(6)[i].as_py(), np.int64).reshape(3, -1)
+                got[0].append(np.frombuffer(batch.column(4)[i].as_py(), np.uint64))
+                got[1].append(np.frombuffer(batch.column(5)[i].as_py(), np.uint32))
                 got[2].append(np.repeat(who[0], who[2]))
                 got[3].append(np.repeat(who[1], who[2]))
         if not got[0]:
@@ -238,11 +250,12 @@ def judged(rows: DataFrame, method: Method, parts: int) -> DataFrame:
         first = np.flatnonzero(_first_of(own))
         kinds = np.repeat(np.diff(np.append(first, len(own))), np.diff(np.append(heads[first], len(tag))))
         status = np.where(doc > least, 1, np.where(kinds == 1, 0, np.where(kinds <= HOT, 2, 3)))
-        on = status > 0
-        tag, row, status = tag[on], row[on], status[on]
+        lead = start & (np.diff(np.append(heads, len(tag))) > 1)[np.cumsum(start) - 1]
+        on = (status > 0) | lead
+        tag, row, status, lead = tag[on], row[on], status[on], lead[on]
         out = []
-        for a, t, s in _by(row, tag, status):
-            out.append((int(a), *(t[s == k].tobytes() for k in (1, 2, 3))))
+        for a, t, s, f in _by(row, tag, status, lead):
+            out.append((int(a), *(t[s == k].tobytes() for k in (1, 2, 3)), t[f].tobytes()))
             if len(out) == 5000:
                 yield _batch(JUDGED, out)
                 out = []
@@ -252,11 +265,11 @@ def judged(rows: DataFrame, method: Method, parts: int) -> DataFrame:
 
 
 def marked(rows: DataFrame, method: Method, parts: int) -> DataFrame:
-    """(row, marks): starts and ends, as pairs of 64-bit numbers, of items covered by repeated windows; a row may come in parts."""
+    """(row, id, marks): starts and ends, as pairs of 64-bit numbers, of items covered by repeated windows; a row may come in parts."""
     size, ids = method.size, even_ids(parts)
     fine = SUB * parts
-    told = judged(rows, method, parts).groupBy("row").agg(*[F.collect_list(c).alias(c) for c in ("settled", "open", "hot")]).withColumnRenamed("row", "_row")
-    mine = rows.join(told, rows["row"] == told["_row"]).select("row", "id", "text", "settled", "open", "hot")
+    told = judged(rows, method, parts).groupBy("row").agg(*[F.collect_list(c).alias(c) for c in ("settled", "open", "hot", "lead")]).withColumnRenamed("row", "_row")
+    mine = rows.join(told, rows["row"] == told["_row"]).select("row", "id", "text", "settled", "open", "hot", "lead")
 
     def dealt(key: np.ndarray, head: np.ndarray, body: Callable[[np.ndarray], bytes]) -> list[tuple]:
         """A row per bucket, with its parts (number, runs, bytes) one after the other."""
@@ -268,7 +281,7 @@ def marked(rows: DataFrame, method: Method, parts: int) -> DataFrame:
             cuts = np.append(np.flatnonzero(_first_of(no)), len(no)).tolist()
             bodies = [body(idx[x:y]) for x, y in zip(cuts[:-1], cuts[1:], strict=True)]
             parts = np.array([(no[x], y - x, len(c)) for x, y, c in zip(cuts[:-1], cuts[1:], bodies, strict=True)], np.int64)
-            out.append((int(ids[b]), None, parts.tobytes(), head[:, idx].tobytes(), b"".join(bodies)))
+            out.append((int(ids[b]), None, None, parts.tobytes(), head[:, idx].tobytes(), b"".join(bodies)))
         return out
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -278,14 +291,23 @@ def marked(rows: DataFrame, method: Method, parts: int) -> DataFrame:
                 docs, _ = _ids(part)
                 r = method.runs(part.column(2))
                 tag = r.content
-                status = np.zeros(len(tag), np.int8)
+                status, lead = np.zeros(len(tag), np.int8), np.zeros(len(tag), bool)
                 edges = np.searchsorted(r.row, np.arange(part.num_rows + 1))
-                for k, column in enumerate((3, 4, 5), 1):
+                for k, column in enumerate((3, 4, 5, 6), 1):
                     for i, lists in enumerate(part.column(column).to_pylist()):
-                        if lists:
+                        if lists and (named := np.frombuffer(b"".join(lists), np.uint64)).size:
                             a, b = edges[i], edges[i + 1]
-                            status[a:b][np.isin(tag[a:b], np.frombuffer(b"".join(lists), np.uint64))] = k
+                            if k == 4:
+                                lead[a:b] = np.isin(tag[a:b], named)
+                            else:
+                                status[a:b][np.isin(tag[a:b], named)] = k
                 out = []
+                # what is taken for equal is verified where equal tags meet
+                s = np.flatnonzero((status == 1) | lead)
+                proof = np.frombuffer(b"".join([hashlib.blake2b(r.plain(i), digest_size=16).digest() for i in s.tolist()]), np.uint64).reshape(-1, 2)
+                once = np.unique(np.column_stack([tag[s], proof]), axis=0) if len(s) else np.zeros((0, 3), np.uint64)
+                for b, t in _by((once[:, 0] % np.uint64(parts)).astype(np.int64), once):
+                    out.append((int(ids[b]), None, None, None, t.tobytes(), None))
                 s = np.flatnonzero(status == 1)
                 gone = [(r.row[s], r.start[s], r.start[s] + r.count[s] - 1 + size)]
                 s = np.flatnonzero(status == 2)
@@ -309,24 +331,29 @@ def marked(rows: DataFrame, method: Method, parts: int) -> DataFrame:
                 row, first, last = (np.concatenate(x) for x in zip(*gone, strict=True))
                 for i, x, y in _by(row, first, last):
                     a = int(addr[i])
-                    out.append((int(ids[a % parts]), a, None, _packed_marks(x, y), None))
+                    out.append((int(ids[a % parts]), a, int(docs[i]), None, _packed_marks(x, y), None))
                 yield _batch(SENT, out)
 
     def settle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[int, tuple[list, list]] = {}
+        proofs: list[np.ndarray] = []
         for batch in batches:
             own = np.asarray(batch.column(1).is_null())
             if not own.all():
                 passed = batch.filter(pa.array(~own))
-                yield pa.RecordBatch.from_arrays([passed.column(1), passed.column(3)], ["row", "marks"])
+                yield pa.RecordBatch.from_arrays([passed.column(1), passed.column(2), passed.column(4)], ["row", "id", "marks"])
             for i in np.flatnonzero(own).tolist():
-                head = np.frombuffer(batch.column(3)[i].as_py(), np.int64).reshape(5, -1)
-                body, x, y = batch.column(4)[i].as_py(), 0, 0
-                for no, n, size_ in np.frombuffer(batch.column(2)[i].as_py(), np.int64).reshape(-1, 3).tolist():
+                if batch.column(3)[i].as_py() is None:
+                    proofs.append(np.frombuffer(batch.column(4)[i].as_py(), np.uint64).reshape(-1, 3))
+                    continue
+                head = np.frombuffer(batch.column(4)[i].as_py(), np.int64).reshape(5, -1)
+                body, x, y = batch.column(5)[i].as_py(), 0, 0
+                for no, n, size_ in np.frombuffer(batch.column(3)[i].as_py(), np.int64).reshape(-1, 3).tolist():
                     heads, bodies = held.setdefault(no, ([], []))
                     heads.append(head[:, x : x + n])
                     bodies.append(body[y : y + size_])
                     x, y = x + n, y + size_
+        verify(proofs)
         while held:  # a part of the bucket at a time: equal windows share it
             _, (heads, bodies) = held.popitem()
             out = _settle_bucket(np.concatenate(heads, axis=1).T, b"".join(bodies), method)
@@ -336,6 +363,16 @@ def marked(rows: DataFrame, method: Method, parts: int) -> DataFrame:
     return mine.mapInArrow(common.tidy(send), SENT).repartition(parts, "bucket").mapInArrow(common.tidy(settle), MARKED)
 
 
+def verify(proofs: list[np.ndarray]) -> None:
+    """All rows (tag, digest in two numbers) of a tag must have one digest."""
+    if proofs:
+        p = np.concatenate(proofs)
+        p = p[np.argsort(p[:, 0], kind="stable")]
+        equal = p[1:, 0] == p[:-1, 0]
+        if np.any(p[1:][equal] != p[:-1][equal]):
+            raise common.HashClash("two different runs have one 64-bit hash")
+
+
 def _settle_bucket(head: np.ndarray, body: bytes, method: Method) -> list[tuple]:
     """Rows of MARKED for the runs of a bucket."""
     hit = method.compare(body, head[:, 1], head[:, 3], head[:, 4])
@@ -345,15 +382,15 @@ def _settle_bucket(head: np.ndarray, body: bytes, method: Method) -> list[tuple]
     if not len(on):
         return []
     start = head[run[on], 2] + on - first[run[on]]
-    return [(int(a), _packed_marks(s, s + method.size)) for a, s in _by(head[run[on], 0], start)]
+    return [(int(a), int(d[0]), _packed_marks(s, s + method.size)) for a, d, s in _by(head[run[on], 0], head[run[on], 1], start)]
 
 
 def with_marks(docs: DataFrame, method: Method, id_col: str = "doc_id", text_col: str = "text", parts: int | None = None) -> DataFrame:
     """(row, id, text, marks): every row of ``docs`` with the item ranges to remove, as a list of packed parts or null."""
     parts = parts or common.partitions(docs.sparkSession)
     rows = addressed(docs, id_col, text_col)
-    marks = marked(rows, method, parts).groupBy("row").agg(F.collect_list("marks").alias("marks")).withColumnRenamed("row", "_row")
-    return rows.join(marks, rows["row"] == marks["_row"], "left").select("id", "text", "marks")
+    marks = marked(rows, method, parts).groupBy(F.col("row").alias("_row"), F.col("id").alias("_id")).agg(F.collect_list("marks").alias("marks"))
+    return rows.join(marks, (rows["row"] == marks["_row"]) & (rows["id"] == marks["_id"]), "left").select("id", "text", "marks")
 
 
 def ranges(parts: list[bytes] | None) -> np.ndarray:

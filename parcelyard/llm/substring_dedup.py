@@ -9,11 +9,17 @@ depends on a bounded number of words around them, so inside equal passages the
 parses agree except near the ends. Each window of ``size`` words takes the
 smallest-named of the high-level symbols that lie in its agreed middle, named
 together with the agreed words around it; documents that share such a name are
-brought together and their windows verified.
+brought together. There all words, then pairs, pairs of pairs and so on up to a
+window get exact names, words compared byte by byte, so windows of one name are
+equal. Whole runs of windows that occur again as they are, as in copies, are
+settled once by hash, verified by a 128-bit digest of their words.
 
 A removed word is covered by a window that also starts in a document with a
 smaller id, judged on the input. Null and empty texts have no words. Ids must be
-integers; rows with a null id are never changed nor sources.
+integers; rows with a null id are never changed nor sources. Repeated rows lose the
+same words and are not each other's sources; of documents with one id, neither takes
+from the other. Other columns are not returned, whatever their names. An empty table
+gives no rows.
 """
 
 from __future__ import annotations
@@ -103,7 +109,7 @@ class WordWindows(repeats.Method):
         w = common.whole_windows(first, self.size)
         if not len(w):
             none = np.zeros(0, np.int64)
-            return repeats.Runs(none.astype(np.uint64), none, none, none, none.astype(np.uint64), lambda idx: b"", lambda idx: (none.astype(np.uint64), lambda k: b""))
+            return repeats.Runs(none.astype(np.uint64), none, none, none, none.astype(np.uint64), lambda idx: b"", lambda i: b"", lambda idx: (none.astype(np.uint64), lambda k: b""))
         around, _ = reach()
         name, at = recompress(code, row)
         stop = np.append(at[1:], len(code))
@@ -125,28 +131,63 @@ class WordWindows(repeats.Method):
         full = common.windows(code, self.size)
         content = common.mix((sums[w[h] + count + self.size - 1] - sums[w[h]]) * q[w[h]] + count.astype(np.uint64))
 
+        raw = data.tobytes()
+
+        def words_of(a: int, b: int) -> bytes:
+            """Words a to b, each followed by one space."""
+            return b" ".join([*raw[start[a] : end[b - 1]].split(), b""])
+
+        def plain(i: int) -> bytes:
+            return words_of(w[h[i]], w[h[i]] + count[i] + self.size - 1)
+
         def pack(idx: np.ndarray) -> bytes:
-            s, n = w[h[idx]], count[idx]
-            return full[np.repeat(s - np.concatenate(([0], np.cumsum(n)[:-1])), n) + np.arange(n.sum())].tobytes()
+            return b"".join([plain(i) for i in idx.tolist()])
 
         def single(idx: np.ndarray):
-            name = np.frombuffer(pack(idx), np.uint64)
-            return name, lambda k: name[k].tobytes()
+            s, n = w[h[idx]], count[idx]
+            at = np.repeat(s - np.concatenate(([0], np.cumsum(n)[:-1])), n) + np.arange(n.sum())
+            return full[at], lambda k: b"".join([words_of(a, a + self.size) for a in at[k].tolist()])
 
         r = row[w[h]]
-        return repeats.Runs(key[sym], r, w[h] - first[r], count, content, pack, single)
+        return repeats.Runs(key[sym], r, w[h] - first[r], count, content, pack, plain, single)
 
     def compare(self, body: bytes, owner: np.ndarray, count: np.ndarray, key: np.ndarray) -> np.ndarray:
-        name = np.frombuffer(body, np.uint64)
-        doc = np.repeat(owner, count)
-        order = np.lexsort((doc, name))
-        n, d = name[order], doc[order]
-        new = np.ones(len(n), bool)
-        new[1:] = n[1:] != n[:-1]
-        least = d[np.flatnonzero(new)][np.cumsum(new) - 1] if len(n) else d
-        out = np.zeros(len(n), bool)
-        out[order] = d > least
-        return out
+        data = np.frombuffer(body, np.uint8)
+        end = np.flatnonzero(data == 32)
+        start = np.concatenate(([0], end[:-1] + 1))
+        first = np.concatenate(([0], np.cumsum(count + self.size - 1)))
+        name = windows_named(exact_names(data, start, end), self.size)
+        at = np.repeat(first[:-1] - np.concatenate(([0], np.cumsum(count)[:-1])), count) + np.arange(count.sum())
+        name, doc = name[at], np.repeat(owner, count)
+        least = np.full(int(name.max()) + 1 if len(name) else 0, np.iinfo(np.int64).max)
+        np.minimum.at(least, name, doc)
+        return doc > least[name]
+
+
+def exact_names(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """A number for each word, equal for equal words only: words of one hash are compared byte by byte."""
+    _, at, name = np.unique(common.Prefix(data).hash(start, end), return_index=True, return_inverse=True)
+    size = end - start
+    other = np.flatnonzero(at[name] != np.arange(len(name)))
+    lead = at[name[other]]
+    if np.any(size[other] != size[lead]) or not common.same_bytes(data, start[other], start[lead], size[other]).all():
+        raise common.HashClash("two different words have one 64-bit hash")
+    return name
+
+
+def windows_named(name: np.ndarray, size: int) -> np.ndarray:
+    """A number for the window from each place on, equal for equal windows only: pairs of names of a length get names of the double
+    length, as far as the window reaches; two of those overlap in a window. Windows past the end have none."""
+    length = 1
+    while 2 * length <= size:
+        name = paired(name[: len(name) - length], name[length:])
+        length *= 2
+    rest = size - length
+    return paired(name[: len(name) - rest], name[rest:]) if rest else name
+
+
+def paired(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    return np.unique(a * (int(b.max()) + 1 if len(b) else 1) + b, return_inverse=True)[1]
 
 
 def dedup(docs: DataFrame, size: int = 50, id_col: str = "doc_id", text_col: str = "text", keep_text: bool = True) -> DataFrame:

@@ -5,11 +5,16 @@ Equal strings of ``size`` bytes are brought together by content-chosen anchors
 start there are sorted: multikey quicksort partitions them by eight bytes at a
 time down to a shallow depth, and the groups that still agree there are ordered
 by blind tries, which look at branching bytes only and compare a suffix once.
-Suffixes that stay together to ``size`` bytes are equal strings.
+Suffixes that stay together to ``size`` bytes are equal strings. Whole runs of
+neighbouring strings that occur again as they are, as in copies, are settled once
+by hash, verified by a 128-bit digest or byte by byte; the sort orders the rest.
 
 A byte goes if it is covered by a string of ``size`` bytes that also starts in a
 document with a smaller id; strings are judged on the input. Null texts count as
 empty. Ids must be integers; rows with a null id are never changed nor sources.
+Repeated rows lose the same bytes and are not each other's sources; of documents
+with one id, neither takes from the other. Other columns are not returned, whatever
+their names. An empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -177,7 +182,10 @@ class ByteWindows(repeats.Method):
             at = np.repeat(h[idx] - np.concatenate(([0], np.cumsum(n)[:-1])), n) + np.arange(n.sum())
             return common.Prefix(data).hash(at, at + size), lambda k: b"".join([data[a : a + size].tobytes() for a in at[k].tolist()])
 
-        return repeats.Runs(key, row, h - off[row], count, content, pack, single)
+        def plain(i: int) -> bytes:
+            return data[h[i] : h[i] + count[i] + size - 1].tobytes()
+
+        return repeats.Runs(key, row, h - off[row], count, content, pack, plain, single)
 
     def _block(self, data: np.ndarray, off: np.ndarray, lo: int, hi: int) -> tuple[np.ndarray, ...]:
         """Runs of the windows that start in [lo, hi), with the places of their anchors; a block's arrays stay in the processor's cache."""
@@ -223,6 +231,9 @@ class ByteWindows(repeats.Method):
         group[order] = np.cumsum(new) - 1
         lead = order[new]
         least_owner = owner[lead]
+        other = np.flatnonzero(lead[group] != np.arange(len(h)))
+        if np.any(length[other] != length[lead[group[other]]]) or not common.same_bytes(data, first[:-1][other], first[:-1][lead[group[other]]], length[other]).all():
+            raise common.HashClash("two different runs have one 64-bit hash")
         # suffixes of the distinct runs whose anchor another distinct run has
         _, same_key = np.unique(key[lead], return_inverse=True)
         rival = np.bincount(same_key)[same_key] > 1

@@ -101,6 +101,35 @@ def test_runs_alike_in_few_bits_are_different(spark, mod, method, brute, column)
     assert got == brute(rows)
 
 
+@pytest.mark.parametrize("method", [B.ByteWindows, W.WordWindows])
+def test_what_is_taken_for_equal_is_verified(spark, method):
+    """Different runs of one anchor with one hash: the job ends rather than remove what is not repeated."""
+
+    class Clashing(method):
+        def runs(self, col):
+            r = method.runs(self, col)
+            r.content = r.key.copy()
+            return r
+
+    passage = " ".join(f"p{k}" for k in range(70))
+    df = spark.createDataFrame([(i, f"{' '.join(f'a{i}x{k}' for k in range(30))} {passage} {' '.join(f'b{i}x{k}' for k in range(30))}") for i in range(20)], "doc_id long, text string").repartition(3)
+    with pytest.raises(Exception, match="one 64-bit hash"):
+        repeats.marked(repeats.addressed(df, "doc_id", "text"), Clashing(50), 4).collect()
+
+
+def test_exact_names():
+    rng = random.Random(2)
+    found = [f"w{rng.randrange(40)}".encode() for _ in range(3000)] + [b"w1", b"w12"] * 60
+    data = np.frombuffer(b" ".join([*found, b""]), np.uint8)
+    end = np.flatnonzero(data == 32)
+    name = W.exact_names(data, np.concatenate(([0], end[:-1] + 1)), end)
+    assert len({(a, b) for a, b in zip(found, name.tolist(), strict=True)}) == len(set(found)) == len(set(name.tolist()))
+    for size in (1, 2, 3, 8, 50):
+        got = W.windows_named(name, size)
+        want = [tuple(found[i : i + size]) for i in range(len(found) - size + 1)]
+        assert len(got) == len(want) and len(set(zip(want, got.tolist(), strict=True))) == len(set(want)) == len(set(got.tolist()))
+
+
 def test_edges(spark, tricky, nothing):
     for mod, size in ((B, "n_bytes"), (W, "n_words")):
         rows = mod.dedup(tricky).collect()
