@@ -389,8 +389,11 @@ def with_marks(docs: DataFrame, method: Method, id_col: str = "doc_id", text_col
     """(row, id, text, marks): every row of ``docs`` with the item ranges to remove, as a list of packed parts or null."""
     parts = parts or common.partitions(docs.sparkSession)
     rows = addressed(docs, id_col, text_col)
-    marks = marked(rows, method, parts).groupBy(F.col("row").alias("_row"), F.col("id").alias("_id")).agg(F.collect_list("marks").alias("marks"))
-    return rows.join(marks, (rows["row"] == marks["_row"]) & (rows["id"] == marks["_id"]), "left").select("id", "text", "marks")
+    # joined by the address alone, so that the rows' exchange serves again; an address that ids share is told apart afterwards
+    marks = marked(rows, method, parts).groupBy(F.col("row").alias("_row")).agg(F.collect_list(F.struct("id", "marks")).alias("all"))
+    found = rows.join(marks, rows["row"] == marks["_row"], "left")
+    own = F.transform(F.filter("all", lambda m: m["id"] == F.col("id")), lambda m: m["marks"])
+    return found.select("id", "text", own.alias("marks"))
 
 
 def ranges(parts: list[bytes] | None) -> np.ndarray:
