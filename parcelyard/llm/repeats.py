@@ -9,8 +9,9 @@ have equal anchors. Windows of one anchor form a run of neighbouring starts.
    settled there, so a passage in a third of all rows sends a row per slice.
 2. Where announcements meet, a run that a smaller document has is settled; the
    first holder of a run whose anchor has other runs must compare them. Runs are
-   told apart by 64-bit hashes here; all that are taken for equal are verified in
-   step 3 by a 128-bit digest of their content, and a difference ends the job.
+   told apart by 64-bit hashes here; those that are taken for equal are compared
+   byte by byte within a slice, and between slices in step 3 by another 64 bits of
+   a cryptographic digest of their content; a difference ends the job.
 3. Those holders send their runs; the windows are compared by the operator's own
    method, and one that also starts in a smaller document is marked. Anchors
    with very many different runs send single windows instead, dealt by content.
@@ -107,8 +108,10 @@ def addressed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 ANNOUNCED = "bucket int, row long, keys binary, rows binary"
 SHARED = "row long, keys binary"
-TOLD = "bucket int, row long, settled binary, lead binary, tags binary, anchors binary, who binary"
-JUDGED = "row long, settled binary, open binary, hot binary, lead binary"
+TOLD = "bucket int, row long, settled binary, tags binary, anchors binary, who binary"
+ANSWERED = "bucket int, kind int, who binary, tags binary"
+JUDGED = "row long, settled binary, equal binary, open binary, hot binary, lead binary"
+KINDS = 5
 SENT = "bucket int, row long, id long, parts binary, head binary, body binary"
 MARKED = "row long, id long, marks binary"
 
@@ -180,9 +183,9 @@ def _packed_marks(starts: np.ndarray, ends: np.ndarray) -> bytes:
 
 
 def judged(rows: DataFrame, method: Method, parts: int) -> DataFrame:
-    """(row, settled, open, hot, lead): tags of each row's runs that a smaller document has as well, that must be compared with other
-    runs of their anchor, or compared window by window, and those that others are settled by; a row may come in parts. A run's tag is
-    its whole 64-bit content hash."""
+    """(row, settled, equal, open, hot, lead): tags of each row's runs that a smaller document has as well (verified in the slice, or
+    still to be), that must be compared with other runs of their anchor, or compared window by window, and those that others are
+    settled by; one row per address. A run's tag is its whole 64-bit content hash."""
     ids = even_ids(parts)
 
     def announce(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -197,20 +200,16 @@ def judged(rows: DataFrame, method: Method, parts: int) -> DataFrame:
                     continue
                 doc = docs[row]
                 order = np.lexsort((row, doc, tag))
-                tag, key, row, doc = tag[order], key[order], row[order], doc[order]
+                tag, key, row, doc, place = tag[order], key[order], row[order], doc[order], np.flatnonzero(ok)[order]
                 start = _first_of(tag)
-                least = doc[np.flatnonzero(start)][np.cumsum(start) - 1]
+                lead = np.flatnonzero(start)[np.cumsum(start) - 1]
                 out = []
-                late = doc > least  # settled within the slice
+                late = doc > doc[lead]  # settled within the slice, and verified there
+                if any(r.plain(i) != r.plain(j) for i, j in zip(place[late].tolist(), place[lead[late]].tolist(), strict=True)):
+                    raise common.HashClash("two different runs have one 64-bit hash")
                 for i, t in _by(row[late], tag[late]):
                     a = int(addr[i])
-                    out.append((int(ids[a % parts]), a, np.unique(t).tobytes(), None, None, None, None))
-                several = np.zeros(len(tag), bool)
-                several[late] = True
-                several = start & np.logical_or.reduceat(several, np.flatnonzero(start))[np.cumsum(start) - 1]
-                for i, t in _by(row[several], tag[several]):
-                    a = int(addr[i])
-                    out.append((int(ids[a % parts]), a, None, t.tobytes(), None, None, None))
+                    out.append((int(ids[a % parts]), a, np.unique(t).tobytes(), None, None, None))
                 new = start | _first_of(row)
                 say = ~late & new
                 tag, key, row = tag[say], key[say], row[say]
@@ -220,7 +219,7 @@ def judged(rows: DataFrame, method: Method, parts: int) -> DataFrame:
                     heads = np.flatnonzero(_first_of(i))
                     n = np.diff(np.append(heads, len(i)))
                     who = np.stack([addr[i[heads]], docs[i[heads]], n]).astype(np.int64)
-                    out.append((int(ids[p]), None, None, None, t.tobytes(), k.tobytes(), who.tobytes()))
+                    out.append((int(ids[p]), None, None, t.tobytes(), k.tobytes(), who.tobytes()))
                 yield _batch(TOLD, out)
 
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -229,12 +228,13 @@ def judged(rows: DataFrame, method: Method, parts: int) -> DataFrame:
             mine = np.asarray(batch.column(1).is_null())
             if not mine.all():
                 passed = batch.filter(pa.array(~mine))
-                none = pa.nulls(passed.num_rows, pa.binary())
-                yield pa.RecordBatch.from_arrays([passed.column(1), passed.column(2), none, none, passed.column(3)], ["row", "settled", "open", "hot", "lead"])
+                own = [np.frombuffer(x.as_py(), np.uint64) for x in passed.column(2)]
+                n = np.array([len(x) for x in own])
+                yield _batch(ANSWERED, answers(0, np.repeat(passed.column(1).to_numpy(), n), np.concatenate(own)))
             for i in np.flatnonzero(mine).tolist():
-                who = np.frombuffer(batch.column(6)[i].as_py(), np.int64).reshape(3, -1)
-                got[0].append(np.frombuffer(batch.column(4)[i].as_py(), np.uint64))
-                got[1].append(np.frombuffer(batch.column(5)[i].as_py(), np.uint32))
+                who = np.frombuffer(batch.column(5)[i].as_py(), np.int64).reshape(3, -1)
+                got[0].append(np.frombuffer(batch.column(3)[i].as_py(), np.uint64))
+                got[1].append(np.frombuffer(batch.column(4)[i].as_py(), np.uint32))
                 got[2].append(np.repeat(who[0], who[2]))
                 got[3].append(np.repeat(who[1], who[2]))
         if not got[0]:
@@ -251,25 +251,49 @@ def judged(rows: DataFrame, method: Method, parts: int) -> DataFrame:
         kinds = np.repeat(np.diff(np.append(first, len(own))), np.diff(np.append(heads[first], len(tag))))
         status = np.where(doc > least, 1, np.where(kinds == 1, 0, np.where(kinds <= HOT, 2, 3)))
         lead = start & (np.diff(np.append(heads, len(tag))) > 1)[np.cumsum(start) - 1]
-        on = (status > 0) | lead
-        tag, row, status, lead = tag[on], row[on], status[on], lead[on]
+        for kind, on in ((1, status == 1), (2, status == 2), (3, status == 3), (4, lead)):
+            yield _batch(ANSWERED, answers(kind, row[on], tag[on]))
+
+    def answers(kind: int, row: np.ndarray, tag: np.ndarray) -> list[tuple]:
+        """A row for each bucket of rows: the addresses, and their tags of this kind."""
+        order = np.argsort(row, kind="stable")
+        return [(int(ids[b]), kind, r.tobytes(), t.tobytes()) for b, r, t in _by(row[order] % parts, row[order], tag[order])]
+
+    def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        got: list[list] = [[], [], []]
+        for batch in batches:
+            for k, w, t in zip(batch.column(1).to_pylist(), batch.column(2), batch.column(3), strict=True):
+                got[0].append(np.frombuffer(w.as_py(), np.int64))
+                got[1].append(np.full(len(got[0][-1]), k))
+                got[2].append(np.frombuffer(t.as_py(), np.uint64))
+        if not got[0]:
+            return
+        row, kind, tag = (np.concatenate(x) for x in got)
+        got.clear()
+        order = np.lexsort((kind, row))
+        row, kind, tag = row[order], kind[order], tag[order]
+        heads = np.flatnonzero(_first_of(row))
+        edges = np.append(heads, len(row))
+        cuts = np.searchsorted(np.stack([np.repeat(np.arange(len(heads)), np.diff(edges)), kind]).T @ np.array([KINDS, 1]), np.arange(KINDS * len(heads) + 1))
         out = []
-        for a, t, s, f in _by(row, tag, status, lead):
-            out.append((int(a), *(t[s == k].tobytes() for k in (1, 2, 3)), t[f].tobytes()))
+        for i, a in enumerate(row[heads].tolist()):
+            c = cuts[KINDS * i : KINDS * i + KINDS + 1]
+            out.append((a, *(tag[x:y].tobytes() if y > x else None for x, y in zip(c[:-1], c[1:], strict=True))))
             if len(out) == 5000:
                 yield _batch(JUDGED, out)
                 out = []
         yield _batch(JUDGED, out)
 
-    return rows.mapInArrow(common.tidy(announce), TOLD).repartition(parts, "bucket").mapInArrow(common.tidy(judge), JUDGED)
+    met = rows.mapInArrow(common.tidy(announce), TOLD).repartition(parts, "bucket").mapInArrow(common.tidy(judge), ANSWERED)
+    return met.repartition(parts, "bucket").mapInArrow(common.tidy(gather), JUDGED)
 
 
 def marked(rows: DataFrame, method: Method, parts: int) -> DataFrame:
     """(row, id, marks): starts and ends, as pairs of 64-bit numbers, of items covered by repeated windows; a row may come in parts."""
     size, ids = method.size, even_ids(parts)
     fine = SUB * parts
-    told = judged(rows, method, parts).groupBy("row").agg(*[F.collect_list(c).alias(c) for c in ("settled", "open", "hot", "lead")]).withColumnRenamed("row", "_row")
-    mine = rows.join(told, rows["row"] == told["_row"]).select("row", "id", "text", "settled", "open", "hot", "lead")
+    told = judged(rows, method, parts).withColumnRenamed("row", "_row")
+    mine = rows.join(told, rows["row"] == told["_row"]).select("row", "id", "text", "settled", "equal", "open", "hot", "lead")
 
     def dealt(key: np.ndarray, head: np.ndarray, body: Callable[[np.ndarray], bytes]) -> list[tuple]:
         """A row per bucket, with its parts (number, runs, bytes) one after the other."""
@@ -291,22 +315,25 @@ def marked(rows: DataFrame, method: Method, parts: int) -> DataFrame:
                 docs, _ = _ids(part)
                 r = method.runs(part.column(2))
                 tag = r.content
-                status, lead = np.zeros(len(tag), np.int8), np.zeros(len(tag), bool)
+                status, proof = np.zeros(len(tag), np.int8), np.zeros(len(tag), bool)
                 edges = np.searchsorted(r.row, np.arange(part.num_rows + 1))
-                for k, column in enumerate((3, 4, 5, 6), 1):
-                    for i, lists in enumerate(part.column(column).to_pylist()):
-                        if lists and (named := np.frombuffer(b"".join(lists), np.uint64)).size:
+                for column, k in ((3, 1), (4, 1), (5, 2), (6, 3), (7, 0)):
+                    for i, named in enumerate(part.column(column).to_pylist()):
+                        if named:
                             a, b = edges[i], edges[i + 1]
-                            if k == 4:
-                                lead[a:b] = np.isin(tag[a:b], named)
-                            else:
-                                status[a:b][np.isin(tag[a:b], named)] = k
+                            on = np.isin(tag[a:b], np.frombuffer(named, np.uint64))
+                            if k:
+                                status[a:b][on] = k
+                            if column in (4, 7):
+                                proof[a:b] |= on
                 out = []
                 # what is taken for equal is verified where equal tags meet
-                s = np.flatnonzero((status == 1) | lead)
-                proof = np.frombuffer(b"".join([hashlib.blake2b(r.plain(i), digest_size=16).digest() for i in s.tolist()]), np.uint64).reshape(-1, 2)
-                once = np.unique(np.column_stack([tag[s], proof]), axis=0) if len(s) else np.zeros((0, 3), np.uint64)
-                for b, t in _by((once[:, 0] % np.uint64(parts)).astype(np.int64), once):
+                s = np.flatnonzero(proof)
+                both = np.stack([tag[s], np.frombuffer(b"".join([hashlib.blake2b(r.plain(i), digest_size=8).digest() for i in s.tolist()]), np.uint64)], 1)
+                both = both[np.lexsort((both[:, 1], both[:, 0]))]
+                if len(both):
+                    both = both[_first_of(both[:, 0]) | _first_of(both[:, 1])]
+                for b, t in _by((both[:, 0] % np.uint64(parts)).astype(np.int64), both):
                     out.append((int(ids[b]), None, None, None, t.tobytes(), None))
                 s = np.flatnonzero(status == 1)
                 gone = [(r.row[s], r.start[s], r.start[s] + r.count[s] - 1 + size)]
@@ -344,7 +371,7 @@ def marked(rows: DataFrame, method: Method, parts: int) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([passed.column(1), passed.column(2), passed.column(4)], ["row", "id", "marks"])
             for i in np.flatnonzero(own).tolist():
                 if batch.column(3)[i].as_py() is None:
-                    proofs.append(np.frombuffer(batch.column(4)[i].as_py(), np.uint64).reshape(-1, 3))
+                    proofs.append(np.frombuffer(batch.column(4)[i].as_py(), np.uint64).reshape(-1, 2))
                     continue
                 head = np.frombuffer(batch.column(4)[i].as_py(), np.int64).reshape(5, -1)
                 body, x, y = batch.column(5)[i].as_py(), 0, 0
@@ -364,12 +391,12 @@ def marked(rows: DataFrame, method: Method, parts: int) -> DataFrame:
 
 
 def verify(proofs: list[np.ndarray]) -> None:
-    """All rows (tag, digest in two numbers) of a tag must have one digest."""
+    """All rows (tag, digest) of a tag must have one digest."""
     if proofs:
         p = np.concatenate(proofs)
         p = p[np.argsort(p[:, 0], kind="stable")]
         equal = p[1:, 0] == p[:-1, 0]
-        if np.any(p[1:][equal] != p[:-1][equal]):
+        if np.any(p[1:, 1][equal] != p[:-1, 1][equal]):
             raise common.HashClash("two different runs have one 64-bit hash")
 
 

@@ -12,7 +12,7 @@ together with the agreed words around it; documents that share such a name are
 brought together. There all words, then pairs, pairs of pairs and so on up to a
 window get exact names, words compared byte by byte, so windows of one name are
 equal. Whole runs of windows that occur again as they are, as in copies, are
-settled once by hash, verified by a 128-bit digest of their words.
+settled once by hash, verified by a digest of their words.
 
 A removed word is covered by a window that also starts in a document with a
 smaller id, judged on the input. Null and empty texts have no words. Ids must be

@@ -7,7 +7,7 @@ time down to a shallow depth, and the groups that still agree there are ordered
 by blind tries, which look at branching bytes only and compare a suffix once.
 Suffixes that stay together to ``size`` bytes are equal strings. Whole runs of
 neighbouring strings that occur again as they are, as in copies, are settled once
-by hash, verified by a 128-bit digest or byte by byte; the sort orders the rest.
+by hash, verified by a digest or byte by byte; the sort orders the rest.
 
 A byte goes if it is covered by a string of ``size`` bytes that also starts in a
 document with a smaller id; strings are judged on the input. Null texts count as
