@@ -10,7 +10,7 @@ have equal anchors. Windows of one anchor form a run of neighbouring starts.
 2. Where announcements meet, a run that a smaller document has is settled; the
    first holder of a run whose anchor has other runs must compare them. Runs are
    told apart by 64-bit hashes here; those that are taken for equal are compared
-   byte by byte within a slice, and between slices in step 3 by another 64 bits of
+   byte by byte within a slice, and between slices in step 3 by another 32 bits of
    a cryptographic digest of their content; a difference ends the job.
 3. Those holders send their runs; the windows are compared by the operator's own
    method, and one that also starts in a smaller document is marked. Anchors
@@ -39,6 +39,8 @@ from . import common
 HOT = 4096
 #: Parts of a bucket, compared one after the other.
 SUB = 24
+#: Proofs that a task holds, to tell equal ones once.
+PROOFS = 500_000
 NOBODY = np.int64(-(1 << 63))
 
 
@@ -308,7 +310,15 @@ def marked(rows: DataFrame, method: Method, parts: int) -> DataFrame:
             out.append((int(ids[b]), None, None, parts.tobytes(), head[:, idx].tobytes(), b"".join(bodies)))
         return out
 
+    def told_once(proofs: list[np.ndarray]) -> list[tuple]:
+        """A row per bucket of tags: different (tag, digest) pairs."""
+        both = np.concatenate(proofs) if proofs else np.zeros((0, 2), np.uint64)
+        both = both[np.lexsort((both[:, 1], both[:, 0]))]
+        both = both[_first_of(both[:, 0]) | _first_of(both[:, 1])]
+        return [(int(ids[b]), None, None, None, t[:, 0].tobytes(), t[:, 1].astype(np.uint32).tobytes()) for b, t in _by((both[:, 0] % np.uint64(parts)).astype(np.int64), both)]
+
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        proofs: list[np.ndarray] = []
         for batch in batches:
             for part in common.slices(batch):
                 addr = part.column(0).to_numpy()
@@ -329,12 +339,10 @@ def marked(rows: DataFrame, method: Method, parts: int) -> DataFrame:
                 out = []
                 # what is taken for equal is verified where equal tags meet
                 s = np.flatnonzero(proof)
-                both = np.stack([tag[s], np.frombuffer(b"".join([hashlib.blake2b(r.plain(i), digest_size=8).digest() for i in s.tolist()]), np.uint64)], 1)
-                both = both[np.lexsort((both[:, 1], both[:, 0]))]
-                if len(both):
-                    both = both[_first_of(both[:, 0]) | _first_of(both[:, 1])]
-                for b, t in _by((both[:, 0] % np.uint64(parts)).astype(np.int64), both):
-                    out.append((int(ids[b]), None, None, None, t.tobytes(), None))
+                proofs.append(np.stack([tag[s], np.frombuffer(b"".join([hashlib.blake2b(r.plain(i), digest_size=4).digest() for i in s.tolist()]), np.uint32).astype(np.uint64)], 1))
+                if sum(map(len, proofs)) > PROOFS:
+                    out += told_once(proofs)
+                    proofs = []
                 s = np.flatnonzero(status == 1)
                 gone = [(r.row[s], r.start[s], r.start[s] + r.count[s] - 1 + size)]
                 s = np.flatnonzero(status == 2)
@@ -360,6 +368,7 @@ def marked(rows: DataFrame, method: Method, parts: int) -> DataFrame:
                     a = int(addr[i])
                     out.append((int(ids[a % parts]), a, int(docs[i]), None, _packed_marks(x, y), None))
                 yield _batch(SENT, out)
+        yield _batch(SENT, told_once(proofs))
 
     def settle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[int, tuple[list, list]] = {}
@@ -371,7 +380,8 @@ def marked(rows: DataFrame, method: Method, parts: int) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([passed.column(1), passed.column(2), passed.column(4)], ["row", "id", "marks"])
             for i in np.flatnonzero(own).tolist():
                 if batch.column(3)[i].as_py() is None:
-                    proofs.append(np.frombuffer(batch.column(4)[i].as_py(), np.uint64).reshape(-1, 2))
+                    tags, digests = np.frombuffer(batch.column(4)[i].as_py(), np.uint64), np.frombuffer(batch.column(5)[i].as_py(), np.uint32)
+                    proofs.append(np.stack([tags, digests.astype(np.uint64)], 1))
                     continue
                 head = np.frombuffer(batch.column(4)[i].as_py(), np.int64).reshape(5, -1)
                 body, x, y = batch.column(5)[i].as_py(), 0, 0
