@@ -15,7 +15,7 @@ hash. A shard holds the documents that share such a shingle.
 2. Representatives learn which of their leading shingles others have as well.
 3. Two linking rounds: points visit one shard each, the trees name each point's
    likeliest partners, their texts are compared, and components form. Hot shards
-   are salted; the second round has one representative per component.
+   are salted; the second round has one representative per component and less salt.
 4. Exact rest: for shingles that still meet several components, points go to the
    shingle's shard and the trees list all pairs between components, which are
    verified. Hot shards are dealt in pairs of blocks. So no link is lost.
@@ -24,7 +24,8 @@ Texts move only where a pair has to be verified, once per shard.
 
 Null and empty texts have no shingles, link with nothing and are their own
 component. Shorter texts than an n-gram count as one shingle. Repeated rows have
-equal sets. Ids must be integers. An empty table gives no rows.
+equal sets. Ids must be integers. An empty table gives no rows. Other columns may have
+any names; they take no part. Shingles are told apart by 64-bit hashes.
 """
 
 from __future__ import annotations
@@ -330,9 +331,10 @@ def near_pairs(sizes: list[int], pts: list[bytes], percent: int) -> Iterator[tup
 CALLED = "shard long, cell long, sig long, comp long"
 
 
-def likely_members(members: DataFrame, hot, percent: int, parts: int, salted: bool, order: int) -> DataFrame:
+def likely_members(members: DataFrame, hot, percent: int, parts: int, order: int) -> DataFrame:
     """Members (CALLED) to verify first: each visits the shard of its smallest shared shingle under an order, and is called if the
-    bound with another one is high enough. Misses links; the exact rest follows."""
+    bound with another one is high enough. Shards of frequent shingles are salted, less so in later orders, and so bounded. Misses
+    links; the exact rest follows."""
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -341,7 +343,7 @@ def likely_members(members: DataFrame, hot, percent: int, parts: int, salted: bo
                 k = np.frombuffer(keys.as_py(), np.uint64)
                 s = int(k[np.argmin(common.mix(k ^ np.uint64(order * 7919)))])
                 n = int(hot.value.count(np.array([s], np.uint64))[0])
-                salt = sig % (n // 1024 + 1) if salted else 0
+                salt = sig % (n // (1024 << 4 * order) + 1)
                 shard.append(int(common.mix(np.array([(s + salt * 0x9E3779B97F4A7C15) % (1 << 64)], np.uint64)).view(np.int64)[0]))
             yield pa.RecordBatch.from_arrays([pa.array(shard, pa.int64()), batch.column(0), batch.column(2), batch.column(4)], ["shard", "sig", "n", "point"])
 
@@ -572,6 +574,11 @@ def join_sets(docs: DataFrame, size: int = 5, percent: int = 80, id_col: str = "
 
 def joined(docs: DataFrame, size: int, percent: int, id_col: str, text_col: str) -> DataFrame:
     """(row, id, n, comp) of every row: its number of shingles, and its component by a signature. Rows without shingles are not joined."""
+    with common.passing() as keep:
+        return _joined(docs, size, percent, id_col, text_col, keep)
+
+
+def _joined(docs: DataFrame, size: int, percent: int, id_col: str, text_col: str, keep) -> DataFrame:
     spark = docs.sparkSession
     parts = common.partitions(spark)
     ids = 4 * parts
@@ -593,11 +600,11 @@ def joined(docs: DataFrame, size: int, percent: int, id_col: str, text_col: str)
 
     made = text.join(chosen, "row").select("sig", "row", "text", "parts").mapInArrow(common.tidy(to_member), "sig long, row long, n long, keys binary, point binary")
     members = common.table(made.dropDuplicates(["sig"]))  # repeated rows bring a set twice
-    links = common.table(verify(common.table(likely_members(members, hot, percent, parts, True, 0)), members, rows, size, percent))
+    links = common.table(verify(common.table(likely_members(members, hot, percent, parts, 0)), members, rows, size, percent))
     comps = common.table(components(links))
-    # what the salt or the order split: a point per component visits another shard, unsalted
+    # what the salt or the order split: a point per component visits another shard, of less salt
     heads = members.join(comps.filter("node <> component"), members["sig"] == comps["node"], "left_anti")
-    more = common.table(verify(common.table(likely_members(heads, hot, percent, parts, False, 1)), members, rows, size, percent))
+    more = common.table(verify(common.table(likely_members(heads, hot, percent, parts, 1)), members, rows, size, percent))
     links = common.table(links.unionByName(more))
     comps = common.table(components(links))
     labelled = members.join(comps, members["sig"] == comps["node"], "left").select("sig", F.coalesce("component", "sig").alias("comp"), "keys", "n", "point")
@@ -621,7 +628,8 @@ def joined(docs: DataFrame, size: int, percent: int, id_col: str, text_col: str)
     called = common.table(rest_members(common.table(still), percent, parts))
     last = common.table(verify(called, members, rows, size, percent))
     final = comps if last.isEmpty() else common.table(components(links.unionByName(last)))
-    return all_rows.join(final, all_rows["sig"] == final["node"], "left").select("row", "id", "n", F.coalesce("component", "sig").alias("comp"))
+    keep(final)
+    return keep(all_rows).join(final, all_rows["sig"] == final["node"], "left").select("row", "id", "n", F.coalesce("component", "sig").alias("comp"))
 
 
 def keep_one(docs: DataFrame, size: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -2,6 +2,7 @@ import random
 import re
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from parcelyard.llm import common, jaccard_join as J
@@ -85,6 +86,28 @@ def test_exact_rest_links_by_frequent_shingles_alone(spark, monkeypatch):
     assert run(spark, texts) == want
 
 
+@pytest.mark.parametrize("alone", [False, True])
+def test_texts_of_shared_paragraphs(spark, monkeypatch, alone):
+    """Texts of 12 of 24 paragraphs, so that every paragraph is in half of them; those of 11 equal paragraphs are linked or not by a
+    few words. Whole, and by the exact rest alone."""
+    if alone:
+        monkeypatch.setattr(J, "likely_members", lambda members, *a: members.sparkSession.createDataFrame([], J.CALLED))
+    rng = random.Random(8)
+    para = [" ".join(f"p{k}w{i}" for i in range(40)) for k in range(24)]
+    texts = {}
+    while len(texts) < 400:
+        own = sorted(rng.sample(range(24), 12))
+        parts = [para[k] for k in own]
+        texts[len(texts)] = " sep ".join(parts)
+        if rng.random() < 0.25:  # a copy with one paragraph changed
+            at = rng.randrange(12)
+            words = [f"n{len(texts)}w{i}" for i in range(rng.choice([5, 40, 70]))]
+            texts[len(texts)] = " sep ".join([*parts[:at], " ".join(words), *parts[at + 1 :]])
+    want = brute(texts)
+    assert 250 < len(set(want.values())) < 400
+    assert run(spark, texts) == want
+
+
 def test_edges(spark, tricky, nothing):
     rows = J.join_sets(tricky).collect()
     assert len(rows) == 11
