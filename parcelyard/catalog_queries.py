@@ -6,13 +6,17 @@ size in bytes, and an alignment.
 
 from __future__ import annotations
 
+import os
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import schema as S
 from .functions import codecs, crypto, dds, ids, meta
 from .operators import catalog, chunks, layout, ordered
-from .session import shared_table
+from .plans import packages
+from .session import shared_dir, shared_table
+from .sources import archive_format
 
 CHUNK = 4096  # small, so that test documents have several chunks
 
@@ -346,12 +350,114 @@ def mip_split(spark, sf_dir):
     return t.withColumn("new", out).select("path", "plan.*", F.col("new.tail_size").alias("tail_size"), F.sha2("new.content", 256).alias("sha"))
 
 
+def path_rank(spark, sf_dir):
+    """Places in path order (G1), without one task that sorts all."""
+    return ordered.running(assets(spark, sf_dir), ordered.by_path(), {"rank": F.lit(1)}, inclusive=True).select("path", F.col("rank").cast("long").alias("rank"))
+
+
+def id_rank(spark, sf_dir):
+    return ordered.running(assets(spark, sf_dir), [F.col("doc_id")], {"rank": F.lit(1)}, inclusive=True).select("doc_id", F.col("rank").cast("long").alias("rank"))
+
+
+def offset_rank(spark, sf_dir):
+    return ordered.running(placed(spark, sf_dir), [F.col("data_offset"), F.col("path")], {"rank": F.lit(1)}, inclusive=True).select("path", F.col("rank").cast("long").alias("rank"))
+
+
+def encode_texture(spark, sf_dir):
+    i = F.col("doc_id")
+    m1, m2 = meta.encode_texture(i * 37, i * 11 + 1, i % 300, F.col("size") * 1013)
+    return assets(spark, sf_dir).select("path", m1.alias("meta1"), m2.alias("meta2"))
+
+
+def size_text(spark, sf_dir):
+    return assets(spark, sf_dir).select("path", meta.size_label(F.col("size") * 1013).alias("label"))
+
+
+def method_text(spark, sf_dir):
+    t = toc(spark, sf_dir).withColumn("percent", (F.col("doc_id") % 2001) / 16)
+    return t.select("path", meta.method_label(F.lit(False), meta.method_name(F.col("flags")), F.col("doc_id") % 3 == 0, F.col("percent")).alias("label"))
+
+
+def keyed(spark, sf_dir):
+    return catalog.to_map(assets(spark, sf_dir), "path").select("path", "size")
+
+
+def content_hash_known(spark, sf_dir):
+    """Published XXH64 values, seed 0."""
+    rows = spark.createDataFrame([("",), ("a",), ("abc",), ("Nobody inspects the spammish repetition",)], "word string")
+    return rows.select("word", F.lower(F.lpad(F.hex(ids.content_hash(F.col("word").cast("binary"))), 16, "0")).alias("hash"))
+
+
+def mip_plan(spark, sf_dir):
+    t = _textures(spark, sf_dir).withColumn("plan", dds.split_plan(F.col("content")))
+    return t.select("path", "plan.*", dds.split_rewrite(F.col("content"), F.col("plan"))["tail_size"].alias("tail_size"))
+
+
+def level_limits(spark, sf_dir):
+    rows = [(m, n) for m, n in meta.MAX_LEVEL.items()]
+    return spark.createDataFrame(rows, "method string, max_level long")
+
+
+def _files(spark, sf_dir):
+    return assets(spark, sf_dir, "text").select("path", F.col("text").cast("binary").alias("content"))
+
+
+def _package(spark, sf_dir, method="Auto", passphrase=None) -> packages.Package:
+    path = shared_dir(spark)
+    packages.pack(_files(spark, sf_dir), path, method, 1, passphrase=passphrase, chunk=CHUNK)
+    return packages.Package(spark, path, passphrase)
+
+
+def package_contents(spark, sf_dir):
+    return _package(spark, sf_dir).contents().select("path", F.sha2("content", 256).alias("sha"), F.octet_length("content").cast("long").alias("size"))
+
+
+def package_sealed(spark, sf_dir):
+    return _package(spark, sf_dir, "Zstd", "secret words").contents().select("path", F.sha2("content", 256).alias("sha"), F.octet_length("content").cast("long").alias("size"))
+
+
+def package_chunks(spark, sf_dir):
+    """Chunk tables as stored without compression, where they follow from the sizes (A5)."""
+    p = _package(spark, sf_dir, "Store")
+    return p.chunk_table().join(p.names, "asset_id").select("path", F.col("chunk_idx").cast("int").alias("chunk_idx"), F.col("original_size").cast("long").alias("chunk_size"))
+
+
+def package_verified(spark, sf_dir):
+    return spark.createDataFrame([(_package(spark, sf_dir).all_ok(),)], "ok boolean")
+
+
+def _archive(spark, sf_dir, passphrase=None):
+    """A package as archive files, and their table of contents read back by rows."""
+    p = _package(spark, sf_dir, "Zstd", passphrase)
+    folder = shared_dir(spark).removeprefix("file://")
+    os.makedirs(folder)
+    table, data = f"{folder}/a.gtoc", f"{folder}/a.gdat"
+    archive_format.write_archive(p, table, data)
+    archive_format.register(spark)
+    return spark.read.format("parcel_toc").option("rowsPerPartition", "500").load(table), table, data
+
+
+def _archived(passphrase):
+    def query(spark, sf_dir):
+        rows, table, data = _archive(spark, sf_dir, passphrase)
+        found = archive_format.read_contents(rows, table, data, passphrase).join(archive_format.read_names(spark, table), "asset_id")
+        return found.select("path", F.sha2("content", 256).alias("sha"), F.octet_length("content").cast("long").alias("size"))
+
+    return query
+
+
+def archive_toc(spark, sf_dir):
+    rows, table, _ = _archive(spark, sf_dir)
+    return rows.join(archive_format.read_names(spark, table), "asset_id").select("path", "original_size", F.col("chunk_count").cast("long").alias("chunk_count"))
+
+
 QUERIES = {f.__name__: f for f in (
     layout_offsets, shared_offsets, toc_pointer, chunk_sizes, chunk_offsets, chunk_at_position, batch_rebase, nested_sum, encode_flags, decode_flags, choose_method, texture_info, ratio,
     display_info, size_label, method_label, block_map, list_label, search, suffix, gdeflate_only, misaligned, misaligned_count, exists, lookup, id_to_name, package_summary, matched_paths,
     overlay, loose_override, source_of, patch, method_totals, name_bytes, dedup_groups, first_of_hash, distinct_first, gap, slack, take_while, preview, listing, pending_files, bytes_read,
     path_helpers, derive_key, encrypted_table, verify_chunks, asset_id, content_hash64, dds_header, mip_split,
-)} | {"roundtrip_zstd": _roundtrip(S.ZSTD, 3), "roundtrip_lz4": _roundtrip(S.LZ4, 9), "roundtrip_store": _roundtrip(S.STORE, 1)}
+    path_rank, id_rank, offset_rank, encode_texture, size_text, method_text, keyed, content_hash_known, mip_plan, level_limits, package_contents, package_sealed, package_chunks, package_verified, archive_toc,
+)} | {"archive_contents": _archived(None), "archive_sealed": _archived("secret words")} | {"roundtrip_zstd": _roundtrip(S.ZSTD, 3), "roundtrip_lz4": _roundtrip(S.LZ4, 9), "roundtrip_store": _roundtrip(S.STORE, 1)}
 
 _CS = f"select path, size, unnest(range(greatest(1, cast(ceil(size / {CHUNK}.0) as bigint)))) as i from a"
 _CHUNKS = f"a as ({DUCK_A}), c as (select path, cast(i as int) as chunk_idx, cast(least({CHUNK}, size - i * {CHUNK}) as bigint) as chunk_size from ({_CS}))"
@@ -412,4 +518,27 @@ ORACLE_SQL = {
     "encrypted_table": "select path, concat(" + ", ".join(f"printf('%02X', ({c} >> {8 * b}) & 255)" for c in ("size", "doc_id") for b in range(4)) + f") as chunk_table from ({DUCK_A})",
     "dds_header": f"select path, cast(2 * power(2, doc_id % 10) as int) as width, cast(4 * power(2, doc_id % 9) as int) as height, cast(greatest(1, doc_id % 12) as int) as mip_count, cast(case doc_id % 3 when 0 then {dds.FOURCC_DXT1} when 1 then {dds.FOURCC_DX10} else {0x35545844} end as bigint) as four_cc from ({DUCK_A})",
     "verify_chunks": f"select path, true as ok, greatest(1, cast(ceil(size / {CHUNK}.0) as bigint)) as chunks from ({DUCK_A})",
+    "path_rank": f"with a as ({DUCK_A}) select path, row_number() over (order by upper(path), path) as rank from a",
+    "id_rank": f"with a as ({DUCK_A}) select doc_id, row_number() over (order by doc_id) as rank from a",
+    "offset_rank": f"with {DUCK_PLACED} select path, row_number() over (order by data_offset, path) as rank from placed",
+    "encode_texture": f"select path, cast((((doc_id * 37) & 65535) << 16) | ((doc_id * 11 + 1) & 65535) as bigint) as meta1, cast((((doc_id % 300) & 255) << 24) | ((size * 1013) & 16777215) as bigint) as meta2 from ({DUCK_A})",
+    "size_text": f"select path, case when size * 1013 < 1024 then concat((size * 1013)::varchar, ' B') else printf('%.2f MB', size * 1013 / 1048576.0::double) end as label from ({DUCK_A})",
+    "method_text": f"select path, concat({_NAMES}, case when doc_id % 3 = 0 then ' [Enc]' else '' end, ' (', cast(round((doc_id % 2001) / 16) as bigint)::varchar, '%)') as label from ({DUCK_TOC})",
+    "keyed": f"select path, size from ({DUCK_A})",
+    "content_hash_known": "select * from (values ('', 'ef46db3751d8e999'), ('a', 'd24ec4f1a98c6e5b'), ('abc', '44bc2cf5ad770999'), ('Nobody inspects the spammish repetition', 'fbcea83c8a378bf1')) as t(word, hash)",
+    "mip_plan": f"""with t as (select path, cast(2 * power(2, doc_id % 10) as bigint) as w, cast(4 * power(2, doc_id % 9) as bigint) as h, greatest(1, doc_id % 12) as mips, case when doc_id % 3 = 1 then 148 else 128 end as head,
+  case when doc_id % 3 = 0 then 8 else 16 end as block, 128 + 8 * ((doc_id % 50) * 400 + 100) as n from ({DUCK_A})),
+l as (select *, unnest(range(mips)) as i from t), s as (select *, greatest(1, w >> i) as wi, greatest(1, h >> i) as hi from l),
+c as (select path, min(i) filter (wi <= 128 and hi <= 128) as cut from s group by path),
+o as (select s.path, c.cut, any_value(head) + coalesce(sum(((wi + 3) // 4) * ((hi + 3) // 4) * block) filter (s.i < c.cut), 0) as off, any_value(wi) filter (s.i = c.cut) as cw, any_value(hi) filter (s.i = c.cut) as ch from s join c using (path) group by s.path, c.cut),
+v as (select t.*, o.*, (w > 128 or h > 128) and cut is not null and off < n as ok from t join o on t.path = o.path)
+select path, case when ok then head::bigint end as header_size, case when ok then off::bigint end as split_offset, case when ok then cut::int end as cut, case when ok then cw::int end as width, case when ok then ch::int end as height, case when ok then (mips - cut)::int end as mips, (case when ok then head + n - off else n end)::bigint as tail_size from v""",
+    "level_limits": "select * from (values ('Zstd', 22::bigint), ('LZ4', 12), ('GDeflate', 12), ('Auto', 12), ('Store', 1)) as t(method, max_level)",
+    "package_contents": _ROUND,
+    "package_sealed": _ROUND,
+    "package_chunks": f"with {_CHUNKS} select path, chunk_idx, chunk_size from c",
+    "package_verified": "select true as ok",
+    "archive_contents": _ROUND,
+    "archive_sealed": _ROUND,
+    "archive_toc": f"select path, size as original_size, greatest(1, cast(ceil(size / {CHUNK}.0) as bigint)) as chunk_count from ({DUCK_A})",
 }

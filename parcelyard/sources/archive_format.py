@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 from .. import schema as S
-from ..functions import codecs
+from ..functions import codecs, crypto
 from ..operators import ordered
 
 _HEAD = struct.Struct("<iiiiqq")
@@ -107,19 +107,28 @@ def read_names(spark: SparkSession, path: str) -> DataFrame:
     return spark.createDataFrame(list(rows()), S.NAMES)
 
 
-def read_contents(toc: DataFrame, table_path: str, data_path: str) -> DataFrame:
-    """(asset_id, content): each entry's chunks read by range and decoded. Encrypted tables are read through packages instead."""
+def read_contents(toc: DataFrame, table_path: str, data_path: str, passphrase: str | None = None) -> DataFrame:
+    """(asset_id, content): each entry's chunks read by range and decoded. Encrypted chunk tables need the passphrase."""
 
-    def one(batches):
+    def tables(batches):
+        import pyarrow as pa
+
+        for batch in batches:
+            rows = batch.to_pylist()
+            more = [28 if r["flags"] & S.FLAG_ENCRYPTED else 0 for r in rows]
+            if any(more) and passphrase is None:
+                raise ValueError("the chunk table is encrypted; a key is needed")
+            got = [read_range(table_path, r["chunk_table_offset"], 8 * r["chunk_count"] + n) for r, n in zip(rows, more, strict=True)]
+            yield pa.RecordBatch.from_arrays([pa.array([r[c] for r in rows], t) for c, t in (("asset_id", pa.string()), ("data_offset", pa.int64()), ("flags", pa.int64()))] + [pa.array(got, pa.binary())], ["asset_id", "data_offset", "flags", "chunk_table"])
+
+    def contents(batches):
         import pyarrow as pa
 
         for batch in batches:
             rows = batch.to_pylist()
             out = []
             for r in rows:
-                if r["flags"] & S.FLAG_ENCRYPTED:
-                    raise ValueError("the chunk table is encrypted; a key is needed")
-                table = struct.unpack(f"<{2 * r['chunk_count']}I", read_range(table_path, r["chunk_table_offset"], 8 * r["chunk_count"]))
+                table = struct.unpack(f"<{len(r['chunk_table']) // 4}I", r["chunk_table"])
                 at, parts = r["data_offset"], []
                 for comp, orig in zip(table[::2], table[1::2], strict=True):
                     parts.append(codecs.decompress_bytes(read_range(data_path, at, comp), orig, (r["flags"] & S.METHOD_MASK) >> S.METHOD_SHIFT))
@@ -127,7 +136,11 @@ def read_contents(toc: DataFrame, table_path: str, data_path: str) -> DataFrame:
                 out.append(b"".join(parts))
             yield pa.RecordBatch.from_arrays([pa.array([r["asset_id"] for r in rows], pa.string()), pa.array(out, pa.binary())], ["asset_id", "content"])
 
-    return toc.mapInArrow(one, "asset_id string, content binary")
+    found = toc.select("asset_id", "data_offset", "chunk_table_offset", "flags", "chunk_count").mapInArrow(tables, "asset_id string, data_offset long, flags long, chunk_table binary")
+    if passphrase is not None:
+        plain = crypto.decrypt_table(F.col("chunk_table"), crypto.derive_key(F.lit(passphrase)))
+        found = found.withColumn("chunk_table", F.when(F.col("flags").bitwiseAND(S.FLAG_ENCRYPTED) != 0, plain).otherwise(F.col("chunk_table")))
+    return found.mapInArrow(contents, "asset_id string, content binary")
 
 
 def write_archive(package, table_path: str, data_path: str) -> None:
