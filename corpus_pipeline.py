@@ -8,7 +8,7 @@ Null and empty texts are scored like others and go or stay by their score; they
 have no near duplicates, no benchmark passages and no secrets, and pack as an end
 marker alone. Rows with a null id stay unless a stage's rule drops their text. Of
 equal rows the near-duplicate stage keeps one, but for texts without words, which
-all stay. An empty table gives an empty result of the same columns.
+all stay. An empty table gives an empty result.
 """
 
 from __future__ import annotations
