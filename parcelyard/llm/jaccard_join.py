@@ -539,8 +539,25 @@ def link_members(sigs: list[int], comps: list[int], sets: list[np.ndarray], perc
     return out
 
 
+def stars(links: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """Links that connect the same nodes, each of which leads to the smallest node it reaches."""
+    up: dict[int, int] = {}
+
+    def root(x: int) -> int:
+        while up.setdefault(x, x) != x:
+            up[x] = up[up[x]]
+            x = up[x]
+        return x
+
+    for a, b in links:
+        a, b = root(a), root(b)
+        up[max(a, b)] = min(a, b)
+    return [(x, root(x)) for x in up if root(x) != x]
+
+
 def verify(called: DataFrame, members: DataFrame, rows: DataFrame, size: int, percent: int) -> DataFrame:
-    """Links (a, b) among the members called in each cell of a shard. A text goes once to each cell; cells are bounded by BLOCK."""
+    """Links (a, b) that connect the members called in each cell of a shard as the verified pairs do, as stars, so that few rounds are
+    left for the components. A text goes once to each cell; cells are bounded by BLOCK."""
     wanted = called.distinct().join(members.select("sig", "row"), "sig")
     moved = rows.select("row", "text").join(wanted, "row").select("shard", "cell", "sig", "comp", "text")
 
@@ -555,11 +572,16 @@ def verify(called: DataFrame, members: DataFrame, rows: DataFrame, size: int, pe
                         sigs.append(s)
                         comps.append(c)
                         sets.append(h[a:b].copy())
-        return pa.Table.from_batches([_links(link_members(sigs, comps, sets, percent) if len(sigs) > 1 else [])])
+        return pa.Table.from_batches([_links(stars(link_members(sigs, comps, sets, percent)) if len(sigs) > 1 else [])])
 
     return moved.groupBy("shard", "cell").applyInArrow(run, "a long, b long")
 
 
+def _with_more(comps: DataFrame, links: DataFrame) -> DataFrame:
+    """Links of known components, as stars, and further ones."""
+    return comps.filter("node <> component").select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(links)
+
+
 def join_sets(docs: DataFrame, size: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(row, id, n_shingles, component_id) of every row; ``row`` is a hash of id and text.
 
@@ -605,8 +627,7 @@ def _joined(docs: DataFrame, size: int, percent: int, id_col: str, text_col: str
     # what the salt or the order split: a point per component visits another shard, of less salt
     heads = members.join(comps.filter("node <> component"), members["sig"] == comps["node"], "left_anti")
     more = common.table(verify(common.table(likely_members(heads, hot, percent, parts, 1)), members, rows, size, percent))
-    links = common.table(links.unionByName(more))
-    comps = common.table(components(links))
+    comps = common.table(components(_with_more(comps, more)))
     labelled = members.join(comps, members["sig"] == comps["node"], "left").select("sig", F.coalesce("component", "sig").alias("comp"), "keys", "n", "point")
     opened = common.table(open_keys(labelled.select("sig", "comp", "keys"), hot, parts))
     # as bounded in number as the frequent shingles themselves
@@ -627,7 +648,7 @@ def _joined(docs: DataFrame, size: int, percent: int, id_col: str, text_col: str
     still = still.mapInArrow(common.tidy(keep_open), "sig long, comp long, n long, point binary, shards binary").filter(F.octet_length("shards") > 0)
     called = common.table(rest_members(common.table(still), percent, parts))
     last = common.table(verify(called, members, rows, size, percent))
-    final = comps if last.isEmpty() else common.table(components(links.unionByName(last)))
+    final = comps if last.isEmpty() else common.table(components(_with_more(comps, last)))
     keep(final)
     return keep(all_rows).join(final, all_rows["sig"] == final["node"], "left").select("row", "id", "n", F.coalesce("component", "sig").alias("comp"))
 

@@ -182,3 +182,15 @@ def test_even_ids_match_spark(spark):
 def test_shared_tables_survive(spark):
     t = common.table(spark.range(5))
     assert t.count() == 5 and common.shared_dir(spark) != common.shared_dir(spark)
+
+
+def test_stars():
+    rng = random.Random(5)
+    links = [(rng.randrange(-60, 60), rng.randrange(-60, 60)) for _ in range(70)] + [(7, 7)]
+    got = J.stars(links)
+    root = {x: x for pair in links for x in pair}
+    for _ in range(len(root)):
+        for a, b in links:
+            root[a] = root[b] = min(root[a], root[b])
+    assert sorted(got) == sorted((x, r) for x, r in root.items() if x != r)
+    assert J.stars([]) == []
