@@ -10,7 +10,8 @@ Folds come from crc32 of the id as text modulo 3: 0 fits the ridge, 2
 calibrates, 1 is held out and never read for its labels. A score is a function
 of the text alone. Null and empty texts have zero statistics and get a score.
 Labels other than 0 and 1 or without an id are not used. With no usable labels
-every score is 0.5. Repeated rows each get their row.
+every score is 0.5. Repeated rows each get their row. Empty documents give no
+rows. Other columns take no part in a score, whatever their names.
 """
 
 from __future__ import annotations

@@ -11,8 +11,9 @@ Among certified cutoffs, the one that rejects most bad documents for its good
 ones wins; without one, the stratum has no such rule.
 
 Counts are pre-aggregated to stratum, rule and candidate before they are
-gathered, so what a task holds is fixed by the grids. Null languages form a
-stratum of their own; documents of strata without labels meet base rules only.
+gathered, so what a task holds is fixed by the grids. Null and empty
+languages form one stratum; documents of strata without labels meet base rules
+only. Empty documents give no rows. Columns other than the three named take no part.
 Labels with a null id or quality are not used; a document with several labels
 counts once each. Null and empty texts fail the base rules.
 """
