@@ -9,16 +9,20 @@ corner leaves too small a bound; surviving pairs are verified on the sets.
 The tree is sharded so that no pair with enough overlap is missed: in a fixed
 order of all shingles, two sets with Jaccard t or more share one of their first
 n - ceil(t n) + 1 shingles. The order puts frequent shingles last, then goes by
-hash. A shard holds the documents that share such a shingle.
+hash. A shard holds the documents that share such a shingle. With k - 1 shingles
+more at the front they share k of them; unrelated texts share one by chance, the
+more often the larger the table is, but hardly ever k.
 
 1. Equal sets collapse to one representative each.
-2. Representatives learn which of their leading shingles others have as well.
+2. Representatives learn which of their leading shingles others have as well;
+   those that share fewer than k are done.
 3. Two linking rounds: points visit one shard each, the trees name each point's
    likeliest partners, their texts are compared, and components form. Hot shards
    are salted; the second round has one representative per component and less salt.
-4. Exact rest: for shingles that still meet several components, points go to the
-   shingle's shard and the trees list all pairs between components, which are
-   verified. Hot shards are dealt in pairs of blocks. So no link is lost.
+4. Exact rest: of the shingles that still meet several components, those of few
+   components count only for pairs of components that share k of them; points go
+   to the shards of what is left and the trees list all pairs between components,
+   which are verified. Hot shards are dealt in pairs of blocks. So no link is lost.
 
 Texts move only where a pair has to be verified, once per shard.
 
@@ -54,6 +58,12 @@ BLOCK = 4096
 #: A shingle is frequent if this part of all rows has it (and at least HOT_LEAST rows); so there are at most HOT_PART times the mean set size of them.
 HOT_PART = 1024
 HOT_LEAST = 64
+#: Leading shingles that linked sets are sure to share, where the similarity allows it.
+MEET = 4
+#: A shingle of at most so many components counts for each pair of them; one of more opens a shard for all.
+PAIRED = 64
+#: Pairs of components that a task holds before it hands them on.
+PAIRS = 1 << 18
 
 
 def need(n: np.ndarray, m: np.ndarray, percent: int) -> np.ndarray:
@@ -62,9 +72,15 @@ def need(n: np.ndarray, m: np.ndarray, percent: int) -> np.ndarray:
     return -(-total // (100 + percent))
 
 
+def meet(percent: int) -> int:
+    """How many leading shingles linked sets share: MEET, or the least overlap that two different linked sets can have if that is less."""
+    return min(MEET, -(-percent // (100 - percent))) if percent < 100 else MEET
+
+
 def leading(n: np.ndarray, percent: int) -> np.ndarray:
-    """How many first shingles of a set of n must be looked at."""
-    return n - -(-n * percent // 100) + 1
+    """How many first shingles of a set of n must be looked at, so that linked sets share ``meet`` of them."""
+    k = meet(percent)
+    return n - np.maximum(-(-n * percent // 100), k) + k
 
 
 def shingles(col: pa.Array, size: int) -> tuple[np.ndarray, np.ndarray]:
@@ -378,18 +394,22 @@ def _links(pairs: list[tuple[int, int]]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array([p[0] for p in pairs], pa.int64()), pa.array([p[1] for p in pairs], pa.int64())], ["a", "b"])
 
 
-GROUPED = "bucket int, keys binary, comps binary"
+GROUPED = "bucket int, keys binary, comps binary, low binary, high binary"
+SETTLED = "bucket int, row long, keys binary, shards binary, a binary, b binary"
 OPEN = "row long, keys binary, shards binary"
 
 
-def open_keys(members: DataFrame, hot, parts: int) -> DataFrame:
-    """(row: component, keys, shards): shingles that it shares with other components, from (sig, comp, keys).
+def open_keys(members: DataFrame, hot, percent: int, parts: int) -> DataFrame:
+    """(row: component, keys, shards): shingles that it shares with other components, from (sig, comp, keys, n).
 
     Shingles shared by the same components form one shard, however many they are: near copies share most of their leading
-    shingles. Frequent shingles are told by their smallest and largest component alone, which is enough to know whether several
+    shingles. Where at most PAIRED components have a shingle, it counts for those pairs of them whose sizes allow a link, and opens
+    a shard for the pairs that share ``meet`` such shingles; linked sets that share fewer of those share one that more have.
+    Frequent shingles are told by their smallest and largest component alone, which is enough to know whether several
     components have them; those that several have come in rows without component and are shards of their own for all their holders.
     """
     ids = repeats.even_ids(parts)
+    least = meet(percent)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -397,47 +417,94 @@ def open_keys(members: DataFrame, hot, parts: int) -> DataFrame:
             n = np.array([len(x) for x in lists], np.int64)
             if not n.sum():
                 continue
-            key, comp = np.concatenate(lists), np.repeat(batch.column(1).to_numpy(), n)
-            order = np.lexsort((comp, key))
-            key, comp = key[order], comp[order]
-            new = repeats._first_of(key)
-            new[1:] |= comp[1:] != comp[:-1]
-            key, comp = key[new], comp[new]
+            size = np.repeat(batch.column(3).to_numpy(), n)
+            key, comp, low, high = _ranges(np.concatenate(lists), np.repeat(batch.column(1).to_numpy(), n), size, size)
             start = repeats._first_of(key)
             told = (hot.value.count(key) == 0) | start | np.append(start[1:], True)
-            key, comp = key[told], comp[told]
-            yield repeats._batch(GROUPED, [(int(ids[p]), k.tobytes(), c.tobytes()) for p, k, c in repeats._by((key % np.uint64(parts)).astype(np.int64), key, comp)])
+            key, comp, low, high = key[told], comp[told], low[told], high[told]
+            yield repeats._batch(GROUPED, [(int(ids[p]), *[x.tobytes() for x in own]) for p, *own in repeats._by((key % np.uint64(parts)).astype(np.int64), key, comp, low, high)])
 
     def settle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        got: list[list] = [[], []]
+        got: list[list] = [[], [], [], []]
         for batch in batches:
-            for x, y in zip(batch.column(1), batch.column(2), strict=True):
-                got[0].append(np.frombuffer(x.as_py(), np.uint64))
-                got[1].append(np.frombuffer(y.as_py(), np.int64))
+            for column, kind, to in zip(batch.columns[1:], (np.uint64, np.int64, np.int64, np.int64), got, strict=True):
+                to += [np.frombuffer(x.as_py(), kind) for x in column]
         if not got[0]:
             return
-        key, comp = (np.concatenate(x) for x in got)
-        order = np.lexsort((comp, key))
-        key, comp = key[order], comp[order]
-        new = np.ones(len(key), bool)
-        new[1:] = (key[1:] != key[:-1]) | (comp[1:] != comp[:-1])
-        key, comp = key[new], comp[new]
+        key, comp, low, high = _ranges(*[np.concatenate(x) for x in got])
         heads = np.flatnonzero(repeats._first_of(key))
         n = np.diff(np.append(heads, len(key)))
         shard = common.mix(np.add.reduceat(common.mix(comp.view(np.uint64)), heads) + n.astype(np.uint64))
         often = hot.value.count(key[heads]) > 0
-        many = np.repeat((n > 1) & ~often, n)
-        shard = np.repeat(shard, n)
+        many = np.repeat((n > PAIRED) & ~often, n)
         held = key[heads[often & (n > 1)]].tobytes()
-        out: list[tuple] = [(None, held, held)] if held else []
-        for c, k, s in repeats._by(comp[many], key[many], shard[many]):
-            out.append((int(c), k.tobytes(), s.tobytes()))
+        out: list[tuple] = [(0, None, held, held, None, None)] if held else []
+        for c, k, s in repeats._by(comp[many], key[many], np.repeat(shard, n)[many]):
+            out.append((int(ids[c % parts]), int(c), k.tobytes(), s.tobytes(), None, None))
+            if len(out) == 5000:
+                yield repeats._batch(SETTLED, out)
+                out = []
+        yield repeats._batch(SETTLED, out)
+        met: list[tuple] = []
+        for size in range(2, PAIRED + 1):
+            groups = np.flatnonzero((n == size) & ~often)
+            i, j = np.triu_indices(size, 1)
+            step = max(1, PAIRS // len(i))
+            for lo in range(0, len(groups), step):
+                g = groups[lo : lo + step]
+                x, y = (heads[g][:, None] + i).ravel(), (heads[g][:, None] + j).ravel()
+                fit = (high[x] * 100 >= low[y] * percent) & (high[y] * 100 >= low[x] * percent)
+                x, y = x[fit], y[fit]
+                met.append((key[x], np.repeat(shard[g], len(i))[fit], comp[x], comp[y]))
+                if sum(len(m[0]) for m in met) >= PAIRS:
+                    yield dealt(met)
+                    met = []
+        if met:
+            yield dealt(met)
+
+    def dealt(met: list[tuple]) -> pa.RecordBatch:
+        key, shard, a, b = (np.concatenate(x) for x in zip(*met, strict=True))
+        to = (common.mix(a.view(np.uint64) ^ common.mix(b.view(np.uint64))) % np.uint64(parts)).astype(np.int64)
+        return repeats._batch(SETTLED, [(int(ids[p]), None, *[v.tobytes() for v in own]) for p, *own in repeats._by(to, key, shard, a, b)])
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        got: list[list] = [[], [], [], []]
+        for batch in batches:
+            ready = np.asarray(batch.column(4).is_null())
+            passed = batch.filter(pa.array(ready))
+            yield pa.RecordBatch.from_arrays(passed.columns[1:4], ["row", "keys", "shards"])
+            pairs = batch.filter(pa.array(~ready))
+            for column, kind, to in zip(pairs.columns[2:], (np.uint64, np.uint64, np.int64, np.int64), got, strict=True):
+                to += [np.frombuffer(x.as_py(), kind) for x in column]
+        if not got[0]:
+            return
+        key, shard, a, b = (np.concatenate(x) for x in got)
+        order = np.lexsort((b, a))
+        key, shard, a, b = key[order], shard[order], a[order], b[order]
+        new = repeats._first_of(a) | repeats._first_of(b)
+        times = np.diff(np.append(np.flatnonzero(new), len(a)))
+        enough = np.repeat(times >= least, times)
+        key, shard = np.tile(key[enough], 2), np.tile(shard[enough], 2)
+        comp = np.concatenate([a[enough], b[enough]])
+        out: list[tuple] = []
+        for c, k, s in repeats._by(comp, key, shard):
+            k, once = np.unique(k, return_index=True)
+            out.append((int(c), k.tobytes(), s[once].tobytes()))
             if len(out) == 5000:
                 yield repeats._batch(OPEN, out)
                 out = []
         yield repeats._batch(OPEN, out)
 
-    return members.mapInArrow(common.tidy(run), GROUPED).repartition(parts, "bucket").mapInArrow(common.tidy(settle), OPEN)
+    settled = members.mapInArrow(common.tidy(run), GROUPED).repartition(parts, "bucket").mapInArrow(common.tidy(settle), SETTLED)
+    return settled.repartition(parts, "bucket").mapInArrow(common.tidy(count), OPEN)
+
+
+def _ranges(key: np.ndarray, comp: np.ndarray, low: np.ndarray, high: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Each (key, component) once, in order, with the smallest and the largest size."""
+    order = np.lexsort((comp, key))
+    key, comp, low, high = key[order], comp[order], low[order], high[order]
+    at = np.flatnonzero(repeats._first_of(key) | repeats._first_of(comp))
+    return key[at], comp[at], np.minimum.reduceat(low, at), np.maximum.reduceat(high, at)
 
 
 def rest_members(open_points: DataFrame, percent: int, parts: int) -> DataFrame:
@@ -607,8 +674,8 @@ def _joined(docs: DataFrame, size: int, percent: int, id_col: str, text_col: str
     rows = repeats.addressed(docs, id_col, text_col)
     all_rows = common.table(tables(rows, size))
     hot = spark.sparkContext.broadcast(frequent(all_rows, all_rows.count()))
-    keys = common.table(shared_prefixes(rows, size, percent, hot, ids, parts).groupBy("row").agg(F.collect_list("keys").alias("parts")).select(F.col("row").alias("sig"), "parts"))
-    # one row per set that shares a leading shingle brings its text
+    keys = common.table(shared_prefixes(rows, size, percent, hot, ids, parts).groupBy("row").agg(F.collect_list("keys").alias("parts"), F.sum(F.octet_length("keys")).alias("held")).filter(F.col("held") >= 8 * meet(percent)).select(F.col("row").alias("sig"), "parts"))
+    # one row per set that shares enough leading shingles brings its text
     chosen = all_rows.join(keys, "sig").groupBy("sig").agg(F.min("row").alias("row"), F.first("parts").alias("parts"))
     text = rows.select("row", "text")
 
@@ -629,7 +696,7 @@ def _joined(docs: DataFrame, size: int, percent: int, id_col: str, text_col: str
     more = common.table(verify(common.table(likely_members(heads, hot, percent, parts, 1)), members, rows, size, percent))
     comps = common.table(components(_with_more(comps, more)))
     labelled = members.join(comps, members["sig"] == comps["node"], "left").select("sig", F.coalesce("component", "sig").alias("comp"), "keys", "n", "point")
-    opened = common.table(open_keys(labelled.select("sig", "comp", "keys"), hot, parts))
+    opened = common.table(open_keys(labelled.select("sig", "comp", "keys", "n"), hot, percent, parts))
     # as bounded in number as the frequent shingles themselves
     often = opened.filter("row is null").select("keys").toArrow()["keys"].to_pylist()
     often = spark.sparkContext.broadcast(np.frombuffer(b"".join(often), np.uint64))

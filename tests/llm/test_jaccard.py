@@ -108,6 +108,62 @@ def test_texts_of_shared_paragraphs(spark, monkeypatch, alone):
     assert run(spark, texts) == want
 
 
+def opened(spark, monkeypatch, texts):
+    """The result, and how many sets the exact rest sent to shards."""
+    sent, rest = [], J.rest_members
+
+    def counted(open_points, *a):
+        sent.append(open_points.count())
+        return rest(open_points, *a)
+
+    monkeypatch.setattr(J, "rest_members", counted)
+    return run(spark, texts), sent[0]
+
+
+@pytest.mark.parametrize("planted", [False, True])
+def test_single_shared_shingles_open_no_shards(spark, monkeypatch, planted):
+    """Texts of own words with phrases of five words from a pool: pairs share a leading shingle or two by chance, which sends nobody
+    to the exact rest, without the linking rounds as well; linked texts among them are found."""
+    monkeypatch.setattr(J, "likely_members", lambda members, *a: members.sparkSession.createDataFrame([], J.CALLED))
+    rng = random.Random(9)
+    pool = [" ".join(f"f{k}w{i}" for i in range(5)) for k in range(300)]
+    texts = {}
+    for d in range(0, 400, 2):
+        parts = [f"{pool[k]} own{d}x{i}" for i, k in enumerate(rng.sample(range(300), 12))]
+        texts[d] = " ".join([*parts, *[f"own{d}y{i}" for i in range(40)]])
+        if planted and d % 20 == 0:
+            texts[d + 1] = texts[d].replace(f"own{d}y20", "another")
+    got, sent = opened(spark, monkeypatch, texts)
+    assert got == brute(texts)
+    assert len(set(got.values())) == 200
+    assert sent == (40 if planted else 0)
+
+
+@pytest.mark.parametrize("paired", [1, 2, 64])
+def test_pairs_of_components_lose_no_link(spark, monkeypatch, paired):
+    """Whether a shingle of few components counts for pairs or opens a shard, in small portions, the links are the same."""
+    monkeypatch.setattr(J, "likely_members", lambda members, *a: members.sparkSession.createDataFrame([], J.CALLED))
+    monkeypatch.setattr(J, "PAIRED", paired)
+    monkeypatch.setattr(J, "PAIRS", 50)
+    texts = families(7, 30, 10, words=40, vocab=60)
+    assert run(spark, texts) == brute(texts)
+
+
+def test_linked_sets_share_as_many_leading_shingles_as_said():
+    rng = np.random.default_rng(2)
+    hot = J.Hot(np.zeros(0, np.uint64), np.zeros(0, np.int64))
+    for percent in (50, 66, 80, 90, 100):
+        seen = 0
+        for _ in range(3000):
+            base = np.unique(rng.integers(0, 2**62, rng.integers(1, 30), dtype=np.uint64))
+            x, y = base[rng.random(len(base)) > 0.1], base[rng.random(len(base)) > 0.1]
+            if len(x) and len(y) and len(x) + len(y) > 2 * len(np.intersect1d(x, y)) and J.linked(x, y, percent):
+                a, b = (J.prefix(z, np.array([0, len(z)]), hot, percent)[0] for z in (x, y))
+                assert len(np.intersect1d(a, b)) >= J.meet(percent)
+                seen += 1
+        assert seen > 100 or percent == 100
+
+
 def test_edges(spark, tricky, nothing):
     rows = J.join_sets(tricky).collect()
     assert len(rows) == 11
