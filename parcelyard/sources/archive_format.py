@@ -8,9 +8,10 @@ Data file: payloads at aligned places.
 
 from __future__ import annotations
 
+import os
 import struct
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -18,7 +19,8 @@ from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 from .. import schema as S
 from ..functions import codecs, crypto
-from ..operators import ordered
+from ..operators import chunks, ordered
+from ..session import shared_table
 
 _HEAD = struct.Struct("<iiiiqq")
 _ROW = struct.Struct("<16sqqIIIIIi")
@@ -143,34 +145,99 @@ def read_contents(toc: DataFrame, table_path: str, data_path: str, passphrase: s
     return found.mapInArrow(contents, "asset_id string, content binary")
 
 
+#: Bytes that a writing task holds back for one write, and gaps up to which neighbours go into one write.
+_WRITE_BYTES, _GAP = 1 << 20, S.ALIGN_GPU
+
+
+def _write_at(fd: int, at: int, raw: bytes) -> None:
+    view = memoryview(raw)
+    while view:
+        n = os.pwrite(fd, view, at)
+        at, view = at + n, view[n:]
+
+
+def _put(rows: DataFrame, path: str, record: Callable[[dict], bytes] = lambda r: r["data"]) -> int:
+    """Write each row's bytes at its place ``at`` of a file that is there already; returns the number of rows.
+
+    Tasks hold ranges of places, so each writes its own stretch of the file from start to end, and only counts reach the
+    driver. A repeated task writes the same bytes again.
+    """
+
+    def write(batches: Iterator) -> Iterator:
+        import pyarrow as pa
+
+        fd = os.open(path, os.O_WRONLY)
+        try:
+            start, held = 0, bytearray()
+            for batch in batches:
+                names, done = batch.schema.names, batch.num_rows
+                for i in range(done):
+                    row = {c: batch.column(k)[i].as_py() for k, c in enumerate(names)}
+                    at, raw = row["at"], record(row)
+                    if not raw:
+                        continue
+                    gap = at - start - len(held)
+                    if held and (len(held) >= _WRITE_BYTES or not 0 <= gap <= _GAP):
+                        _write_at(fd, start, held)
+                        held = bytearray()
+                    if held:
+                        held += bytes(gap)
+                    else:
+                        start = at
+                    held += raw
+                del batch
+                yield pa.RecordBatch.from_arrays([pa.array([done], pa.int64())], ["n"])
+            _write_at(fd, start, held)
+        finally:
+            os.close(fd)
+
+    return rows.repartitionByRange("at").sortWithinPartitions("at").mapInArrow(write, "n long").agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+
+
+def _toc_record(r: dict) -> bytes:
+    return _ROW.pack(uuid.UUID(r["asset_id"]).bytes_le, r["data_offset"], r["chunk_table_offset"], r["compressed_size"], r["original_size"], r["flags"], r["meta1"], r["meta2"], r["chunk_count"])
+
+
+def _name_record(r: dict) -> bytes:
+    raw = r["path"].encode()
+    return uuid.UUID(r["asset_id"]).bytes_le + struct.pack("<H", len(raw)) + raw
+
+
+def _table_record(r: dict) -> bytes:
+    return b"".join(struct.pack("<II", c["compressed_size"], c["original_size"]) for c in r["c"])
+
+
 def write_archive(package, table_path: str, data_path: str) -> None:
-    """Write a package as one table file and one data file on a local or mounted disk.
+    """Write a package as one table file and one data file on a disk that the driver and all executors have mounted.
 
-    One file has one writer: rows stream through it in order, never all at once.
+    All places are known before anything is written, so the tasks write to the files themselves, each its own range. The
+    driver writes the header.
     """
     toc = package.toc.join(package.names, "asset_id")
-    n = toc.count()
+    n, longest = toc.agg(F.count("*"), F.coalesce(F.max(F.octet_length("path")), F.lit(0))).first()
+    if longest > 0xFFFF:
+        raise ValueError("a path is longer than its length field")
     names_at = S.HEADER_BYTES + n * S.ROW_BYTES
     with open(table_path, "wb") as f:
         f.write(_HEAD.pack(S.MAGIC, S.VERSION, n, 0, S.HEADER_BYTES, names_at).ljust(S.HEADER_BYTES, b"\0"))
-        for r in toc.orderBy("asset_id").toLocalIterator():
-            f.write(_ROW.pack(uuid.UUID(r["asset_id"]).bytes_le, r["data_offset"], r["chunk_table_offset"], r["compressed_size"], r["original_size"], r["flags"], r["meta1"], r["meta2"], r["chunk_count"]))
-        for r in toc.orderBy("asset_id").select("asset_id", "path").toLocalIterator():
-            raw = r["path"].encode()
-            if len(raw) > 0xFFFF:
-                raise ValueError("a path is longer than its length field")
-            f.write(uuid.UUID(r["asset_id"]).bytes_le + struct.pack("<H", len(raw)) + raw)
-        tables = toc.join(package.spark.read.parquet(f"{package.path}/chunk").groupBy("asset_id").agg(F.array_sort(F.collect_list(F.struct("chunk_idx", "compressed_size", "original_size"))).alias("c")), "asset_id") if not package.sealed else toc
-        for r in tables.orderBy(*ordered.by_path()).toLocalIterator():
-            f.seek(r["chunk_table_offset"])
-            f.write(bytes(r["sealed"]) if package.sealed else b"".join(struct.pack("<II", c["compressed_size"], c["original_size"]) for c in r["c"]))
+    fields = ["asset_id", "data_offset", "chunk_table_offset", "compressed_size", "original_size", "flags", "meta1", "meta2", "chunk_count"]
+    # each entry's rank and the bytes of the names before its own
+    ranked = ordered.running(toc.select(*fields, "path"), [F.col("asset_id")], {"_rank": F.lit(1), "_names": 18 + F.octet_length("path")})
+    ranked = shared_table(ranked)
+    written = [_put(ranked.select((S.HEADER_BYTES + F.col("_rank") * S.ROW_BYTES).cast("long").alias("at"), *fields), table_path, _toc_record)]
+    written.append(_put(ranked.select((names_at + F.col("_names")).cast("long").alias("at"), "asset_id", "path"), table_path, _name_record))
+    at = F.col("chunk_table_offset").alias("at")
+    if package.sealed:
+        written.append(_put(package.toc.select(at, F.col("sealed").alias("data")), table_path))
+    else:
+        sizes = package.spark.read.parquet(f"{package.path}/chunk").groupBy("asset_id").agg(F.array_sort(F.collect_list(F.struct("chunk_idx", "compressed_size", "original_size"))).alias("c"))
+        written.append(_put(package.toc.join(sizes, "asset_id").select(at, "c"), table_path, _table_record))
+    if written != [n] * 3:
+        raise ValueError(f"of {n} entries, {written} rows, names and chunk tables were written")
+    open(data_path, "wb").close()
     blob = package.spark.read.parquet(f"{package.path}/blob")
     place = package.toc.groupBy("blob_id").agg(F.min("data_offset").alias("data_offset"))
-    with open(data_path, "wb") as f:
-        last, at = None, 0
-        for r in blob.join(place, "blob_id").orderBy("data_offset", "blob_id", "chunk_idx").select("blob_id", "data_offset", "data").toLocalIterator():
-            if r["blob_id"] != last:
-                last, at = r["blob_id"], r["data_offset"]
-            f.seek(at)
-            f.write(bytes(r["data"]))
-            at += len(r["data"])
+    # places come from the sizes alone; the data meet them once and need no order for that
+    places = chunks.offsets(blob.select("blob_id", "chunk_idx", F.col("compressed_size").alias("_n")), "blob_id", "_n", "_before").join(place, "blob_id")
+    places = places.select("blob_id", "chunk_idx", (F.col("data_offset") + F.col("_before")).cast("long").alias("at")).hint("shuffle_hash")
+    _put(blob.select("blob_id", "chunk_idx", "data").join(places, ["blob_id", "chunk_idx"]).select("at", "data"), data_path)
