@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import schema as S
-from .functions import codecs, crypto, dds, ids, meta
+from .functions import crypto, dds, ids, meta
 from .operators import catalog, chunks, layout, ordered
 from .plans import packages
 from .session import shared_dir, shared_table
@@ -316,7 +316,7 @@ def encrypted_table(spark, sf_dir):
 
 
 def verify_chunks(spark, sf_dir):
-    s = _stored(spark, sf_dir, S.ZSTD, 3).withColumn("ok", codecs.decodes(F.col("data"), F.col("original_size"), F.lit(S.ZSTD)))
+    s = chunks.decodes(_stored(spark, sf_dir, S.ZSTD, 3), F.lit(S.ZSTD), ["path"])
     return s.groupBy("path").agg(F.bool_and("ok").alias("ok"), F.count("*").alias("chunks"))
 
 

@@ -7,13 +7,18 @@ allows, and compressed ones are refused rather than passed off as another codec.
 
 from __future__ import annotations
 
-import pandas as pd
+import ctypes
+from collections.abc import Callable, Iterator
+
 import pyarrow as pa
-from pyspark.sql import Column
-from pyspark.sql import functions as F
+from pyspark.sql import DataFrame
+from pyspark.sql import types as T
 
 from .. import schema as S
 
+#: Bytes that a worker makes before it hands them on.
+SLICE_BYTES = 1 << 20
+
 
 def available(method: str) -> bool:
     """Whether this installation can compress and decompress with the method."""
@@ -64,44 +69,64 @@ def decompress_bytes(data: bytes, original: int, method: int) -> bytes:
     return out
 
 
-def compress(data: Column, method: Column, level: int = 9) -> Column:
-    @F.pandas_udf("binary")
-    def run(d: pd.Series, m: pd.Series) -> pd.Series:
-        return pd.Series([None if x is None else compress_bytes(bytes(x), int(k), level) for x, k in zip(d, m, strict=True)], dtype=object)
+def by_row(df: DataFrame, f: Callable[..., tuple], inputs: list[str], adds: dict[str, str]) -> DataFrame:
+    """``df`` with the columns ``inputs`` replaced by ``adds`` (name to type), which ``f`` makes from a row's inputs.
 
-    return run(data, method)
+    Values are made one at a time and leave the worker about SLICE_BYTES at a time. Besides these it holds one batch of
+    Spark's, which is at most maxRecordsPerBatch rows and about maxBytesPerBatch bytes: no more for a larger table.
+    """
+    kept = [c for c in df.columns if c not in inputs and c not in adds]
+    types = {"binary": pa.binary(), "long": pa.int64(), "boolean": pa.bool_()}
+    schema = T.StructType([df.schema[c] for c in kept] + [T.StructField(c, T._parse_datatype_string(t)) for c, t in adds.items()])
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            column = {c: batch.column(i) for i, c in enumerate(batch.schema.names)}
+            given, start, made, size = [column[c] for c in inputs], 0, [], 0
+            for i in range(batch.num_rows):
+                made.append(f(*[g[i].as_py() for g in given]))
+                size += sum(len(v) for v in made[-1] if isinstance(v, bytes))
+                if size >= SLICE_BYTES or i == batch.num_rows - 1:
+                    new = [pa.array(v, types[t]) for v, t in zip(zip(*made, strict=True), adds.values(), strict=True)]
+                    yield pa.RecordBatch.from_arrays([column[c].slice(start, i + 1 - start) for c in kept] + new, [*kept, *adds])
+                    start, made, size, new = i + 1, [], 0, None
+            del batch, column, given
+        release()
 
-def decompress(data: Column, original: Column, method: Column) -> Column:
-    @F.pandas_udf("binary")
-    def run(d: pd.Series, n: pd.Series, m: pd.Series) -> pd.Series:
-        return pd.Series([None if x is None else decompress_bytes(bytes(x), int(k), int(c)) for x, k, c in zip(d, n, m, strict=True)], dtype=object)
+    return df.select(*kept, *inputs).mapInArrow(run, schema)
 
-    return run(data, original, method)
 
+def release() -> None:
+    """Freed memory goes back to the system: an executor keeps idle workers beside busy ones."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another C library; nothing depends on it
+        pass
 
-def decodes(data: Column, original: Column, method: Column) -> Column:
-    """Whether a chunk decodes to its original size."""
 
-    @F.pandas_udf("boolean")
-    def run(d: pd.Series, n: pd.Series, m: pd.Series) -> pd.Series:
-        def ok(x, k, c) -> bool:
-            try:
-                decompress_bytes(bytes(x), int(k), int(c))
-                return True
-            except Exception:
-                return False
+def encoded(raw: bytes | None, method: int, level: int) -> tuple[bytes | None, int | None, int | None]:
+    """(data, compressed_size, original_size) of a chunk."""
+    if raw is None:
+        return None, None, None
+    data = compress_bytes(raw, method, level)
+    return data, len(data), len(raw)
 
-        return pd.Series([ok(*t) for t in zip(d, n, m, strict=True)])
 
-    return run(data, original, method)
+def decodes(data: bytes | None, original: int, method: int) -> bool:
+    """Whether a chunk decodes to its original size."""
+    try:
+        decompress_bytes(data, original, method)
+        return True
+    except Exception:
+        return False
 
 
-def join_chunks(parts: Column) -> Column:
-    """The bytes of an array of binary values, in order."""
+def joined(parts: list[dict], method: int) -> bytes:
+    """The content of an asset's stored chunks, given in order."""
+    return b"".join(decompress_bytes(p["data"], p["original_size"], method) for p in parts)
 
-    @F.pandas_udf("binary")
-    def run(s: pd.Series) -> pd.Series:
-        return s.map(lambda a: b"".join(bytes(x) for x in a))
 
-    return run(parts)
+def join_chunks(parts: list[bytes]) -> bytes:
+    """The bytes of an array of binary values, in order."""
+    return b"".join(parts)

@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .. import schema as S
-from ..functions import codecs, crypto, dds, ids, meta
+from ..functions import crypto, dds, ids, meta
 from ..operators import catalog, chunks, layout, ordered
 from ..session import shared_table
 
@@ -121,7 +121,7 @@ class Package:
 
     def verify(self) -> DataFrame:
         """(asset_id, ok): whether all chunks are there and decode to their sizes (E8); ``all_ok`` sums it up."""
-        ok = self.chunks().withColumn("ok", codecs.decodes(F.col("data"), F.col("original_size"), F.col("method")))
+        ok = chunks.decodes(self.chunks(), F.col("method"), ["asset_id"])
         per = ok.groupBy("asset_id").agg(F.bool_and("ok").alias("ok"), F.count("*").alias("n"))
         return self.toc.select("asset_id", "chunk_count").join(per, "asset_id", "left").select("asset_id", (F.coalesce("ok", F.lit(False)) & (F.coalesce("n", F.lit(0)) == F.col("chunk_count"))).alias("ok"))
 
