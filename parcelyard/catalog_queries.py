@@ -301,7 +301,7 @@ def _stored(spark, sf_dir, method: int, level: int) -> DataFrame:
 
 def _roundtrip(method: int, level: int):
     def query(spark, sf_dir):
-        back = chunks.assemble(chunks.decode(_stored(spark, sf_dir, method, level), F.lit(method)))
+        back = chunks.restore(_stored(spark, sf_dir, method, level), F.lit(method))
         return back.select("path", F.sha2("content", 256).alias("sha"), F.octet_length("content").cast("long").alias("size"))
 
     return query
