@@ -440,7 +440,7 @@ def _archive(spark, sf_dir, passphrase=None):
 def _archived(passphrase):
     def query(spark, sf_dir):
         rows, table, data = _archive(spark, sf_dir, passphrase)
-        found = archive_format.read_contents(rows, table, data, passphrase).join(archive_format.read_names(spark, table), "asset_id")
+        found = archive_format.read_contents(rows.join(archive_format.read_names(spark, table), "asset_id"), table, data, passphrase)
         return found.select("path", F.sha2("content", 256).alias("sha"), F.octet_length("content").cast("long").alias("size"))
 
     return query

@@ -110,39 +110,35 @@ def read_names(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_contents(toc: DataFrame, table_path: str, data_path: str, passphrase: str | None = None) -> DataFrame:
-    """(asset_id, content): each entry's chunks read by range and decoded. Encrypted chunk tables need the passphrase."""
+    """(asset_id, content), and ``path`` where ``toc`` has it: each entry's chunks read by range and decoded. Encrypted chunk tables need the passphrase."""
+    more = ["path"] if "path" in toc.columns else []
 
     def tables(batches):
         import pyarrow as pa
 
         for batch in batches:
             rows = batch.to_pylist()
-            more = [28 if r["flags"] & S.FLAG_ENCRYPTED else 0 for r in rows]
-            if any(more) and passphrase is None:
+            extra = [28 if r["flags"] & S.FLAG_ENCRYPTED else 0 for r in rows]
+            if any(extra) and passphrase is None:
                 raise ValueError("the chunk table is encrypted; a key is needed")
-            got = [read_range(table_path, r["chunk_table_offset"], 8 * r["chunk_count"] + n) for r, n in zip(rows, more, strict=True)]
-            yield pa.RecordBatch.from_arrays([pa.array([r[c] for r in rows], t) for c, t in (("asset_id", pa.string()), ("data_offset", pa.int64()), ("flags", pa.int64()))] + [pa.array(got, pa.binary())], ["asset_id", "data_offset", "flags", "chunk_table"])
-
-    def contents(batches):
-        import pyarrow as pa
-
-        for batch in batches:
-            rows = batch.to_pylist()
-            out = []
-            for r in rows:
-                table = struct.unpack(f"<{len(r['chunk_table']) // 4}I", r["chunk_table"])
-                at, parts = r["data_offset"], []
-                for comp, orig in zip(table[::2], table[1::2], strict=True):
-                    parts.append(codecs.decompress_bytes(read_range(data_path, at, comp), orig, (r["flags"] & S.METHOD_MASK) >> S.METHOD_SHIFT))
-                    at += comp
-                out.append(b"".join(parts))
-            yield pa.RecordBatch.from_arrays([pa.array([r["asset_id"] for r in rows], pa.string()), pa.array(out, pa.binary())], ["asset_id", "content"])
-
-    found = toc.select("asset_id", "data_offset", "chunk_table_offset", "flags", "chunk_count").mapInArrow(tables, "asset_id string, data_offset long, flags long, chunk_table binary")
+            got = [read_range(table_path, r["chunk_table_offset"], 8 * r["chunk_count"] + n) for r, n in zip(rows, extra, strict=True)]
+            kept = ["asset_id", "data_offset", "flags", *more]
+            yield pa.RecordBatch.from_arrays([batch.column(batch.schema.get_field_index(c)) for c in kept] + [pa.array(got, pa.binary())], [*kept, "chunk_table"])
+
+    def content(data_offset: int, flags: int, chunk_table: bytes) -> tuple[bytes]:
+        table = struct.unpack(f"<{len(chunk_table) // 4}I", chunk_table)
+        raw, at, parts = memoryview(read_range(data_path, data_offset, sum(table[::2]))), 0, []
+        for comp, orig in zip(table[::2], table[1::2], strict=True):
+            parts.append(codecs.decompress_bytes(bytes(raw[at : at + comp]), orig, (flags & S.METHOD_MASK) >> S.METHOD_SHIFT))
+            at += comp
+        return (b"".join(parts),)
+
+    kinds = "asset_id string, data_offset long, flags long" + ", path string" * bool(more)
+    found = toc.select("asset_id", "data_offset", "chunk_table_offset", "flags", "chunk_count", *more).mapInArrow(tables, f"{kinds}, chunk_table binary")
     if passphrase is not None:
         plain = crypto.decrypt_table(F.col("chunk_table"), crypto.derive_key(F.lit(passphrase)))
         found = found.withColumn("chunk_table", F.when(F.col("flags").bitwiseAND(S.FLAG_ENCRYPTED) != 0, plain).otherwise(F.col("chunk_table")))
-    return found.mapInArrow(contents, "asset_id string, content binary")
+    return codecs.by_row(found, content, ["data_offset", "flags", "chunk_table"], {"content": "binary"}).select("asset_id", *more, "content")
 
 
 #: Bytes that a writing task holds back for one write, and gaps up to which neighbours go into one write.
