@@ -24,6 +24,10 @@ from ..session import shared_table
 
 _HEAD = struct.Struct("<iiiiqq")
 _ROW = struct.Struct("<16sqqIIIIIi")
+#: Bytes of the name section that are held at once while its runs are found.
+_BLOCK = 1 << 20
+#: Bytes of names after which a run ends.
+_RUN = 8 << 20
 
 
 def read_header(f) -> dict:
@@ -91,22 +95,73 @@ class TocSource(DataSource):
         return TocReader(self.options)
 
 
+def name_ranges(path: str, step: int) -> list[tuple[int, int, int]]:
+    """(first byte, end, names) of runs of at most ``step`` names. Their rows vary in length, so lengths are read in turn, a block at a time; only the runs are kept."""
+    with open(path, "rb") as f:
+        head = read_header(f)
+        f.seek(head["name_table_offset"])
+        block, base, at = b"", head["name_table_offset"], 0  # ``at`` counts from the block's start
+        out, first, n = [], base, 0
+        for _ in range(head["file_count"]):
+            if at + 18 > len(block):
+                base, at = base + at, 0
+                f.seek(base)
+                block = f.read(_BLOCK)
+                if len(block) < 18:
+                    raise EOFError("the name section is cut off")
+            at += 18 + int.from_bytes(block[at + 16 : at + 18], "little")
+            n += 1
+            if n == step or base + at - first >= _RUN:
+                out.append((first, base + at, n))
+                first, n = base + at, 0
+        return [*out, (first, base + at, n)] if n else out
+
+
+class NameRange(InputPartition):
+    def __init__(self, start: int, end: int, count: int):
+        self.start, self.end, self.count = start, end, count
+
+
+class NamesReader(DataSourceReader):
+    def __init__(self, options: dict):
+        self.path, self.step = options["path"], int(options.get("rowsPerPartition", 100_000))
+
+    def partitions(self) -> list[NameRange]:
+        return [NameRange(*r) for r in name_ranges(self.path, self.step)] or [NameRange(0, 0, 0)]
+
+    def read(self, partition: NameRange) -> Iterator[tuple]:
+        raw, at = read_range(self.path, partition.start, partition.end - partition.start), 0
+        for _ in range(partition.count):
+            g, n = struct.unpack_from("<16sH", raw, at)
+            yield str(uuid.UUID(bytes_le=g)), raw[at + 18 : at + 18 + n].decode()
+            at += 18 + n
+
+
+class NamesSource(DataSource):
+    """spark.read.format("parcel_names").load(path): the names of a table file, split by rows."""
+
+    @classmethod
+    def name(cls) -> str:
+        return "parcel_names"
+
+    def schema(self) -> str:
+        return S.NAMES
+
+    def reader(self, schema) -> DataSourceReader:
+        return NamesReader(self.options)
+
+
 def register(spark: SparkSession) -> None:
     spark.dataSource.register(TocSource)
+    spark.dataSource.register(NamesSource)
 
 
 def read_names(spark: SparkSession, path: str) -> DataFrame:
-    """(asset_id, path) from the name section (A4), whose rows vary in length and are read in turn."""
-
-    def rows() -> Iterator[tuple[str, str]]:
-        with open(path, "rb") as f:
-            head = read_header(f)
-            f.seek(head["name_table_offset"])
-            for _ in range(head["file_count"]):
-                g, n = struct.unpack("<16sH", f.read(18))
-                yield str(uuid.UUID(bytes_le=g)), f.read(n).decode()
-
-    return spark.createDataFrame(list(rows()), S.NAMES)
+    """(asset_id, path) from the name section (A4), read by tasks that each parse a run of names."""
+    with open(path, "rb") as f:
+        read_header(f)
+    register(spark)
+    return spark.read.format("parcel_names").load(path)
 
 
 def read_contents(toc: DataFrame, table_path: str, data_path: str, passphrase: str | None = None) -> DataFrame:
