@@ -70,10 +70,15 @@ def assemble(chunks: DataFrame, key: str = "path", data: str = "raw", name: str
     return codecs.by_row(rows, lambda p: (codecs.join_chunks(p),), ["_p"], {name: "binary"})
 
 
-def restore(stored: DataFrame, method: Column, key: str = "path", name: str = "content") -> DataFrame:
-    """Assets from their stored chunks, which meet before they are decoded: less to shuffle, and one pass through Python."""
+def restore(stored: DataFrame, method: Column, key: str = "path", name: str = "content", more: DataFrame | None = None) -> DataFrame:
+    """Assets from their stored chunks, which meet before they are decoded: less to shuffle, and one pass through Python.
+
+    ``more`` has further columns by the key; it joins the assets as they lie, before they grow.
+    """
     parts = F.array_sort(F.collect_list(F.struct("chunk_idx", "original_size", "data")))
     rows = stored.withColumn("_m", method).groupBy(key).agg(parts.alias("_p"), F.first("_m").alias("_m"))
+    if more is not None:
+        rows = rows.join(more.hint("shuffle_hash"), key)
     return codecs.by_row(rows, lambda p, m: (codecs.joined(p, m),), ["_p", "_m"], {name: "binary"})
 
 

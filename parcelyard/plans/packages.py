@@ -112,7 +112,7 @@ class Package:
 
     def read(self, wanted: DataFrame | None = None) -> DataFrame:
         """(asset_id, content) of all or the wanted entries."""
-        return chunks.assemble(chunks.decode(self.chunks(wanted), F.col("method")), "asset_id")
+        return chunks.restore(self.chunks(wanted), F.col("method"), "asset_id")
 
     def load_chunk(self, asset_id: str, idx: int) -> DataFrame:
         """One decoded chunk."""
@@ -130,7 +130,7 @@ class Package:
 
     def contents(self, wanted: DataFrame | None = None) -> DataFrame:
         """(path, content)."""
-        return self.read(wanted).join(self.names, "asset_id").select("path", "content")
+        return chunks.restore(self.chunks(wanted), F.col("method"), "asset_id", more=self.names.select("asset_id", "path")).select("path", "content")
 
 
 def safe_path(path: Column) -> Column:
