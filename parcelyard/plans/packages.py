@@ -51,9 +51,10 @@ def pack(files: DataFrame, path: str, method: str = "Auto", level: int = 9, dedu
     slim = shared_table(rows.withColumn("original_size", F.octet_length("content").cast("long")).drop("content"))
     catalog.to_map(slim, "asset_id")
     key = "content_hash" if dedup else "asset_id"
-    lead = layout.first_of_hash(slim.select("content_hash", "path", "asset_id", "align"), key) if dedup else slim.select("content_hash", "path", "asset_id", "align")
-    # contents stay where they are read; only the chosen paths are joined in
-    chosen = files.join(lead.select("path", F.col(key).alias("blob_id"), "align"), "path").withColumn("method", meta.choose_method(F.col("path"), method))
+    lead = slim.select(F.col(key).alias("blob_id"), "path", "align")
+    lead = shared_table(layout.first_of_hash(lead, "blob_id") if dedup else lead)
+    # contents meet the chosen paths once, and are not sorted for that
+    chosen = files.join(lead.hint("shuffle_hash"), "path").withColumn("method", meta.choose_method(F.col("path"), method))
     if split_mips:
         texture = meta.has_suffix(F.col("path"), ".dds")
         chosen = chosen.withColumn("content", dds.split_rewrite(F.col("content"), F.when(texture, dds.split_plan(F.col("content"))))["content"])
@@ -61,8 +62,9 @@ def pack(files: DataFrame, path: str, method: str = "Auto", level: int = 9, dedu
     parts.select("blob_id", "chunk_idx", "compressed_size", "original_size", "data").write.parquet(f"{path}/blob")
     stored = files.sparkSession.read.parquet(f"{path}/blob").drop("data")
     sizes = stored.groupBy("blob_id").agg(F.sum("compressed_size").alias("compressed_size"), F.count("*").cast("int").alias("chunk_count"), F.array_sort(F.collect_list(F.struct("chunk_idx", "compressed_size", "original_size"))).alias("chunks"))
-    placed = layout.aligned_offsets(lead.withColumn("blob_id", F.col(key)).join(sizes, "blob_id"), "compressed_size").select("blob_id", "compressed_size", "chunk_count", "data_offset", "chunks")
-    entries = slim.withColumn("blob_id", F.col(key)).join(placed, "blob_id")
+    # only sizes go through the layout; chunk tables and metadata meet the places afterwards
+    placed = layout.aligned_offsets(lead.join(sizes.select("blob_id", "compressed_size"), "blob_id"), "compressed_size").select("blob_id", "data_offset")
+    entries = slim.join(sizes.join(placed, "blob_id").withColumnRenamed("blob_id", key), key)
     table_bytes = 8 * F.col("chunk_count").cast("long") + (28 if passphrase is not None else 0)
     head = slim.agg((F.lit(S.HEADER_BYTES) + F.count("*") * S.ROW_BYTES + F.sum(18 + F.octet_length("path"))).cast("long").alias("_base"))
     entries = layout.table_pointers(entries.withColumn("_first", head.scalar()), F.col("_first"), table_bytes).drop("_first")
@@ -70,7 +72,7 @@ def pack(files: DataFrame, path: str, method: str = "Auto", level: int = 9, dedu
         raw = F.unhex(F.array_join(F.transform("chunks", lambda c: F.concat(F.hex(dds.to_le_u32(c["compressed_size"])), F.hex(dds.to_le_u32(c["original_size"])))), ""))
         entries = entries.withColumn("flags", F.col("flags").bitwiseOR(F.lit(S.FLAG_ENCRYPTED).cast("long"))).withColumn("sealed", crypto.encrypt_table(raw, crypto.derive_key(F.lit(passphrase))))
     entries = shared_table(entries)
-    toc = entries.select("asset_id", "data_offset", "chunk_table_offset", "compressed_size", "original_size", "flags", "meta1", "meta2", "chunk_count", "blob_id", *(["sealed"] if passphrase is not None else []))
+    toc = entries.select("asset_id", "data_offset", "chunk_table_offset", "compressed_size", "original_size", "flags", "meta1", "meta2", "chunk_count", F.col(key).alias("blob_id"), *(["sealed"] if passphrase is not None else []))
     toc.repartitionByRange("asset_id").sortWithinPartitions("asset_id").write.parquet(f"{path}/toc")
     entries.select("asset_id", "path", "content_hash").repartitionByRange("asset_id").sortWithinPartitions("asset_id").write.parquet(f"{path}/names")
     if passphrase is None:
